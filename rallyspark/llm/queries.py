@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyspark.llm import packing, pieces, secrets, sharding
+from rallyspark.llm import flac, packing, pieces, preference, secrets, sharding, topk
 from rallyspark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -34,5 +38,26 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(secrets.joined("base").cast("binary"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_sentencepiece, op7_packing, op8_secret_scans)}
-ORACLES: dict[str, str] = {}
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.pairs(table(spark, sf_dir, "conversations")))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_sentencepiece, op6_flac, op7_packing, op8_secret_scans, op9_preference, op10_topk)}
+# op10: row numbers are in DuckDB's scan order and serve only to leave out the query's own row
+ORACLES = {
+    "op9_preference": preference.ORACLE,
+    "op10_topk": """
+        WITH rows AS (
+          SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT r, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM rows),
+        scores AS (
+          SELECT q.r AS q, q.vec_id AS query_id, c.r, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM parts q JOIN parts c ON q.i = c.i AND q.r <> c.r
+          WHERE q.vec_id % 100 = 0 GROUP BY ALL)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 10""",
+}
