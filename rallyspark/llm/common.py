@@ -45,6 +45,16 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def key():
+    """doc_id as text: whole 64-bit ids and nulls pass through pandas unchanged."""
+    return F.col("doc_id").cast("string").alias("doc_id")
+
+
+def with_key(df: DataFrame) -> DataFrame:
+    """doc_id as a whole number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def slices(text: str, size: int = 1 << 20):
     """Cut a text before spaces into parts of about ``size`` characters, so that very long texts need bounded memory."""
     at, n = 0, len(text)

@@ -16,9 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rallyspark.llm.common import text_of
+from rallyspark.llm.common import key, text_of, with_key
 
 BLOCK = 256
 UNIT = 64
@@ -438,21 +437,21 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw = [pcm.tobytes() for pcm, _ in read]
         sha = lambda x: hashlib.sha256(x).hexdigest()
         yield pd.DataFrame({
-            "doc_id": part["doc_id"].astype("Int64").array, "n_bytes": [n for n, _ in made], "payload_bytes": list(map(len, raw)), "payload_sha256": list(map(sha, raw)),
+            "doc_id": part["doc_id"].array, "n_bytes": [n for n, _ in made], "payload_bytes": list(map(len, raw)), "payload_sha256": list(map(sha, raw)),
             "tail_crc32": [zlib.crc32(r[-UNIT:]) for r in raw], "media_bytes": list(map(len, streams)), "media_sha256": list(map(sha, streams)), "feature": [_feature(pcm) for pcm, _ in read],
         })
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return docs.select(key(), text_of().alias("text"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Every text stored as FLAC, read back and described; null and empty texts are 64 zero bytes; equal texts, equal values."""
-    return _rows(docs).mapInPandas(_digests, DIGESTS)
+    return with_key(_rows(docs).mapInPandas(_digests, DIGESTS))
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -461,9 +460,9 @@ def encode_media(docs: DataFrame) -> DataFrame:
     def run(batches):
         for part in _batches(batches):
             made = [payload(t) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_bytes": [n for n, _ in made], "media": encode([p for _, p in made])})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_bytes": [n for n, _ in made], "media": encode([p for _, p in made])})
 
-    return _rows(docs).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return with_key(_rows(docs).mapInPandas(run, "doc_id string, n_bytes long, media binary"))
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -478,6 +477,6 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
             for doc_id, stream in zip(batch["doc_id"], batch["media"], strict=True):
                 (pcm, at), = decode([stream])
                 starts = np.arange(len(at)) * BLOCK
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc_id) else int(doc_id)] * len(at), "Int64"), "block": np.arange(len(at)), "first_sample": starts, "byte_offset": at, "pcm": [pcm[s : s + BLOCK].tobytes() for s in starts]})
+                yield pd.DataFrame({"doc_id": [doc_id] * len(at), "block": np.arange(len(at)), "first_sample": starts, "byte_offset": at, "pcm": [pcm[s : s + BLOCK].tobytes() for s in starts]})
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInPandas(run, "doc_id long, block long, first_sample long, byte_offset long, pcm binary")
+    return with_key(media.select(key(), "media").mapInPandas(run, "doc_id string, block long, first_sample long, byte_offset long, pcm binary"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyspark.llm.common import text_of
+from rallyspark.llm.common import key, text_of, with_key
 from rallyspark.llm.tokens import word_ids
 
 TIERS = (512, 1024, 2048, 4096)
@@ -27,7 +27,7 @@ END = 2
 #: Tokens of a chunk, and of a step group.
 CHUNK = 1 << 20
 STEP = 1 << 16
-COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+COLUMNS = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 #: A piece: document's number in the pool, start, length.
 Piece = tuple[int, int, int]
@@ -117,13 +117,13 @@ def _packed(batches: Iterator[pd.DataFrame], path: str, tiers: tuple[int, ...],
                     del docs[doc], ids[doc]
             sequence += 1
         group += max(groups, default=-1) + 1
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
     ready: list[tuple[int, list[Piece]]] = []
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             own = np.append(encoder.ids(text), np.uint32(END)).astype("<u4")
-            ids[count], docs[count] = own, [None if pd.isna(doc_id) else int(doc_id), len(own)]
+            ids[count], docs[count] = own, [doc_id, len(own)]
             whole = len(own) // longest * longest
             ready += [(longest, [(count, at, longest)]) for at in range(0, whole, longest)]
             pool.add(count, whole, len(own) - whole)
@@ -144,5 +144,5 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, chunk: int
     """
     if any(a >= b for a, b in zip(tiers, tiers[1:], strict=False)) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are rising powers of two")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(lambda batches: _packed(batches, path, tiers, chunk), COLUMNS)
+    rows = docs.select(key(), text_of().alias("text"))
+    return with_key(rows.mapInPandas(lambda batches: _packed(batches, path, tiers, chunk), COLUMNS))

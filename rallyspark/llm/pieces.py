@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyspark.llm.common import slices, text_of
+from rallyspark.llm.common import key, slices, text_of, with_key
 
 SPACE = "▁"
 #: Words held at once in a worker, and the longest word that is held.
@@ -201,7 +201,7 @@ def _coded(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]
         texts = batch["text"].tolist()
         model.learn([t for t in texts if len(t) <= 1 << 17])
         ids = [model.encode(t) for t in texts]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [i.tobytes() for i in ids], "n_tokens": list(map(len, ids)), "decoded": [model.decode(i).decode() for i in ids]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [i.tobytes() for i in ids], "n_tokens": list(map(len, ids)), "decoded": [model.decode(i).decode() for i in ids]})
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -209,8 +209,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts: the begin and end ids, decoded as the empty text. Rows are independent: null ids and repeats stay.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(lambda batches: _coded(batches, path), "doc_id long, ids binary, n_tokens long, decoded string")
+    rows = docs.select(key(), text_of().alias("text"))
+    return with_key(rows.mapInPandas(lambda batches: _coded(batches, path), "doc_id string, ids binary, n_tokens long, decoded string"))
 
 
 def _digests(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
@@ -221,5 +221,5 @@ def _digests(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFram
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """As ``encode_decode``, with digests of ids and decoded text made in the same task."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(lambda batches: _digests(batches, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(key(), text_of().alias("text"))
+    return with_key(rows.mapInPandas(lambda batches: _digests(batches, path), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))

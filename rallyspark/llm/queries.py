@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyspark.llm import flac, packing, pieces, preference, secrets, sharding, topk
+from rallyspark.llm import flac, langid, packing, pieces, preference, quality, secrets, sharding, topk
 from rallyspark.llm.common import table
 
 
@@ -20,10 +20,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(~langid.held_out()))
+    found = docs.select("doc_id", langid.held_out().alias("held_out"), langid.predicted(net)(F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(table(spark, sf_dir, "documents"))
 
@@ -46,7 +57,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_sentencepiece, op6_flac, op7_packing, op8_secret_scans, op9_preference, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_language_id, op4_sentencepiece, op5_quality, op6_flac, op7_packing, op8_secret_scans, op9_preference, op10_topk)}
 # op10: row numbers are in DuckDB's scan order and serve only to leave out the query's own row
 ORACLES = {
     "op9_preference": preference.ORACLE,
