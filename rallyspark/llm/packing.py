@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyspark.llm.common import key, text_of, with_key
-from rallyspark.llm.tokens import word_ids
+from rallyspark.llm.tokens import WordIds, word_ids
 
 TIERS = (512, 1024, 2048, 4096)
 END = 2
@@ -94,6 +94,13 @@ def step_groups(sizes: list[int], step: int = STEP) -> list[int]:
     return out
 
 
+def _encoded(batch: pd.DataFrame, encoder: WordIds, rows: int = 500) -> Iterator[tuple[str | None, np.ndarray]]:
+    for i in range(0, len(batch), rows):
+        part = batch.iloc[i : i + rows]
+        for doc_id, ids in zip(part["doc_id"], encoder.ids(part["text"].tolist()), strict=True):
+            yield doc_id, np.append(ids, np.uint32(END)).astype("<u4")
+
+
 def _packed(batches: Iterator[pd.DataFrame], path: str, tiers: tuple[int, ...], chunk: int) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
@@ -121,8 +128,7 @@ def _packed(batches: Iterator[pd.DataFrame], path: str, tiers: tuple[int, ...],
 
     ready: list[tuple[int, list[Piece]]] = []
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            own = np.append(encoder.ids(text), np.uint32(END)).astype("<u4")
+        for doc_id, own in _encoded(batch, encoder):
             ids[count], docs[count] = own, [doc_id, len(own)]
             whole = len(own) // longest * longest
             ready += [(longest, [(count, at, longest)]) for at in range(0, whole, longest)]

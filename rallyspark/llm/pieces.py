@@ -19,12 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyspark.llm.common import key, slices, text_of, with_key
+from rallyspark.llm.common import key, text_of, with_key
+from rallyspark.llm.tokens import WordCache
 
 SPACE = "▁"
-#: Words held at once in a worker, and the longest word that is held.
-CACHE_WORDS = 300_000
-CACHE_CHARS = 48
 _NONE = np.int64(1) << 40
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
@@ -69,7 +67,7 @@ class PieceModel:
         self.piece_len = np.array(list(map(len, raw)), np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
         self.piece_raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.cache: dict[str, bytes] = {}
+        self.words = WordCache(self._split, self._learn)
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -143,42 +141,20 @@ class PieceModel:
         raw = [[int(s)] if s >= 0 else self.bytes_at[np.frombuffer(chr(-1 - int(s)).encode(), np.uint8)].tolist() for s in symbol]
         return np.repeat(word, list(map(len, raw))), np.array([x for r in raw for x in r], np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text with begin and end ids."""
-        parts = [np.array([self.begin], "<u4").tobytes()]
-        if text:
-            for k, part in enumerate(slices(text)):
-                parts += self._words((SPACE if k == 0 else "") + part.replace(" ", SPACE))
-        parts.append(np.array([self.end], "<u4").tobytes())
-        return np.frombuffer(b"".join(parts), "<u4")
-
-    def _words(self, marked: str) -> list[bytes]:
-        words, cache = _WORD.findall(marked), self.cache
-        try:
-            return [cache[w] for w in words]
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(dict.fromkeys(words))
-        learnt = {w: x.astype("<u4").tobytes() for w, x in zip(new, self.merge(new), strict=True)}
-        out = [cache[w] if w in cache else learnt[w] for w in words]
-        cache.update((w, x) for w, x in learnt.items() if len(w) <= CACHE_CHARS)
+    def _split(self, part: str, first: bool) -> list[str]:
+        return _WORD.findall((SPACE if first and part else "") + part.replace(" ", SPACE))
+
+    def _learn(self, words: list[str], step: int = 20_000) -> dict[str, bytes]:
+        out = {}
+        for i in range(0, len(words), step):
+            some = words[i : i + step]
+            out.update((w, x.astype("<u4").tobytes()) for w, x in zip(some, self.merge(some), strict=True))
         return out
 
-    def learn(self, texts: list[str]) -> None:
-        """Merge the new words of many texts in one go."""
-        new: dict[str, None] = {}
-        for text in texts:
-            if text:
-                new.update(dict.fromkeys(_WORD.findall(SPACE + text.replace(" ", SPACE))))
-        cache = self.cache
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-        wanted = [w for w in new if w not in cache and len(w) <= CACHE_CHARS]
-        if wanted:
-            cache.update((w, x.astype("<u4").tobytes()) for w, x in zip(wanted, self.merge(wanted), strict=True))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text with begin and end ids."""
+        begin, end = (np.array([x], "<u4").tobytes() for x in (self.begin, self.end))
+        return [np.frombuffer(begin + x + end, "<u4") for x in self.words.encode(texts)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text in UTF-8: bytes of all pieces without the mark before the first; bytes that are no text become U+FFFD."""
@@ -195,13 +171,13 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _coded(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def _coded(batches: Iterator[pd.DataFrame], path: str, rows: int = 500) -> Iterator[pd.DataFrame]:
     model = piece_model(path)
     for batch in batches:
-        texts = batch["text"].tolist()
-        model.learn([t for t in texts if len(t) <= 1 << 17])
-        ids = [model.encode(t) for t in texts]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [i.tobytes() for i in ids], "n_tokens": list(map(len, ids)), "decoded": [model.decode(i).decode() for i in ids]})
+        for i in range(0, len(batch), rows):
+            part = batch.iloc[i : i + rows]
+            ids = model.encode(part["text"].tolist())
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": [i.tobytes() for i in ids], "n_tokens": list(map(len, ids)), "decoded": [model.decode(i).decode() for i in ids]})
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

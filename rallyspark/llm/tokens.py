@@ -1,7 +1,10 @@
-"""Token ids of whole texts by a public word tokenizer, through a bounded cache of words."""
+"""Token ids of whole texts through bounded caches of words."""
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -9,47 +12,120 @@ import numpy as np
 from rallyspark.llm.common import slices
 
 #: Words held at once in a worker, and the longest word that is held.
-CACHE_WORDS = 300_000
-CACHE_CHARS = 48
+CACHE_WORDS = 600_000
+CACHE_CHARS = 16
+
+
+def runs(texts: list[str], size: int = 1 << 21) -> Iterator[list[tuple[int, int, str]]]:
+    """Lists of (text's number, part's number, part) with about ``size`` characters."""
+    out, held = [], 0
+    for i, text in enumerate(texts):
+        for j, part in enumerate(slices(text)):
+            out.append((i, j, part))
+            held += len(part)
+            if held >= size:
+                yield out
+                out, held = [], 0
+    if out:
+        yield out
+
+
+class WordCache:
+    """Bytes of each word by a dictionary; a run's new words are learnt in one call."""
+
+    def __init__(self, split: Callable[[str, bool], list[str]], learn: Callable[[list[str]], dict[str, bytes]]):
+        self.split, self.learn, self.held = split, learn, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts: list[list[bytes]] = [[] for _ in texts]
+        held = self.held
+        for run in runs(texts):
+            lists = [self.split(part, j == 0) for _, j, part in run]
+            seen = set().union(*lists)
+            new = seen.difference(held)
+            if len(held) + len(new) > CACHE_WORDS:
+                held.clear()
+                new = seen
+            held.update(self.learn(list(new)))
+            for (i, _, _), words in zip(run, lists, strict=True):
+                parts[i].append(b"".join(map(held.__getitem__, words)))
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del held[w]
+        return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
+
+
+#: Texts outside these are not lower-cased before the tokenizer does so itself.
+_ODD = re.compile("[^\x00-įı-ſ]")
+#: A word of letters with punctuation behind, which the tokenizer parts there.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,!?;:&%$*#|]*)")
+_SAMPLE = ["the", "the,", "haus!!", "été.", "niño|", "straße", "überall***", "a", "zzzz", "çaàéè;"]
+
+
+class _Spelling(dict):
+    """Characters as the byte-level alphabet writes them, for str.translate."""
+
+    def __missing__(self, point: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self[point] = found = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(point))[0][0]
+        return found
 
 
 class WordIds:
-    """Ids of a tokenizer that never merges across a space or a line feed: each such part is encoded by itself."""
+    """Ids of a tokenizer that never merges across a space or a line feed and folds case: each such part is encoded by itself."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.spelt, self.model = _Spelling(), self.tokenizer.model
+        self.words = WordCache(self._split, self._learn)
+        self.quick = True
+        self.quick = all(self._quickly([w]) == self._slowly([w]) for w in _SAMPLE)
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _split(self, part: str, first: bool) -> list[str]:
+        if "<|" not in part and (part.isascii() or not _ODD.search(part)):
+            part = part.lower()
+        return part.replace("\n", " ").split(" ")
+
+    def _slowly(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch(words, add_special_tokens=False)
         return {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(words, found, strict=True)}
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of one text as unsigned 32-bit integers."""
-        parts = []
-        for piece in slices(text):
-            words = piece.replace("\n", " ").split(" ")
-            cache = self.cache
-            try:
-                parts.append(b"".join([cache[w] for w in words]))
-                continue
-            except KeyError:
-                pass
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            learnt = self._learn(new)
-            both = learnt if not cache else cache | learnt if len(cache) < 4 * len(learnt) else None
-            if both is None:
-                parts.append(b"".join([cache[w] if w in cache else learnt[w] for w in words]))
-            else:
-                parts.append(b"".join([both[w] for w in words]))
-            cache.update((w, x) for w, x in learnt.items() if len(w) <= CACHE_CHARS)
-        return np.frombuffer(b"".join(parts), self.dtype).astype("<u4")
+    def _core(self, core: str) -> bytes:
+        """Ids of letters, or of punctuation, by the tokenizer's model alone."""
+        found = self.cores.get(core)
+        if found is None:
+            spelt = core if core.isascii() else core.translate(self.spelt)
+            found = np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
+            if len(self.cores) > CACHE_WORDS // 4:
+                self.cores.clear()
+            if len(core) <= CACHE_CHARS // 2:
+                self.cores[core] = found
+        return found
+
+    def _quickly(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                core, tail = m.groups()
+                out[w] = self._core(core) + (self._core(tail) if tail else b"")
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        out = self._quickly(words) if self.quick else {}
+        rest = [w for w in words if w not in out]
+        for i in range(0, len(rest), 10_000):
+            out |= self._slowly(rest[i : i + 10_000])
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        return [np.frombuffer(x, self.dtype).astype("<u4") for x in self.words.encode(texts)]
 
 
 @lru_cache(maxsize=2)
