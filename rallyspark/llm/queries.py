@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyspark.llm import flac, langid, packing, pieces, preference, quality, secrets, sharding, topk
+from rallyspark.llm import flac, langid, neardup, packing, pieces, preference, quality, secrets, sharding, topk
 from rallyspark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -57,7 +61,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_language_id, op4_sentencepiece, op5_quality, op6_flac, op7_packing, op8_secret_scans, op9_preference, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_language_id, op4_sentencepiece, op5_quality, op6_flac, op7_packing, op8_secret_scans, op9_preference, op10_topk)}
 # op10: row numbers are in DuckDB's scan order and serve only to leave out the query's own row
 ORACLES = {
     "op9_preference": preference.ORACLE,
