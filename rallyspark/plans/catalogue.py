@@ -1,27 +1,9 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame; ``ORACLES`` has the same result in DuckDB SQL."""
+"""All registered queries: each takes (spark, sf_dir) and returns a DataFrame; ``ORACLES`` has the same result in DuckDB SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from rallyspark.plans import folds, joins
 
-
-def read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def latest_snapshot_topk(spark, sf_dir):
-    """Latest order of each customer, joined to the customer, the 50 dearest."""
-    orders = read(spark, sf_dir, "orders")
-    last = orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
-    picked = orders.select("o_orderkey", "o_totalprice").join(last, "o_orderkey")
-    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return picked.join(customers, "o_custkey").select("o_custkey", "c_name", "o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
-
-
-QUERIES = {"latest_snapshot_topk": latest_snapshot_topk}
-ORACLES = {
-    "latest_snapshot_topk": """
-        WITH last AS (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1)
-        SELECT last.o_custkey, c_name, last.o_orderkey, o_totalprice FROM last JOIN orders USING (o_orderkey)
-        JOIN customer ON c_custkey = last.o_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"""
-}
+_REGISTRIES = [joins.registry, folds.registry]
+QUERIES = {name: f for r in _REGISTRIES for name, f in r.queries.items()}
+ORACLES = {name: sql for r in _REGISTRIES for name, sql in r.oracles.items()}
