@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rallyspark.plans import folds, joins, live
+from rallyspark.plans import domain, folds, joins, live
 
-_REGISTRIES = [joins.registry, folds.registry, live.registry]
+_REGISTRIES = [joins.registry, folds.registry, live.registry, domain.registry]
 QUERIES = {name: f for r in _REGISTRIES for name, f in r.queries.items()}
 ORACLES = {name: sql for r in _REGISTRIES for name, sql in r.oracles.items()}
