@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -55,13 +56,16 @@ def with_key(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+_GAP = re.compile("(?<! ) ")
+
+
 def slices(text: str, size: int = 1 << 20):
-    """Cut a text before spaces into parts of about ``size`` characters, so that very long texts need bounded memory."""
+    """Cut a text before runs of spaces into parts of about ``size`` characters, so that very long texts need bounded memory."""
     at, n = 0, len(text)
     while n - at > size:
-        cut = text.find(" ", at + size)
-        if cut < 0:
+        cut = _GAP.search(text, at + size)
+        if not cut:
             break
-        yield text[at:cut]
-        at = cut
+        yield text[at : cut.start()]
+        at = cut.start()
     yield text[at:]

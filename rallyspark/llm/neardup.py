@@ -304,4 +304,4 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 def kept_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are the least of their group, with their columns."""
     gone = store(groups(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

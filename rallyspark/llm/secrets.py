@@ -173,3 +173,13 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     starts = F.concat(F.transform(merged, lambda m: m["start"]), F.array(F.char_length(text)))
     pieces = F.zip_with(ends, starts, lambda a, b: F.substring(F.col(text), a + 1, b - a))
     return docs.withColumn(text, F.when(F.size("spans") > 0, F.array_join(pieces, mark)).otherwise(F.col(text)))
+
+
+def redacted(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """All rows of ``docs`` with their own columns, secrets replaced; a column ``size``, if there is one, counts the text as it now is.
+
+    The row travels as one struct, so columns named like those of ``scan`` keep their values.
+    """
+    clean = redact(scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text)), text), text)
+    value = lambda c: F.col(text) if c == text else F.char_length(text).cast(dict(docs.dtypes)[c]) if c == size else F.col(f"_row.`{c}`")
+    return clean.select(*[value(c).alias(c) for c in docs.columns])
