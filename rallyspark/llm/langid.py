@@ -123,11 +123,15 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(labelled: DataFrame) -> Network | None:
     """A network from rows (doc_id, text, lang); None where no row has both text and lang.
 
-    Of each language the SAMPLE rows with the least hash of doc_id are taken, so the driver gets a bounded sample.
+    Of the LANGUAGES most frequent languages the SAMPLE rows with the least hash of doc_id are taken, so the driver gets a bounded sample.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", F.octet_length("text")).alias("h"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    picked = rows.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "h").distinct().limit(LANGUAGES * SAMPLE)
+    # languages with most rows; a share of each that is expected to hold four times SAMPLE rows is ranked
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    place = F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    near = rows.select("lang", "h").join(F.broadcast(counts), "lang").where(place * F.col("rows") < 4 * SAMPLE)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "h").distinct()
     found = rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", "text").mapInPandas(_sampled, "lang string, window binary").toPandas()
     if found.empty:
         return None
