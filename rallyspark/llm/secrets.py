@@ -29,7 +29,7 @@ BASE32_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Ordinary tokens under the null: chance that two characters agree, that neighbours differ in class, and their serial correlation.
 NULL_AGREE = {"hex": 0.10, "base32": 0.075, "base64": 0.06}
-NULL_SWITCH = 0.12
+NULL_SWITCH = 0.3
 NULL_SERIAL = 0.35
 #: Length classes of the false-discovery control, and its rate.
 LENGTHS = (32, 48)

@@ -105,7 +105,8 @@ def top_k(df: DataFrame, key: str, vector: str, every: int = 100, k: int = 10) -
     across, down = max(1, -(-counts[0] // size)), max(1, -(-counts[1] // QUERIES))
     deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.withColumn("c", deal(across)).withColumn("d", span(down))
+    own = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # attributes of its own: both sides of the cogroup read one table
+    held = own.withColumn("c", deal(across)).withColumn("d", span(down))
     asked = rows.where(F.col("key") % every == 0).withColumn("d", deal(down)).withColumn("c", span(across))
     schema = "query_row long, query_id long, row long, vec_id long, score long"
     found = asked.groupBy("c", "d").cogroup(held.groupBy("c", "d")).applyInPandas(lambda a, b: search_cell(a, b, k), schema)
