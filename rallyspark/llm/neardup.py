@@ -4,12 +4,14 @@ A document's set is its distinct shingles of words. Each shingle is a Poisson pr
 arrival, truncated to an exponentially spaced scale (K = floor(1 - log_BASE(t / A))), so registers of unions are maxima and two sets
 agree in a register with about their Jaccard similarity. Bands of ROWS registers are hashed to find candidates. A pair's counts of
 greater, less and equal registers give the likelihood of its similarity; pairs whose likelihood at the threshold or above is far below
-the best are passed over. What remains is verified on the full sets.
+the best are passed over. So are pairs whose parity sketches (a bit for each place, the parity of the shingles there) differ in more
+bits than two sets at the threshold can differ in shingles, which is certain. What remains is verified on the full sets.
 
 Every band's least document is its hub: all members are held against it first and components are formed. Only members that did not
-reach their hub's component are then held against their band's other members, in bounded blocks. So no group's pairs are all formed,
-and every pair that shares a band is either verified, found unlikely, or already in one component. With 40 bands of 4 registers a pair
-at similarity 0.8 misses all bands with probability below 1e-7.
+reach their hub's component are then held against their band's other members, in bounded blocks: first each block gives a forest of
+its likely pairs, no more pairs than rows, and when those are verified, the likely pairs that still lie between components. So no
+group's pairs are all formed, and every pair that shares a band is either verified, ruled out, or already in one component. With 40
+bands of 4 registers a pair at similarity 0.8 misses all bands with probability below 1e-7.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WORDS, PERCENT = 2, 80
 SLACK = 16.0
 #: Members verified in one task for a hub, and rows of a block.
 SHARE, SIDE = 200, 256
+#: Least places of a parity sketch.
+MIN_BITS = 512
 _FILL = np.log(M) + 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -135,6 +139,41 @@ def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return greater, less, M - greater - less
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """Parity sketch of a set: bit h mod m is the parity of the shingles there, m a power of two of at least twice the set's size."""
+    m = max(MIN_BITS, 1 << int(2 * max(len(hashes), 1) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64-bit words as sketches of fewer places."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def _words(sketches_: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches_), np.uint64).reshape(len(sketches_), -1)
+
+
+def most_apart(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Most shingles in which two sets at the threshold can differ."""
+    return (n_a + n_b) * (100 - percent) // (100 + percent)
+
+
+def near_enough(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the parity sketches of each pair allow the threshold: they differ in at most as many bits as the sets in shingles."""
+    out = np.zeros(len(a), bool)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (la, lb)).all(1))
+        width = min(la, lb) // 8
+        apart = np.bitwise_count(_folded(_words([a[i] for i in at]), width) ^ _folded(_words([b[i] for i in at]), width)).sum(1)
+        out[at] = apart <= most_apart(n_a[at], n_b[at], percent)
+    return out
+
+
 def _registers(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, M)
 
@@ -146,13 +185,13 @@ def _sketched(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFr
             sets = [shingles(t, words) for t in part["text"]]
             sums = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(_mix(s)))) if len(s) else (0, 0) for s in sets]
             signed = lambda j: np.array([x[j] for x in sums], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "n": list(map(len, sets)), "set_a": signed(0), "set_b": signed(1), "registers": [r.tobytes() for r in sketches(sets)]})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "n": list(map(len, sets)), "set_a": signed(0), "set_b": signed(1), "registers": [r.tobytes() for r in sketches(sets)], "parity": [parity(s) for s in sets]})
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (set size), set_a and set_b (a 128-bit fingerprint of the set) and registers of every row."""
+    """doc_id, n (set size), set_a and set_b (a 128-bit fingerprint of the set), registers and parity sketch of every row."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rows.mapInPandas(lambda batches: _sketched(batches, words), "doc_id string, n long, set_a long, set_b long, registers binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(lambda batches: _sketched(batches, words), "doc_id string, n long, set_a long, set_b long, registers binary, parity binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,10 +201,18 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"band": band_keys(_registers(part["registers"])).ravel(), "id": np.repeat(part["id"].to_numpy(), BANDS)})
 
 
-def _likely(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=bool)
-    return pd.Series(plausible(*_counts(_registers(a), _registers(b)), n_a.to_numpy(), n_b.to_numpy()))
+def _likely(percent: int):
+    """A column function: whether pairs (registers, parity sketches, sizes) may meet the threshold."""
+
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, b: pd.Series, p_a: pd.Series, p_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+        out, x, y = np.zeros(len(a), bool), n_a.to_numpy(), n_b.to_numpy()
+        at = np.flatnonzero(near_enough(p_a.tolist(), p_b.tolist(), x, y, percent)) if len(a) else np.empty(0, int)
+        if len(at):
+            out[at] = plausible(*_counts(_registers(a.iloc[at]), _registers(b.iloc[at])), x[at], y[at], percent / 100)
+        return pd.Series(out)
+
+    return run
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -227,27 +274,68 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
     return out
 
 
-def _rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Likely pairs between a block's askers (role 0) and its members (role 1) of other components."""
+class _Held:
+    """Members of a block by the width of their parity sketches, folded to other widths as they are asked for."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.ids, self.labels, self.sizes = (rows[c].to_numpy() for c in ("id", "label", "n"))
+        self.registers, sketch = _registers(rows["registers"]), rows["parity"].tolist()
+        widths = np.array(list(map(len, sketch))) // 8
+        self.at = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+        self.words = {(w, w): _words([sketch[i] for i in at]) for w, at in self.at.items()}
+
+    def near(self, sketch: bytes, n: int, percent: int) -> np.ndarray:
+        """Places of the members whose parity sketches allow the threshold."""
+        own, found = _words([sketch]), []
+        for w, at in self.at.items():
+            width = min(w, own.shape[1])
+            if max(w, own.shape[1]) > 4 * width:  # sizes too unlike
+                continue
+            if (w, width) not in self.words:
+                self.words[w, width] = _folded(self.words[w, w], width)
+            apart = np.bitwise_count(self.words[w, width] ^ _folded(own, width)).sum(1)
+            found.append(at[apart <= most_apart(self.sizes[at], n, percent)])
+        return np.concatenate(found) if found else np.empty(0, int)
+
+
+def _rest(batches: Iterator[pd.DataFrame], percent: int, forest: bool) -> Iterator[pd.DataFrame]:
+    """Likely pairs between a block's askers (role 0) and its members (role 1) of other components.
+
+    With ``forest`` a pair counts only if no pairs before it in the block join its components: a block of n rows gives less than n.
+    """
     for rows in _groups(batches, ["band", "i", "j"]):
-        asks, held = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        if asks.empty or held.empty:
+        asks, members = rows[rows["role"] == 0], rows[rows["role"] == 1]
+        if asks.empty or members.empty:
             continue
-        a, b = _registers(asks["registers"]), _registers(held["registers"])
-        ids, labels, sizes = held["id"].to_numpy(), held["label"].to_numpy(), held["n"].to_numpy()
-        out = []
-        for registers, own, label, n in zip(a, asks["id"], asks["label"], asks["n"], strict=True):
-            some = np.flatnonzero(labels != label)
-            if not len(some):
+        held, out, parent = _Held(members), [], {}
+
+        def root(x: int, parent: dict[int, int] = parent) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for own, label, n, registers, sketch in asks[["id", "label", "n", "registers", "parity"]].itertuples(index=False):
+            near = held.near(sketch, n, percent)
+            near = near[held.labels[near] != label]
+            if not len(near):
                 continue
-            likely = some[plausible(*_counts(registers[None], b[some]), np.full(len(some), n), sizes[some])]
-            out += [(own, x) if own > x else (x, own) for x in ids[likely].tolist()]
+            counts = _counts(np.frombuffer(registers, np.uint16)[None], held.registers[near])
+            likely = plausible(*counts, np.full(len(near), n), held.sizes[near], percent / 100)
+            near, equal = near[likely], counts[2][likely]
+            for i in near[np.lexsort((held.ids[near], -equal))] if forest else near:
+                if forest:
+                    x, y = root(label), root(held.labels[i])
+                    if x == y:
+                        continue
+                    parent[max(x, y)] = min(x, y)
+                other = int(held.ids[i])
+                out.append((own, other) if own > other else (other, own))
         if out:
             yield pd.DataFrame(out, columns=["a", "hub"]).astype("int64").drop_duplicates()
 
 
-def _remaining(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Stored likely pairs (a, hub) between components that share a band, other than pairs with the band's hub."""
+def _remaining(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Stored likely pairs (a, hub) between components that share a band, other than pairs with the band's hub; see ``_rest``."""
     named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "hub", F.coalesce("label", "id").alias("label"))
     named = store(named, "named")
     mains = named.where("id = hub").select("band", F.col("label").alias("main"))
@@ -262,7 +350,7 @@ def _remaining(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFr
         sized.select("band", span("across").alias("i"), deal("down").alias("j"), F.lit(1).alias("role"), "id", "label")
     )
     rows = cells.join(reps, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    out = store(rows.mapInPandas(_rest, "a long, hub long").distinct(), "rest")
+    out = store(rows.mapInPandas(lambda batches: _rest(batches, percent, forest), "a long, hub long").distinct(), "rest")
     discard(named, mixed, open_, sized)
     return out
 
@@ -276,22 +364,29 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     """
     rows = store(sketch(docs, words), "sketches")
     linked = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = store(linked.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"), F.min("registers").alias("registers")), "nodes")
+    nodes = store(linked.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"), F.min("registers").alias("registers"), F.min("parity").alias("parity")), "nodes")
     bands = nodes.select("id", "registers").mapInPandas(_banded, "band long, id long")
     hubs = store(bands.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("band", "hub"), "hubs")
     members = store(bands.join(hubs, "band"), "members")
-    reps = store(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers"), "reps")
+    reps = store(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers", "parity"), "reps")
     first = members.where("id <> hub").select(F.col("id").alias("a"), "hub").distinct()
-    sides = first.join(reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")), "a")
-    sides = sides.join(reps.select(F.col("id").alias("hub"), F.col("n").alias("n_b"), F.col("registers").alias("r_b")), "hub")
-    pairs = store(sides.where(F.pandas_udf(_likely, "boolean")("r_a", "r_b", "n_a", "n_b")).select("a", "hub").distinct(), "pairs")
+    sides = first.join(reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"), F.col("parity").alias("p_a")), "a")
+    sides = sides.join(reps.select(F.col("id").alias("hub"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"), F.col("parity").alias("p_b")), "hub")
+    pairs = store(sides.where(_likely(percent)("r_a", "r_b", "p_a", "p_b", "n_a", "n_b")).select("a", "hub").distinct(), "pairs")
     links = verify(docs, pairs, words, percent)
-    labels = components(links)
-    rest = _remaining(members, labels, reps)
-    if not rest.isEmpty():
-        more = verify(docs, rest, words, percent)
+    labels, tried = components(links), pairs
+    for forest in (True, False):
+        rest = _remaining(members, labels, reps, percent, forest)
+        new = store(rest.join(tried, ["a", "hub"], "left_anti"), "untried")
+        if new.isEmpty():
+            if rest.isEmpty():
+                break  # nothing likely lies between components
+            continue
+        more = verify(docs, new, words, percent)
+        tried = tried.union(new)
         if not more.isEmpty():
-            labels = components(links.union(more))
+            links = links.union(more)
+            labels = components(links)
     named = nodes.select("set_a", "set_b", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = store(named.groupBy("set_a", "set_b").agg(F.min(F.coalesce("label", "id")).alias("component_id")), "components")
     discard(hubs, members, reps, pairs, nodes)

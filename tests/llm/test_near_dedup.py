@@ -86,3 +86,21 @@ def test_sketches_agree_as_often_as_sets_are_alike():
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (10, 11), (11, 12), (12, 10), (3, 20)], "a long, b long")
     assert {r.node: r.label for r in components(edges).collect()} == {2: 1, 3: 1, 20: 1, 5: 4, 11: 10, 12: 10}
+
+
+def test_parity_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 600, 5000):
+        pool = rng.integers(0, 1 << 63, 3 * n + 10, dtype=np.int64).astype(np.uint64)
+        for _ in range(40):
+            a = np.unique(rng.choice(pool, n, replace=False))
+            swap = int(rng.integers(0, max(1, n // 4) + 1))
+            b = np.unique(np.concatenate([a[swap:], pool[rng.choice(len(pool), int(rng.integers(0, swap + 1)), replace=False)]]))
+            if not len(b):
+                continue
+            both = len(np.intersect1d(a, b))
+            linked = 100 * both >= 80 * (len(a) + len(b) - both)
+            ok = neardup.near_enough([neardup.parity(a)], [neardup.parity(b)], np.array([len(a)]), np.array([len(b)]), 80)[0]
+            assert ok or not linked
+            if n >= 600 and 100 * both < 70 * (len(a) + len(b) - both):
+                assert not ok
