@@ -79,7 +79,8 @@ def bracket_positions(linked: DataFrame) -> DataFrame:
             ids = sorted(level["match_id"], key=lambda m: (at.get(m, behind), m))
             rank = {m: i + 1 for i, m in enumerate(ids)}
             first = order == group["round_order"].min()
-            out |= {m: at.get(m, rank[m]) if first else rank[m] for m in ids}
+            last = max(at.values(), default=0)
+            out |= {m: at.get(m, last + rank[m]) if first else rank[m] for m in ids}
             for m, a, b in zip(level["match_id"], level["side_a_previous"], level["side_b_previous"], strict=True):
                 for side, feeder in ((1, a), (2, b)):
                     if pd.notna(feeder):

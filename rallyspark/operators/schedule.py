@@ -112,3 +112,30 @@ def repaired_round(raw: Column, round_code: Column) -> Column:
 
 def priority_of(c: Column, table: dict[str, int]) -> Column:
     return lookup(c, table, 0)
+
+
+def match_passes(asks: DataFrame, rows: DataFrame, passes: list[list[str]], key: str, row_key: str) -> DataFrame:
+    """Add ``row_key`` of the first pass that finds rows, of several the least, and the pass (from 1).
+
+    A pass is a list of columns that must be equal and filled on both sides, such as number and table, then table and sides, then
+    number and sides. Each pass is one equi-join.
+    """
+    found = None
+    for n, columns in enumerate(passes, 1):
+        hit = asks.select(key, *columns).join(rows.select(row_key, *columns), columns).select(key, F.struct(F.lit(n).alias("step"), F.col(row_key).alias("row")).alias("hit"))
+        found = hit if found is None else found.union(hit)
+    best = found.groupBy(key).agg(F.min("hit").alias("hit"))
+    return asks.join(best, key, "left").select(*asks.columns, F.col("hit.row").alias(row_key), F.col("hit.step").alias("step"))
+
+
+def groups_by_pair(ties: DataFrame, groups: DataFrame) -> DataFrame:
+    """Add stage and group of ties (team_a, team_b) from tables of teams in groups (stage, group_code, team_code).
+
+    A tie belongs to the group that holds both teams; a tie without teams or of two groups has an issue.
+    """
+    g = groups.select("stage", "group_code", "team_code")
+    a, b = g.withColumnRenamed("team_code", "team_a"), g.withColumnRenamed("team_code", "team_b")
+    found = a.join(b, ["stage", "group_code"]).where("team_a <> team_b")
+    out = ties.join(found, ["team_a", "team_b"], "left")
+    issue = F.when(F.col("team_a").isNull() | F.col("team_b").isNull(), "side without one country").when(F.col("group_code").isNull(), "no common group")
+    return out.withColumn("issue", issue)
