@@ -257,7 +257,8 @@ def _verified(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iter
 def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The stored pairs (a, hub) whose full sets meet the threshold, as (a, b).
 
-    Only texts in pairs are shuffled. A hub's members are dealt to shares of about SHARE, each with the hub's text.
+    Texts are joined to their roles by a shuffle at every size, since the roles grow with the input; after it only texts in pairs are
+    left. A hub's members are dealt to shares of about SHARE, each with the hub's text.
     """
     shares = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     dealt = store(pairs.join(shares, "hub").select("hub", "a", "shares"), "dealt")
@@ -267,7 +268,7 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
         "roles",
     )
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = texts.join(roles, "id").select("hub", "share", "role", "id", "text")
+    rows = texts.join(roles.hint("merge"), "id").select("hub", "share", "role", "id", "text")
     sorted_rows = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
     out = store(sorted_rows.mapInPandas(lambda batches: _verified(batches, words, percent), "a long, b long"), "links")
     discard(dealt, roles)
