@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rallyspark.functions.text import dedup_key, side_key
 from rallyspark.operators import bracket, champions, identity, schedule, stats
 from rallyspark.plans.common import Registry, read
+from rallyspark.sources.shared import stored
 
 registry = Registry()
 add = registry.add
@@ -49,13 +50,13 @@ def draw_rows(spark, sf_dir):
     SELECT v.match_id, max(feeder) FILTER (n = 1) AS side_a_previous, max(feeder) FILTER (n = 2) AS side_b_previous FROM v LEFT JOIN f ON f.match_id = v.match_id GROUP BY 1""")
 def bracket_links(spark, sf_dir):
     """The match of the round before that each side won."""
-    return bracket.feeder_links(bracket.draw_rows(_matches(spark, sf_dir))).select("match_id", "side_a_previous", "side_b_previous")
+    return bracket.feeder_links(stored(bracket.draw_rows(_matches(spark, sf_dir)), "draw")).select("match_id", "side_a_previous", "side_b_previous")
 
 
 @add()
 def bracket_positions(spark, sf_dir):
     """Places of matches in their brackets."""
-    linked = bracket.feeder_links(bracket.draw_rows(_matches(spark, sf_dir)))
+    linked = stored(bracket.feeder_links(stored(bracket.draw_rows(_matches(spark, sf_dir)), "draw")), "linked")
     return bracket.bracket_positions(linked).select("match_id", "event_id", "draw_round", "bracket_position")
 
 
@@ -66,7 +67,7 @@ def champions_single_final(spark, sf_dir):
     """Champions of draws with exactly one final."""
     rows = bracket.draw_rows(_matches(spark, sf_dir))
     one = rows.where("draw_round = 'Final'").groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("event_id")
-    return champions.champions(_rosters(rows).join(one, "event_id", "left_semi")).select("event_id", "champion_name", "issue")
+    return champions.champions(stored(_rosters(rows).join(one, "event_id", "left_semi"), "rosters")).select("event_id", "champion_name", "issue")
 
 
 def _rosters(rows):
@@ -77,13 +78,13 @@ def _rosters(rows):
 @add()
 def champions_all(spark, sf_dir):
     """Champions of all draws; of several finals the one between the semifinal winners."""
-    return champions.champions(_rosters(bracket.draw_rows(_matches(spark, sf_dir))))
+    return champions.champions(stored(_rosters(bracket.draw_rows(_matches(spark, sf_dir))), "rosters"))
 
 
 @add()
 def team_champions(spark, sf_dir):
     """Team champions by rubbers of the final tie."""
-    return champions.champions(_rosters(bracket.draw_rows(_matches(spark, sf_dir).withColumn("sub_event_type_code", F.lit("MT")))))
+    return champions.champions(stored(_rosters(bracket.draw_rows(_matches(spark, sf_dir).withColumn("sub_event_type_code", F.lit("MT")))), "rosters"))
 
 
 @add()

@@ -5,7 +5,6 @@ Windows and watermarks go beyond what the surveyed platform does (it polls); the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,19 +15,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from rallyspark.operators.merge import latest_incoming, upsert
+from rallyspark.sources.shared import shared_dir
 
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where the cluster names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rallyspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def files(spark: SparkSession, path: str, schema: StructType, per_batch: int = 1000, time: str | None = None) -> DataFrame:
     """Parquet files of a path (a glob) as a stream; ``time`` becomes a TIMESTAMP, which watermarks need."""
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
