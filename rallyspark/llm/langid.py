@@ -202,10 +202,14 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select("doc_id", predicted(net)(F.col("text")).alias("p")).select("doc_id", "p.lang_pred", "p.score")
 
 
-def accepted(docs: DataFrame, net: Network | None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``; all rows where nothing could be learnt."""
+def accepted(docs: DataFrame, net: Network | None, least: float = 0.5, sure: int = 2 * 64) -> DataFrame:
+    """The rows of ``docs`` in a known language; all rows where nothing could be learnt.
+
+    Texts without a letter go. So do texts of at least ``sure`` bytes with a score below ``least``, which are like none of the languages;
+    a shorter text's score is low by design (few bytes say little), so it is kept.
+    """
     if net is None:
         return docs
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    judged = docs.select(row, predicted(net)(F.col("text")).alias("p"))
-    return judged.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")
+    judged = docs.select(row, F.octet_length("text").alias("bytes"), predicted(net)(F.col("text")).alias("p"))
+    return judged.where((F.col("p.lang_pred") != UNKNOWN) & ((F.col("p.score") >= least) | (F.col("bytes") < sure))).select("row.*")
