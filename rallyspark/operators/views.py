@@ -110,3 +110,34 @@ def carried_translations(incoming: DataFrame, previous: DataFrame, columns: list
 
 def presentation_mode(override: Column, has_knockout: Column, has_round_robin: Column) -> Column:
     return F.coalesce(override, F.when(has_knockout, "knockout").when(has_round_robin, "round_robin").otherwise("knockout"))
+
+
+def staged_view(ties: DataFrame, stages: DataFrame) -> DataFrame:
+    """Ties of an override's stages in order, nested: one row for each stage and group.
+
+    stages: event_id, position, stage, format, group_code, group_name (no group: the whole stage). A group takes the ties of its stage
+    whose round is its code, a stage without groups all of them.
+    """
+    s, t = stages.alias("s"), ties.alias("t")
+    own = (F.col("s.event_id") == F.col("t.event_id")) & (F.col("s.stage") == F.col("t.stage")) & (F.col("s.group_code").isNull() | (F.col("s.group_code") == F.col("t.round")))
+    item = F.struct("t.tie_id", "t.team_a", "t.team_b", "t.match_score", "t.winner_side")
+    rows = s.join(t, own, "left").groupBy("s.event_id", "s.position", "s.stage", "s.format", "s.group_code", "s.group_name")
+    return rows.agg(F.array_sort(F.collect_list(F.when(F.col("t.tie_id").isNotNull(), item))).alias("ties"))
+
+
+def knockout_rounds(ties: DataFrame, override: DataFrame | None = None) -> DataFrame:
+    """Ties by resolved round, latest round last; an override's round (event_id, tie_id, code, label, round_order) goes before a tie's own."""
+    rows = ties
+    if override is not None:
+        named = override.select("event_id", "tie_id", *[F.col(c).alias(f"_{c}") for c in ("code", "label", "round_order")])
+        rows = ties.join(named, ["event_id", "tie_id"], "left")
+        rows = rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("code", "label", "round_order")}).drop("_code", "_label", "_round_order")
+    item = F.struct("tie_id", "team_a", "team_b", "match_score", "winner_side")
+    return rows.groupBy("event_id", "code", "label", "round_order").agg(F.array_sort(F.collect_list(item)).alias("ties")).orderBy("event_id", "round_order")
+
+
+def override_ties(ties: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first tie between the two teams that an override names (event_id, role, first_code, second_code), in either order."""
+    w = wanted.select("event_id", "role", F.least("first_code", "second_code").alias("_lo"), F.greatest("first_code", "second_code").alias("_hi"))
+    t = ties.withColumns({"_lo": F.least("team_a", "team_b"), "_hi": F.greatest("team_a", "team_b")})
+    return w.join(t.groupBy("event_id", "_lo", "_hi").agg(F.min("tie_id").alias("tie_id")), ["event_id", "_lo", "_hi"], "left").select("event_id", "role", "tie_id")

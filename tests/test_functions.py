@@ -122,3 +122,25 @@ def test_payloads(spark):
 @pytest.mark.parametrize("text_", ["a-b", "x"])
 def test_literal_tables_give_defaults(spark, text_):
     assert values(spark, "x string", [(text_,)], scores.lookup(F.col("x"), {"k": 1}, 0)) == [0]
+
+
+def test_sides_of_payloads(spark):
+    places = [([("2", ("X", "JPN", None, ([("9", 1, ("Mima", "ITO", None, None, None, None))],))), ("1", ("Y", " CHN ", ("China",), None))],), ([],)]
+    schema = f"p array<{payload.BRACKET_PLACE}>"
+    got = values(spark, schema, places, payload.bracket_players(F.col("p"), 1, F.lit("T1"), F.lit(None).cast("string")), payload.bracket_players(F.col("p"), 2, F.lit(None).cast("string"), F.lit("Winner of 3")))
+    assert got == [([(None, "China", "CHN")], [(9, "ITO Mima", "JPN")]), ([(None, "T1", "T1")], [(None, "Winner of 3", None)])]
+    official = [(("7", " Pair ", "KOR", [("1", " Kim ", None), ("x", "", "JPN")]),), (("7", "Solo", "KOR", None),), (None,)]
+    assert values(spark, f"c {payload.OFFICIAL}", official, payload.official_players(F.col("c"))) == [[(1, "Kim", "KOR"), (None, "Pair", "JPN")], [(7, "Solo", "KOR")], []]
+    broken = "é".encode().decode("cp936")
+    assert values(spark, "x string", [(broken,), ("中国",), ("plain",), (None,)], payload.repaired(F.col("x"))) == ["é", "中国", "plain", None]
+
+
+def test_live_cards(spark):
+    card = '{"documentCode":"M1--","subEventName":"Women\'s Singles","subEventDescription":"Women\'s Singles - Semifinal","overallScores":"4-2","gameScores":"11-9, 8-11","competitiors":[{"competitiorName":"A","competitiorOrg":"CHN","competitiorId":"5"},{"competitiorName":"B"}]}'
+    units = spark.createDataFrame([("M1", "WS", None, "T1", "Match 3")], "code string, sub_event string, round string, location string, label string")
+    r = payload.live_rows(spark.createDataFrame([(card, "live"), ("{}", "live")], "card string, source_status string"), units).orderBy(F.desc("match_code")).collect()
+    assert (r[0].match_code, r[0].sub_event, r[0].round, r[0].table_no, r[0].session_label, r[0].score, r[0].games, r[0].winner_side) == ("M1", "WS", "SFNL", "T1", "Match 3", "4-2", ["11-9", "8-11"], "A")
+    assert r[0].sides[0].players[0].player_id == 5 and r[1].sides == [] and r[1].winner_side is None
+    pool = spark.createDataFrame([(1, ("G", 1, 3, 2, 1, "5", 7, 3, 20, 9, "Q", ("C1", "CHN", ("China",), ([("9", 1, ("Mima", "ITO", "JPN", "7", None, None))],))))], f"event_id long, row {payload.POOL_ROW}")
+    p = payload.pool_rows(pool).first()
+    assert (p.group_code, p.team_name, p.rank, p.players[0].name) == ("G", "China", 1, "Mima ITO")

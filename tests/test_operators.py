@@ -232,3 +232,14 @@ def test_matching_in_passes_and_groups(spark):
     ties = spark.createDataFrame([("CHN", "JPN"), ("JPN", "KOR"), (None, "KOR")], "team_a string, team_b string")
     teams = spark.createDataFrame([("S1", "G1", "CHN"), ("S1", "G1", "JPN"), ("S1", "G2", "KOR")], "stage string, group_code string, team_code string")
     assert rows(schedule.groups_by_pair(ties, teams), "team_b", "group_code", "issue") == {("JPN", "G1", None), ("KOR", None, "no common group"), ("KOR", None, "side without one country")}
+
+
+def test_override_views(spark):
+    ties = spark.createDataFrame([(1, 10, "S1", "G1", "A", "B", "3-0", "A", "SF", "semi", 60), (1, 11, "S1", "G2", "C", "D", "3-1", "A", "SF", "semi", 60), (1, 12, "S2", "F", "C", "A", "0-3", "B", "F", "final", 80)], "event_id long, tie_id long, stage string, round string, team_a string, team_b string, match_score string, winner_side string, code string, label string, round_order int")
+    stages = spark.createDataFrame([(1, 1, "S1", "group_round_robin", "G1", "g1"), (1, 1, "S1", "group_round_robin", "G9", "g9"), (1, 2, "S2", "round_robin", None, None)], "event_id long, position int, stage string, format string, group_code string, group_name string")
+    got = {(r.stage, r.group_code): [t.tie_id for t in r.ties] for r in views.staged_view(ties, stages).collect()}
+    assert got == {("S1", "G1"): [10], ("S1", "G9"): [], ("S2", None): [12]}
+    moved = spark.createDataFrame([(1, 11, "B", "bronze", 70)], "event_id long, tie_id long, code string, label string, round_order int")
+    assert [(r.code, [t.tie_id for t in r.ties]) for r in views.knockout_rounds(ties, moved).collect()] == [("SF", [10]), ("B", [11]), ("F", [12])]
+    wanted = spark.createDataFrame([(1, "final", "A", "C"), (1, "bronze", "B", "C")], "event_id long, role string, first_code string, second_code string")
+    assert rows(views.override_ties(ties, wanted)) == {(1, "final", 12), (1, "bronze", None)}
