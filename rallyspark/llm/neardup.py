@@ -254,11 +254,11 @@ def _verified(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iter
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The stored pairs (a, hub) whose full sets meet the threshold, as (a, b).
+def verify(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The stored pairs (a, hub) whose full sets meet the threshold, as (a, b); ``texts`` has id and text.
 
-    Texts are joined to their roles by a shuffle at every size, since the roles grow with the input; after it only texts in pairs are
-    left. A hub's members are dealt to shares of about SHARE, each with the hub's text.
+    Texts are joined to their roles by a shuffle at every size, since the roles grow with the input. A hub's members are dealt to shares
+    of about SHARE, each with the hub's text.
     """
     shares = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     dealt = store(pairs.join(shares, "hub").select("hub", "a", "shares"), "dealt")
@@ -267,7 +267,6 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
         .union(dealt.select("hub", "shares").distinct().select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)), F.lit(0), "hub")),
         "roles",
     )
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = texts.join(roles.hint("merge"), "id").select("hub", "share", "role", "id", "text")
     sorted_rows = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
     out = store(sorted_rows.mapInPandas(lambda batches: _verified(batches, words, percent), "a long, b long"), "links")
@@ -374,7 +373,10 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     sides = first.join(reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"), F.col("parity").alias("p_a")), "a")
     sides = sides.join(reps.select(F.col("id").alias("hub"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"), F.col("parity").alias("p_b")), "hub")
     pairs = store(sides.where(_likely(percent)("r_a", "r_b", "p_a", "p_b", "n_a", "n_b")).select("a", "hub").distinct(), "pairs")
-    links = verify(docs, pairs, words, percent)
+    # all pairs lie between representatives that share a band: the other texts are shuffled once and then left behind
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = store(texts.join(reps.select("id").hint("merge"), "id", "left_semi"), "texts")
+    links = verify(texts, pairs, words, percent)
     labels, tried = components(links), pairs
     for forest in (True, False):
         rest = _remaining(members, labels, reps, percent, forest)
@@ -383,14 +385,14 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
             if rest.isEmpty():
                 break  # nothing likely lies between components
             continue
-        more = verify(docs, new, words, percent)
+        more = verify(texts, new, words, percent)
         tried = tried.union(new)
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
     named = nodes.select("set_a", "set_b", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = store(named.groupBy("set_a", "set_b").agg(F.min(F.coalesce("label", "id")).alias("component_id")), "components")
-    discard(hubs, members, reps, pairs, nodes)
+    discard(hubs, members, reps, pairs, nodes, texts)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
