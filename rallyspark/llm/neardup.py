@@ -33,7 +33,7 @@ WORDS, PERCENT = 2, 80
 #: Log-likelihood by which a similarity at the threshold may fall behind the best one.
 SLACK = 16.0
 #: Members verified in one task for a hub, and rows of a block.
-SHARE, SIDE = 200, 256
+SHARE, SIDE = 200, 1024
 #: Least places of a parity sketch.
 MIN_BITS = 512
 _FILL = np.log(M) + 8
