@@ -12,6 +12,8 @@ from rallyspark.sources.shared import stored
 registry = Registry()
 add = registry.add
 ROUNDS = ("Round of 16", "QuarterFinal", "SemiFinal", "Final")
+#: Customers of a block of ids and one segment are a ranking list, so lists grow in number with the table and not in size.
+LIST_IDS = 5000
 
 
 def _matches(spark, sf_dir):
@@ -100,9 +102,10 @@ def best_result_fold(spark, sf_dir):
 
 @add()
 def ranking_id_merge(spark, sf_dir):
-    """Ids of a ranking list from a results list, each id once."""
+    """Ids of every ranking list from its results list, each id once in a list."""
     name = lambda c: F.concat_ws(" ", F.lit("Player"), (F.col(c) % 400).cast("string"))
-    weekly = read(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.col("c_mktsegment").alias("category"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("rank"), name("c_custkey").alias("name"), F.concat(F.lit("N"), (F.col("c_custkey") % 3).cast("string")).alias("country_code"), (F.col("c_custkey") % 50).alias("points"))
+    category = F.concat_ws("/", "c_mktsegment", F.floor(F.col("c_custkey") / LIST_IDS).cast("string"))
+    weekly = read(spark, sf_dir, "customer").select(category.alias("category"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("rank"), name("c_custkey").alias("name"), F.concat(F.lit("N"), (F.col("c_custkey") % 3).cast("string")).alias("country_code"), (F.col("c_custkey") % 50).alias("points"))
     results = weekly.select("category", "seq", (F.col("rank") + F.col("seq") % 5).alias("rank"), "name", "country_code", (F.col("points") + F.when(F.col("seq") % 4 == 0, 1).otherwise(0)).alias("points"), F.concat(F.lit("id"), F.col("seq").cast("string")).alias("player_id"))
     return identity.merge_ranking_ids(weekly, results).select("category", "seq", "player_id", "results_rank", "status")
 
