@@ -29,7 +29,7 @@ BASE32_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Ordinary tokens under the null: chance that two characters agree, that neighbours differ in class, and their serial correlation.
 NULL_AGREE = {"hex": 0.10, "base32": 0.075, "base64": 0.06}
-NULL_SWITCH = 0.3
+NULL_SWITCH = {"hex": 0.12, "base32": 0.12, "base64": 0.3}
 NULL_SERIAL = 0.35
 #: Length classes of the false-discovery control, and its rate.
 LENGTHS = (32, 48)
@@ -93,7 +93,8 @@ def _battery(token: Column, encoding: str, alphabet: str) -> Column:
     # runs: neighbours of different class (digit, upper, lower, other)
     classes = F.translate(F.translate(F.translate(token, "0123456789", "0" * 10), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 26), "abcdefghijklmnopqrstuvwxyz", "a" * 26)
     switches = F.char_length(F.regexp_replace(classes, "(.)(?=\\1)", "")) - 1
-    z_runs = (NULL_SWITCH * (n - 1) - switches) / F.sqrt(n * NULL_SWITCH * (1 - NULL_SWITCH))
+    null = NULL_SWITCH[encoding]
+    z_runs = (null * (n - 1) - switches) / F.sqrt(n * null * (1 - null))
     # serial correlation of neighbouring codes
     mean = F.aggregate(codes, F.lit(0.0), lambda s, c: s + c) / n
     dev = F.transform(codes, lambda c: c - mean)

@@ -40,6 +40,24 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any("random" in found[i] for i in range(20, len(rows)))
 
 
+def recall(spark, letters: str, plain: list[str]) -> list[float]:
+    """Share of random tokens of 20, 24 and 32 characters of an alphabet that are found beside ordinary ones, of which none may be."""
+    rng = random.Random(11)
+    tokens = [(n, "".join(rng.choices(letters, k=n))) for n in (20, 24, 32) for _ in range(100)]
+    rows = [(i, n, f"see {t} there") for i, (n, t) in enumerate(tokens + [(0, t) for t in plain])]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, n long, text string"))
+    shares = {r.n: r.share for r in found.groupBy("n").agg(F.avg(F.exists("spans", lambda s: s["kind"] == "random").cast("int")).alias("share")).collect()}
+    assert not plain or shares[0] == 0
+    return [shares[n] for n in (20, 24, 32)]
+
+
+def test_recall_of_upper_case_hex_and_base32(spark):
+    at = recall(spark, "0123456789ABCDEF", ["DEADBEEFDEADBEEF0000", "AAAAAAAABBBBBBBBCCCC1111", "00000000000000000000000000000ABC"])
+    assert at[0] >= 0.8 and at[1] >= 0.85 and at[2] >= 0.9, at
+    at = recall(spark, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ["INTERNATIONALIZATION22", "CONFIGURATIONSETTINGS2", "FRAMEWORKINSTALLATIONDIRECTORIES7"])
+    assert at[0] >= 0.6 and at[1] >= 0.7 and at[2] >= 0.85, at
+
+
 def test_query_digests(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op8_secret_scans(spark, sf_dir).collect():
