@@ -3,8 +3,8 @@
 All of it is DataFrame expressions. Offsets count code points. A pattern's spans come from the pieces between its matches
 (``split``) and the matches (``regexp_extract_all``): running sums of their lengths give the places.
 
-The battery takes tokens of 20 or more characters that no base span touches, infers an encoding from their characters (hex,
-base32, base64) and computes three statistics, each standardised under the ordinary-token null for that length and encoding:
+The battery takes every token of 20 or more characters that no base span touches, infers an encoding from its characters (hex,
+base32, base64; of the rest lower36 and upper36 with letters of one case and digits, else mixed) and computes three statistics, each standardised under the ordinary-token null for that length and encoding:
 chi-squared distance from a uniform alphabet, runs of one character class, and lag-one serial correlation of the codes. Their
 combined p-value enters a Benjamini-Hochberg step by length class and encoding; tokens below the threshold are added as spans.
 """
@@ -27,9 +27,10 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 HEX_CODES = "0123456789abcdef"
 BASE32_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+ALPHABETS = {"hex": HEX_CODES, "base32": BASE32_CODES, "base64": BASE64_CODES, "lower36": "abcdefghijklmnopqrstuvwxyz0123456789", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "mixed": BASE64_CODES}
 #: Ordinary tokens under the null: chance that two characters agree, that neighbours differ in class, and their serial correlation.
-NULL_AGREE = {"hex": 0.10, "base32": 0.075, "base64": 0.06}
-NULL_SWITCH = {"hex": 0.12, "base32": 0.12, "base64": 0.3}
+NULL_AGREE = {"hex": 0.10, "base32": 0.075, "base64": 0.06, "lower36": 0.065, "upper36": 0.065, "mixed": 0.06}
+NULL_SWITCH = {"hex": 0.12, "base32": 0.12, "base64": 0.3, "lower36": 0.12, "upper36": 0.12, "mixed": 0.3}
 NULL_SERIAL = 0.35
 #: Length classes of the false-discovery control, and its rate.
 LENGTHS = (32, 48)
@@ -79,21 +80,22 @@ def _normal_below(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
-def _battery(token: Column, encoding: str, alphabet: str) -> Column:
+def _battery(token: Column, encoding: Column) -> Column:
     """P-value of an ordinary token looking as random as this one."""
-    k = len(alphabet)
-    folded = F.lower(token) if encoding == "hex" else F.translate(token, "-_", "+/") if encoding == "base64" else token
-    codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), encoding)
+    k, alphabet = of({e: float(len(a)) for e, a in ALPHABETS.items()}), of(ALPHABETS)
+    folded = F.when(encoding == "hex", F.lower(token)).when(encoding.isin("base64", "mixed"), F.translate(token, "-_", "+/")).otherwise(token)
+    codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
     n = F.char_length(token).cast("double")
     # chi-squared: sum of squared counts is the number of ordered pairs that agree
     counts = F.transform(F.array_distinct(codes), lambda a: F.size(F.filter(codes, lambda c: c == a)).cast("double"))
     chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) * k / n - n
-    shift = n * (k * NULL_AGREE[encoding] - 1)
+    shift = n * of({e: len(a) * NULL_AGREE[e] - 1 for e, a in ALPHABETS.items()})
     z_chi = (chi - (k - 1 + shift)) / F.sqrt(2 * (k - 1 + 2 * shift))
     # runs: neighbours of different class (digit, upper, lower, other)
     classes = F.translate(F.translate(F.translate(token, "0123456789", "0" * 10), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 26), "abcdefghijklmnopqrstuvwxyz", "a" * 26)
     switches = F.char_length(F.regexp_replace(classes, "(.)(?=\\1)", "")) - 1
-    null = NULL_SWITCH[encoding]
+    null = of(NULL_SWITCH)
     z_runs = (null * (n - 1) - switches) / F.sqrt(n * null * (1 - null))
     # serial correlation of neighbouring codes
     mean = F.aggregate(codes, F.lit(0.0), lambda s, c: s + c) / n
@@ -112,24 +114,24 @@ def random_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(has(x, r"^([0-9a-f]+|[0-9A-F]+)$") & has(x, "[a-fA-F]") & has(x, "[0-9]"), "hex")
         .when(has(x, r"^[A-Z2-7]+$") & has(x, "[0-9]") & has(x, "[A-Z]"), "base32")
         .when(has(x, "[0-9]") & has(x, "[a-z]") & has(x, "[A-Z]"), "base64")
+        .when(has(x, "^[a-z0-9]+$"), "lower36").when(has(x, "^[A-Z0-9]+$"), "upper36").otherwise("mixed")
     )
     found = F.filter(_found(t, TOKEN), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    named = F.filter(F.transform(found, lambda s: F.struct(s["start"], s["end"], s["hit"], encoding(s["hit"]).alias("encoding"))), lambda s: s["encoding"].isNotNull())
-    p = lambda s: F.when(s["encoding"] == "hex", _battery(s["hit"], "hex", HEX_CODES)).when(s["encoding"] == "base32", _battery(s["hit"], "base32", BASE32_CODES)).otherwise(_battery(s["hit"], "base64", BASE64_CODES))
+    named = F.transform(found, lambda s: F.struct(s["start"], s["end"], s["hit"], encoding(s["hit"]).alias("encoding")))
     size = lambda s: F.when(s["end"] - s["start"] < LENGTHS[0], 0).when(s["end"] - s["start"] < LENGTHS[1], 1).otherwise(2)
-    scored = F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(s["encoding"], F.lit("/"), size(s).cast("string")).alias("stratum"), p(s).alias("p")))
+    scored = F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(s["encoding"], F.lit("/"), size(s).cast("string")).alias("stratum"), _battery(s["hit"], s["encoding"]).alias("p")))
     return docs.withColumn("tokens", scored)
 
 
 def thresholds(scanned: DataFrame, rate: float = RATE) -> dict[str, float]:
-    """Benjamini-Hochberg p-value limit of each stratum, from a histogram of at most 9 strata by 400 bins.
+    """Benjamini-Hochberg p-value limit of each stratum, from a histogram of at most 18 strata by 400 bins.
 
     A bin's upper edge stands for its p-values, so the limits err on the strict side.
     """
     edge = F.least(F.floor(-F.log10(F.greatest(F.col("t.p"), F.lit(1e-20))) * (_BINS / 20)), F.lit(_BINS - 1)).cast("int")
     counts = scanned.select(F.explode("tokens").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), edge.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     bins: dict[str, dict[int, int]] = {}
-    for stratum, b, n in counts.collect():  # bounded: 9 * 400 rows
+    for stratum, b, n in counts.collect():  # bounded: 18 * 400 rows
         bins.setdefault(stratum, {})[b] = n
     out = {}
     for stratum, by in bins.items():

@@ -58,6 +58,13 @@ def test_recall_of_upper_case_hex_and_base32(spark):
     assert at[0] >= 0.6 and at[1] >= 0.7 and at[2] >= 0.85, at
 
 
+def test_recall_of_tokens_of_no_common_encoding(spark):
+    plain = ["internationalization", "formatannotationrelativeto", "getincrementalencoder", "PYTHONFRAMEWORKINSTALLDIR", "ASSIGNMENTEXPRESSIONS1890", "ContentDispositionHeader", "test_split_rubber_player_names", "docs/guides/getting-started/index"]
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
+        at = recall(spark, letters, plain)
+        assert at[0] >= 0.6 and at[1] >= 0.7 and at[2] >= 0.85, (letters, at)
+
+
 def test_query_digests(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op8_secret_scans(spark, sf_dir).collect():
