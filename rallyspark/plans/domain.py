@@ -14,6 +14,8 @@ add = registry.add
 ROUNDS = ("Round of 16", "QuarterFinal", "SemiFinal", "Final")
 #: Customers of a block of ids and one segment are a ranking list, so lists grow in number with the table and not in size.
 LIST_IDS = 5000
+#: Order keys of one draw.
+DRAW_IDS = 512
 
 
 def _matches(spark, sf_dir):
@@ -27,6 +29,17 @@ def _matches(spark, sf_dir):
     )
 
 
+def _whole_matches(spark, sf_dir):
+    """All orders as matches; a draw is a block of DRAW_IDS order keys, so draws grow in number with the table and not in size."""
+    key = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    event = F.floor(F.col("o_orderkey") / DRAW_IDS)
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("match_id"), event.alias("event_id"), F.when(event % 2 == 0, "WTT_MAIN").otherwise("ITTF").alias("category_code"), F.lit("MS").alias("sub_event_type_code"),
+        F.lit("Main Draw").alias("stage"), F.element_at(F.array(*map(F.lit, ROUNDS)), (F.pmod(F.floor(F.col("o_orderkey") / 3), F.lit(4)) + 1).cast("int")).alias("round"),
+        key(F.col("o_orderkey") % 7).alias("side_a_key"), key(F.col("o_custkey") % 5).alias("side_b_key"), F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "B").alias("winner_side"),
+    )
+
+
 _MATCHES = """
     m AS (SELECT o_orderkey AS match_id, (o_custkey % 200) AS event_id, o_custkey % 2 = 1 AS other, ['R16', 'QuarterFinal', 'SemiFinal', 'Final'][(o_orderkey // 3) % 4 + 1] AS r,
       'P' || (o_orderkey % 7) AS a, 'P' || (o_custkey % 5) AS b, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'B' END AS w FROM orders WHERE o_orderkey % 3 = 0),
@@ -58,7 +71,7 @@ def bracket_links(spark, sf_dir):
 @add()
 def bracket_positions(spark, sf_dir):
     """Places of matches in their brackets."""
-    linked = stored(bracket.feeder_links(stored(bracket.draw_rows(_matches(spark, sf_dir)), "draw")), "linked")
+    linked = stored(bracket.feeder_links(stored(bracket.draw_rows(_whole_matches(spark, sf_dir)), "draw")), "linked")
     return bracket.bracket_positions(linked).select("match_id", "event_id", "draw_round", "bracket_position")
 
 
@@ -80,13 +93,13 @@ def _rosters(rows):
 @add()
 def champions_all(spark, sf_dir):
     """Champions of all draws; of several finals the one between the semifinal winners."""
-    return champions.champions(stored(_rosters(bracket.draw_rows(_matches(spark, sf_dir))), "rosters"))
+    return champions.champions(stored(_rosters(bracket.draw_rows(_whole_matches(spark, sf_dir))), "rosters"))
 
 
 @add()
 def team_champions(spark, sf_dir):
     """Team champions by rubbers of the final tie."""
-    return champions.champions(stored(_rosters(bracket.draw_rows(_matches(spark, sf_dir).withColumn("sub_event_type_code", F.lit("MT")))), "rosters"))
+    return champions.champions(stored(_rosters(bracket.draw_rows(_whole_matches(spark, sf_dir).withColumn("sub_event_type_code", F.lit("MT")))), "rosters"))
 
 
 @add()

@@ -30,3 +30,12 @@ def test_ranking_lists_of_all_customers(spark, tmp_path):
     got = catalogue.QUERIES["ranking_id_merge"](spark, str(tmp_path)).collect()
     assert len(got) == len(ids) and {(r.category, r.seq, r.player_id, r.results_rank, r.status) for r in got} == want
     assert {r[4] for r in want} >= {"matched", "rank_fallback"} and max(map(len, lists.values())) < 2500
+
+
+def test_brackets_of_all_orders(spark, tmp_path):
+    ids = range(2048)
+    spark.createDataFrame([(k, k * 31 % 97, "FOP"[k % 11 % 3]) for k in ids], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    placed = catalogue.QUERIES["bracket_positions"](spark, str(tmp_path)).collect()
+    assert sorted((r.match_id, r.event_id) for r in placed) == [(k, k // 512) for k in ids]
+    for name in ("champions_all", "team_champions"):
+        assert sorted(r.event_id for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()) == [0, 1, 2, 3], name
