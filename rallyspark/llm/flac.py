@@ -2,8 +2,9 @@
 
 Writing: blocks of 256 samples (the last one shorter), each as constant, fixed or quantised linear predictor with one Rice
 partition, or verbatim, whichever is least; a seek table names every sixteenth frame. Reading: frames are found by their sync code,
-header checksum and number; all frames of a batch are lanes that read one Rice code and restore one sample a step; every frame's
-CRC-16 and every stream's MD5 is verified. Decoded blocks carry their sample and byte offsets, so that a reader can seek.
+header checksum and number, where several places fit by the checksum of the frame before; all frames of a batch are lanes that read
+one Rice code and restore one sample a step; every frame's CRC-16 and every stream's MD5 is verified. Decoded blocks carry their
+sample and byte offsets, so that a reader can seek. Streams of other encoders are read bit by bit (``flac_reader``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from rallyspark.llm import flac_reader
 from rallyspark.llm.common import key, text_of, with_key
+from rallyspark.llm.flac_reader import BadStream
 
 BLOCK = 256
 UNIT = 64
@@ -225,10 +228,6 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-class BadStream(ValueError):
-    pass
-
-
 def _meta(stream: bytes) -> tuple[int, int, int, bytes]:
     """Where the frames begin, samples, block size and MD5 of a stream."""
     if stream[:4] != b"fLaC":
@@ -359,6 +358,44 @@ def _decode_lanes(bits: _Bits, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out, after
 
 
+def _sum16(raw: bytes) -> int:
+    c, table = 0, CRC16.tolist()
+    for byte in raw:
+        c = c << 8 & 0xFFFF ^ table[c >> 8 ^ byte]
+    return c
+
+
+def _chain(buf: np.ndarray, at: np.ndarray, number: np.ndarray, begin: int, end: int, count: int) -> list[int]:
+    """Places of ``count`` frames from ``begin`` to ``end`` among candidates, some of which are samples that look like a header.
+
+    A frame's successor has the next number; of several the one up to which the frame's own checksum fits, tried in order.
+    """
+    spots: dict[int, list[int]] = {}
+    for a, n in zip(at.tolist(), number.tolist(), strict=True):
+        spots.setdefault(n, []).append(a)
+
+    def whole(a: int, b: int) -> bool:
+        raw = buf[a:b].tobytes()
+        return len(raw) > 2 and _sum16(raw[:-2]) == raw[-2] << 8 | raw[-1]
+
+    path, options = [], [[a for a in spots.get(0, []) if a == begin]]
+    while options:
+        if not options[-1]:
+            options.pop()
+            if path:
+                path.pop()
+            continue
+        path.append(options[-1].pop(0))
+        if len(path) == count:
+            if whole(path[-1], end):
+                return path
+            path.pop()
+            continue
+        later = [b for b in spots.get(len(path), []) if b > path[-1]]
+        options.append([b for b in later if whole(path[-1], b)] if len(later) > 1 else later)
+    raise BadStream("frames are missing or their checksums are wrong")
+
+
 def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each stream: its samples as unsigned bytes, and the byte offsets of its frames. Raises BadStream for damaged ones."""
     metas = [_meta(s) for s in streams]
@@ -374,14 +411,14 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     counts = np.array([-(-m[1] // m[2]) for m in metas], np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
     if len(at) != first[-1] or (number != np.arange(len(at)) - first[owner]).any():
-        keep, want = [], np.zeros(len(streams), np.int64)  # a sync code inside a frame: take the numbers in order
-        for i, (o, k) in enumerate(zip(owner.tolist(), number.tolist(), strict=True)):
-            if k == want[o]:
-                keep.append(i)
-                want[o] += 1
+        cuts, keep = np.searchsorted(owner, np.arange(len(streams) + 1)), []
+        for i, count in enumerate(counts.tolist()):
+            own = slice(cuts[i], cuts[i + 1])
+            if cuts[i + 1] - cuts[i] == count and (number[own] == np.arange(count)).all():
+                keep += range(cuts[i], cuts[i + 1])
+            else:  # samples that look like a header
+                keep += np.searchsorted(at, _chain(buf, at[own], number[own], int(begin[i]), int(base[i + 1]), count)).tolist()
         at, size, head, owner = at[keep], size[keep], head[keep], owner[keep]
-        if (want != counts).any():
-            raise BadStream("frames are missing")
     ends = np.append(at[1:], 0)
     last = np.append(owner[1:] != owner[:-1], True) if len(at) else np.empty(0, bool)
     ends[last] = base[1:][owner[last]]
@@ -465,18 +502,28 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return with_key(_rows(docs).mapInPandas(run, "doc_id string, n_bytes long, media binary"))
 
 
+def read_blocks(stream: bytes) -> list[tuple[int, int, bytes]]:
+    """First sample, byte offset and PCM bytes of every frame: by lanes where this module wrote the stream, else bit by bit."""
+    try:
+        (pcm, at), = decode([stream])
+        return [(i * BLOCK, int(a), pcm[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i, a in enumerate(at)]
+    except (BadStream, IndexError):
+        audio = flac_reader.read(stream)
+        return [(first, at, audio.pcm(first, n)) for at, first, n in audio.frames]
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """Decoded blocks of FLAC streams (doc_id, media): block number, first sample, byte offset in the stream and PCM bytes.
 
-    Null streams give no rows; a damaged stream fails with BadStream.
+    Null streams give no rows; a damaged stream fails with BadStream. Streams of other encoders give the samples of all channels
+    interleaved, unsigned up to 8 bits, else signed little-endian.
     """
 
     def run(batches):
         for batch in batches:
             batch = batch[batch["media"].notna()]
             for doc_id, stream in zip(batch["doc_id"], batch["media"], strict=True):
-                (pcm, at), = decode([stream])
-                starts = np.arange(len(at)) * BLOCK
-                yield pd.DataFrame({"doc_id": [doc_id] * len(at), "block": np.arange(len(at)), "first_sample": starts, "byte_offset": at, "pcm": [pcm[s : s + BLOCK].tobytes() for s in starts]})
+                rows = read_blocks(bytes(stream))
+                yield pd.DataFrame({"doc_id": [doc_id] * len(rows), "block": np.arange(len(rows)), "first_sample": [r[0] for r in rows], "byte_offset": [r[1] for r in rows], "pcm": [r[2] for r in rows]})
 
     return with_key(media.select(key(), "media").mapInPandas(run, "doc_id string, block long, first_sample long, byte_offset long, pcm binary"))

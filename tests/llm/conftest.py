@@ -21,6 +21,7 @@ ROWS = [
     (8, "日本語 😀 ünïcödé ▁ mixed ▁▁ <|endoftext|> İstanbul ΣΑΣ", "xx", "s3", 10),
     (9, LONG, "en", "s1", len(LONG)),
     (9007199254740993, "one", "en", "s1", 3),
+    (10, "Ünïcödé çñ € text " * 3 + "\x7fx\u4081\x00x" + " 日本語 und ßtraße ¿qué? " * 30, "de", "s2", 800),
 ]
 
 
