@@ -16,8 +16,8 @@ from rallyspark.llm.common import store
 
 Tree = list[list[list[float]]]
 
-#: Slots are numbered in this many parts of each shard, so that no shard's numbering meets in one task.
-PARTS = 64
+#: Slots are numbered in parts of each shard, so that no shard's numbering meets in one task: at least so many, and of about so many rows.
+PARTS, PART_ROWS = 64, 250_000
 
 
 def balanced_tree(shards: int, per_rack: int = 5, racks: int = 4) -> Tree:
@@ -67,6 +67,11 @@ def place(df: DataFrame, key: str, tree: Tree, prefix: str = "") -> DataFrame:
     return out.withColumn(shard, (F.array(*map(F.lit, first))[at] + _draw(F.col(key), "shard", at, shard_w)).cast("int"))
 
 
+def grown_tree(tree: Tree) -> Tree:
+    """The tree with one more shard of weight 1 in a region of its own: no other subtree's weights change."""
+    return [*tree, [[1.0]]]
+
+
 def slots(df: DataFrame, group: str, *order: str) -> DataFrame:
     """Add ``slot``, gapless from 0 in each group, by counting parts first; ``df`` must be stored (it is read twice).
 
@@ -74,19 +79,21 @@ def slots(df: DataFrame, group: str, *order: str) -> DataFrame:
     """
     parts = df.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    # one row for each part of each group: groups * PARTS rows, whatever the input
+    # one row for each part of each group, a 250 000th of the input at most: the planner broadcasts them where they are small
     offsets = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     rank = F.row_number().over(W.partitionBy(group, "part").orderBy(*order))
-    return df.withColumn("rank", rank).join(F.broadcast(offsets), [group, "part"]).withColumn("slot", (F.col("before") + F.col("rank") - 1).cast("long")).drop("rank", "before", "part")
+    return df.withColumn("rank", rank).join(offsets, [group, "part"]).withColumn("slot", (F.col("before") + F.col("rank") - 1).cast("long")).drop("rank", "before", "part")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Size, checksum, place now and place with one more shard, and a gapless slot, for every row.
 
     Null text: size 16, checksum 0. Rows with one doc_id (or a null one) share a shard; repeated rows get a slot each.
-    Empty table: no rows. Only doc_id and text are read; text never leaves its task.
+    The added shard is a region of its own, so with any number of shards rows move into it only. Empty table: no rows. Only doc_id and text are read; text never leaves its task.
     """
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = place(place(rows, "doc_id", balanced_tree(shards)), "doc_id", balanced_tree(shards + 1), "grown_")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(PARTS)).cast("int"))
-    return slots(store(rows, "shards"), "shard", "doc_id", "text_crc32", "size")
+    tree = balanced_tree(shards)
+    rows = place(place(rows, "doc_id", tree), "doc_id", grown_tree(tree), "grown_")
+    placed = store(rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id())), "shards")
+    parts = max(PARTS, -(-placed.count() // (shards * PART_ROWS)))
+    return slots(placed.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).drop("h"), "shard", "doc_id", "text_crc32", "size")
