@@ -10,14 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch, so that rows with long texts take bounded memory in the JVM and in its Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless they are bounded more strictly already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = int(spark.conf.get(name).rstrip("b"))
+    if not 0 < found <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where the cluster names none."""
+    """The folder all executors share (``spark.checkpoint.dir``); a new one only where Spark runs in one local process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rallyspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,7 +74,7 @@ def with_key(df: DataFrame) -> DataFrame:
 _GAP = re.compile("(?<! ) ")
 
 
-def slices(text: str, size: int = 1 << 20):
+def slices(text: str, size: int = 1 << 18):
     """Cut a text before runs of spaces into parts of about ``size`` characters, so that very long texts need bounded memory."""
     at, n = 0, len(text)
     while n - at > size:

@@ -53,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 18)
+        size = max(n, 1 << 17)
         for i, base in enumerate((_STEP, _BACK)):
             steps = np.full(size, base)
             steps[0] = 1
@@ -180,8 +180,8 @@ def _registers(column: pd.Series) -> np.ndarray:
 
 def _sketched(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for i in range(0, len(batch), 500):
-            part = batch.iloc[i : i + 500]
+        for i in range(0, len(batch), 200):
+            part = batch.iloc[i : i + 200]
             sets = [shingles(t, words) for t in part["text"]]
             sums = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(_mix(s)))) if len(s) else (0, 0) for s in sets]
             signed = lambda j: np.array([x[j] for x in sums], np.uint64).view(np.int64)

@@ -11,12 +11,12 @@ import numpy as np
 
 from rallyspark.llm.common import slices
 
-#: Words held at once in a worker, and the longest word that is held.
-CACHE_WORDS = 600_000
+#: Words held at once in a worker (about 30 MB with what they stand for), and the longest word that is held.
+CACHE_WORDS = 120_000
 CACHE_CHARS = 16
 
 
-def runs(texts: list[str], size: int = 1 << 21) -> Iterator[list[tuple[int, int, str]]]:
+def runs(texts: list[str], size: int = 1 << 19) -> Iterator[list[tuple[int, int, str]]]:
     """Lists of (text's number, part's number, part) with about ``size`` characters."""
     out, held = [], 0
     for i, text in enumerate(texts):
