@@ -76,8 +76,10 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _normal_below(z: Column) -> Column:
-    """Standard normal distribution function, by a logistic form good to 1.5e-4 near its middle and monotone in the tails."""
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+    """Standard normal distribution function, by a rational form of the tail with a relative error below 0.3 % at any distance."""
+    x = F.abs(z)
+    tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) / (0.661 * x + 0.339 * F.sqrt(x * x + 5.51))
+    return F.when(z < 0, tail).otherwise(1 - tail)
 
 
 def _battery(token: Column, encoding: Column) -> Column:
