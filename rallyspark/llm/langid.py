@@ -2,8 +2,13 @@
 
 A text's bytes (A-Z in lower case) are cut into windows of 256. Bytes are embedded, filters of widths 2, 3 and 4 run over each
 window, every filter keeps its largest answer, and a softmax layer names the language. A document's distribution is the mean of its
-windows' log-probabilities, weighted by their bytes. Training takes a bounded sample of labelled rows (``SAMPLE`` for each language,
-up to ``WINDOWS`` windows spread over the whole text of each); prediction reads every window of every text.
+windows' log-probabilities, weighted by their bytes. Training takes a bounded sample of labelled rows (at most ``SAMPLE`` for each
+language and ``ROWS`` in all, up to ``WINDOWS`` windows spread over the whole text of each); prediction reads every window of every
+text.
+
+One class more than there are languages stands for what is none of them. Its windows are made from the sample: bytes of a window in
+another order, letters drawn alike, and bytes drawn alike. It takes no part in naming a language; the filter of documents drops a
+text where it is far likelier than all languages together, at any length (a short text's evidence counts less, so it stays in doubt).
 """
 
 from __future__ import annotations
@@ -22,12 +27,15 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 6
-#: Sample that is fitted: documents for each language, most languages, and windows of each document.
+#: Sample that is fitted: most documents of a language, most documents of all languages (a language has one at least, so with more
+#: languages than this the rarest are not learnt), and windows of each document.
 SAMPLE = 300
-LANGUAGES = 64
+ROWS = 19_200
 WINDOWS = 6
 EPOCHS = 12
 UNKNOWN = "und"
+#: The class of texts in no language; no language's name, since it has a line feed.
+NOISE = "\nnoise"
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -44,6 +52,11 @@ def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.minimum(WINDOW, np.maximum(1, len(x) - np.arange(n) * WINDOW))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter by Unicode; number signs such as those of fractions and Roman numerals are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Network:
     classes: list[str]
@@ -110,6 +123,18 @@ def train(rows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: int
     return Network(classes, *p)
 
 
+def noise(rows: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Windows in no language, as long as those of ``rows``: of each four, two with their bytes in another order, one of letters drawn alike, one of bytes drawn alike."""
+    rng, out = np.random.default_rng(seed), np.zeros_like(rows)
+    for i, row in enumerate(rows):
+        own = row[: np.flatnonzero(row)[-1] + 1] if row.any() else row[:1]
+        if i % 4 < 2:
+            out[i, : len(own)] = rng.permutation(own)
+        else:
+            out[i, : len(own)] = rng.integers(97, 123, len(own)) if i % 4 == 2 else rng.integers(1, 256, len(own))
+    return out
+
+
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -123,27 +148,41 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(labelled: DataFrame) -> Network | None:
     """A network from rows (doc_id, text, lang); None where no row has both text and lang.
 
-    Of the LANGUAGES most frequent languages the SAMPLE rows with the least hash of doc_id are taken, so the driver gets a bounded sample.
+    Every language is learnt, from its rows with the least hash of doc_id and length: SAMPLE of them, or fewer where there are so many
+    languages that ROWS would be exceeded. Rows with one hash count once, so repeated and null ids do not add to what the driver gets.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", F.octet_length("text")).alias("h"))
-    # languages with most rows; a share of each that is expected to hold four times SAMPLE rows is ranked
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(ROWS).collect()  # bounded: ROWS
+    if not counts:
+        return None
+    each = max(1, min(SAMPLE, ROWS // len(counts)))
+    sized = labelled.sparkSession.createDataFrame([(r["lang"], r["rows"]) for r in counts], "lang string, rows long")
+    # a share of each language that is expected to hold four times what is taken is ranked, a row for each hash; all of it where rows repeat
     place = F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    near = rows.select("lang", "h").join(F.broadcast(counts), "lang").where(place * F.col("rows") < 4 * SAMPLE)
+    near = rows.select("lang", "h").join(F.broadcast(sized), "lang").where((place * F.col("rows") < 4 * max(each, 16))).select("lang", "h").distinct()
     rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))
-    picked = near.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "h").distinct()
-    found = rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", "text").mapInPandas(_sampled, "lang string, window binary").toPandas()
-    if found.empty:
-        return None
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "h")
+    texts = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = texts.select("lang", "text").mapInPandas(_sampled, "lang string, window binary").toPandas()
+    missing = [r["lang"] for r in counts if r["lang"] not in set(found["lang"])]
+    if missing:  # languages of few different hashes, none of them near: a row of each
+        wanted = sized.where(F.col("lang").isin(missing)).select("lang")
+        more = rows.join(F.broadcast(wanted), "lang").groupBy("lang").agg(F.min("text").alias("text"))
+        found = pd.concat([found, more.mapInPandas(_sampled, "lang string, window binary").toPandas()])
     found = found.sort_values(["lang", "window"], kind="stable")
     classes = sorted(found["lang"].unique())
     x = np.stack([np.frombuffer(w, np.uint8) for w in found["window"]])
-    return train(x, np.searchsorted(classes, found["lang"]), classes)
+    y = np.searchsorted(classes, found["lang"])
+    fill = noise(x[:: max(1, min(len(classes), 8))])
+    return train(np.concatenate([x, fill]), np.concatenate([y, np.full(len(fill), len(classes))]), [*classes, NOISE])
 
 
 def predict(texts: pd.Series, net: Network | None) -> pd.DataFrame:
-    """lang_pred and score of each text, windows of many texts going through the network together."""
-    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    """lang_pred, score and noise of each text, windows of many texts going through the network together.
+
+    ``score`` is the named language's share among the languages, ``noise`` the share of texts in no language among all classes.
+    """
+    names, scores, noisy = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     queue: list[tuple[int, np.ndarray, np.ndarray]] = []
     totals: dict[int, tuple[np.ndarray, float]] = {}
 
@@ -161,7 +200,7 @@ def predict(texts: pd.Series, net: Network | None) -> pd.DataFrame:
 
     held = 0
     for i, text in enumerate(texts):
-        if net is None or text is None or not _LETTER.search(text):
+        if net is None or text is None or not has_letter(text):
             continue
         rows, sizes = windows(text.encode())
         for j in range(0, len(rows), 256):
@@ -175,9 +214,12 @@ def predict(texts: pd.Series, net: Network | None) -> pd.DataFrame:
     for i, (logs, size) in totals.items():
         mean = logs / size * min(4.0, size / 64)
         p = np.exp(mean - mean.max())
+        if net.classes[-1] == NOISE:
+            noisy[i] = p[-1] / p.sum()
+            p = np.exp(mean[:-1] - mean[:-1].max())
         p /= p.sum()
         names[i], scores[i] = net.classes[int(p.argmax())], float(p.max())
-    return pd.DataFrame({"lang_pred": names, "score": scores}, index=texts.index)
+    return pd.DataFrame({"lang_pred": names, "score": scores, "noise": noisy}, index=texts.index)
 
 
 def held_out(key: str = "doc_id"):
@@ -185,12 +227,12 @@ def held_out(key: str = "doc_id"):
 
 
 def predicted(net: Network | None):
-    """A column function: text -> struct<lang_pred, score>.
+    """A column function: text -> struct<lang_pred, score, noise>.
 
     Null texts, texts without a letter, and all texts where nothing could be learnt: ``und`` with score 0.
     """
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, noise double")
     def run(texts: pd.Series) -> pd.DataFrame:
         return predict(texts, net)
 
@@ -202,14 +244,14 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select("doc_id", predicted(net)(F.col("text")).alias("p")).select("doc_id", "p.lang_pred", "p.score")
 
 
-def accepted(docs: DataFrame, net: Network | None, least: float = 0.5, sure: int = 2 * 64) -> DataFrame:
+def accepted(docs: DataFrame, net: Network | None, most: float = 0.99) -> DataFrame:
     """The rows of ``docs`` in a known language; all rows where nothing could be learnt.
 
-    Texts without a letter go. So do texts of at least ``sure`` bytes with a score below ``least``, which are like none of the languages;
-    a shorter text's score is low by design (few bytes say little), so it is kept.
+    Texts without a letter go, and texts whose share of the class of no language is above ``most``: at 0.99 the text must be a hundred
+    times likelier there than in all languages together, as fits a corpus of which one text in a hundred is in no learnt language.
     """
     if net is None:
         return docs
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    judged = docs.select(row, F.octet_length("text").alias("bytes"), predicted(net)(F.col("text")).alias("p"))
-    return judged.where((F.col("p.lang_pred") != UNKNOWN) & ((F.col("p.score") >= least) | (F.col("bytes") < sure))).select("row.*")
+    judged = docs.select(row, predicted(net)(F.col("text")).alias("p"))
+    return judged.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.noise") <= most)).select("row.*")
