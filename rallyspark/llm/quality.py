@@ -91,10 +91,14 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """features and quality of at most ``sample`` labelled documents, least hash of doc_id first."""
+    """features and quality of at most ``sample`` labelled documents, least hash of doc_id first.
+
+    Of labels that differ the larger counts; of rows that share a doc_id the least text, so the sample is bounded whatever repeats.
+    """
     good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = good.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).drop("h")
     rows = docs.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
     return rows.select("quality", "text").mapInPandas(_measured, "quality int, features array<double>").toPandas()
 
 

@@ -35,3 +35,43 @@ def test_awkward_rows(spark, docs, wide, labels, empty):
     assert quality.classify(empty, labels).count() == 0 and quality.kept_documents(empty, no_labels).count() == 0
     one_kind = labels.where("quality = 1")
     assert quality.classify(docs, one_kind).where("kept").count() == docs.where("text <> ''").count()
+
+
+def test_posteriors_by_hand(spark, docs, wide, labels):
+    """Every step after the evidence, in plain Python over all rows."""
+    rows = quality.classify(wide, labels).collect() + quality.classify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()
+    cut = docs.count()
+    own = {0: {}, 1: {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r.quality is not None}}
+    for r in labels.collect():
+        if r.quality is not None and r.doc_id is not None:
+            own[0][r.doc_id] = max(r.quality, own[0].get(r.doc_id, 0))
+
+    def strength(groups):
+        some = [(p, good / n, n) for p, good, n in groups if n > 1]
+        chance, over = sum(p * (1 - p) for p, _, _ in some), sum(p * (1 - p) * (n - 1) for p, _, n in some)
+        if not over:
+            return 100.0
+        between = max(1e-6, (sum(n * (m - p) ** 2 for p, m, n in some) - chance) / over)
+        return min(1000.0, max(1.0, 1 / min(between, 0.999) - 1))
+
+    for part, marks in ((rows[:cut], own[0]), (rows[cut:], own[1])):
+        paths, hosts = {}, {}
+        for r in part:
+            if r.evidence is not None:
+                good = float(marks.get(r.doc_id, 1 / (1 + np.exp(-r.evidence))))
+                for table, k in ((paths, (r.host, r.path)), (hosts, r.host)):
+                    n, g = table.get(k, (0, 0.0))
+                    table[k] = n + 1, g + good
+        total = sum(n for n, _ in hosts.values())
+        rate = min(0.999, max(0.001, sum(g for _, g in hosts.values()) / total))
+        k = strength([(rate, g, n) for n, g in hosts.values()])
+        host_rate = {h: (g + k * rate) / (n + k) for h, (n, g) in hosts.items()}
+        k = strength([(host_rate[h], g, n) for (h, _), (n, g) in paths.items()])
+        path_rate = {(h, p): (g + k * host_rate[h]) / (n + k) for (h, p), (n, g) in paths.items()}
+        for r in part:
+            if r.evidence is None:
+                assert (r.score, r.kept) == (0, False)
+                continue
+            q = path_rate[r.host, r.path]
+            score = 1 / (1 + np.exp(-(r.evidence + np.log(q / (1 - q)) - np.log(rate / (1 - rate)))))
+            assert abs(r.host_rate - host_rate[r.host]) < 1e-9 and abs(r.path_rate - q) < 1e-9 and abs(r.score - score) < 1e-9 and r.kept == (r.score >= quality.KEEP)
