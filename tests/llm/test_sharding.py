@@ -42,3 +42,11 @@ def test_last_shard_takes_its_share(spark):
     j = a.join(b, "k")
     assert j.where("shard <> g_shard and g_shard <> 40").count() == 0
     assert 850 < j.where("g_shard = 40").count() < 1150
+
+
+def test_any_number_of_shards_grows_into_the_new_one_only(spark):
+    keys = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for shards in (1, 7, 30, 39, 40):
+        out = sharding.shard_documents(keys, shards)
+        assert out.where(f"grown_shard <> shard and grown_shard <> {shards}").count() == 0, shards
+        assert abs(out.where(f"grown_shard = {shards}").count() - 4000 / (shards + 1)) < 5 * (4000 / (shards + 1)) ** 0.5
