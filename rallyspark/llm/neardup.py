@@ -393,9 +393,10 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     named = nodes.select("set_a", "set_b", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = store(named.groupBy("set_a", "set_b").agg(F.min(F.coalesce("label", "id")).alias("component_id")), "components")
     discard(hubs, members, reps, pairs, nodes, texts)
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
+    sized = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b")
+    out = sized.where("doc_id is not null and n_shingles > 0").join(named, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component_id")
+    alone = sized.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
