@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,24 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: What drops the caches of this Python worker, and the operator that it works for.
+_droppers: list[Callable[[], None]] = []
+_working: list[str] = []
+
+
+def dropped_by(drop: Callable[[], None]) -> None:
+    """Name a cache that other operators' tasks drop."""
+    _droppers.append(drop)
+
+
+def work_for(operator: str) -> None:
+    """Called by a task in its worker: workers are used again, so what they hold for another operator goes first."""
+    if _working != [operator]:
+        for drop in _droppers:
+            drop()
+        _working[:] = [operator]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

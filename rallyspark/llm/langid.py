@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rallyspark.llm.common import work_for
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -234,6 +236,7 @@ def predicted(net: Network | None):
 
     @F.pandas_udf("lang_pred string, score double, noise double")
     def run(texts: pd.Series) -> pd.DataFrame:
+        work_for("langid")
         return predict(texts, net)
 
     return run

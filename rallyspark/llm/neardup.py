@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyspark.llm.common import discard, slices, store
+from rallyspark.llm.common import discard, slices, store, work_for
 from rallyspark.llm.components import components
 
 M, ROWS = 160, 4
@@ -179,6 +179,7 @@ def _registers(column: pd.Series) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    work_for("neardup")
     for batch in batches:
         for i in range(0, len(batch), 200):
             part = batch.iloc[i : i + 200]

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyspark.llm.common import key, text_of, with_key
+from rallyspark.llm.common import key, text_of, with_key, work_for
 from rallyspark.llm.tokens import WordIds, word_ids
 
 TIERS = (512, 1024, 2048, 4096)
@@ -37,29 +37,36 @@ class Tiers:
     """Rests of documents by tier, each tier sorted by length."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS):
-        self.tiers = tiers
+        self.tiers, self.sums = tiers, [0] * len(tiers)
         self.rests: list[list[tuple[int, int, int]]] = [[] for _ in tiers]  # (length, document, start)
 
     def add(self, doc: int, start: int, length: int) -> None:
         if length:
-            insort(self.rests[next(i for i, t in enumerate(self.tiers) if length <= t)], (length, doc, start))
+            tier = next(i for i, t in enumerate(self.tiers) if length <= t)
+            insort(self.rests[tier], (length, doc, start))
+            self.sums[tier] += length
 
     def tokens(self, upto: int) -> int:
-        return sum(x[0] for rests in self.rests[:upto] for x in rests)
+        return sum(self.sums[:upto])
+
+    def _pop(self, tier: int, i: int) -> tuple[int, int, int]:
+        rest = self.rests[tier].pop(i)
+        self.sums[tier] -= rest[0]
+        return rest
 
     def _take(self, upto: int, most: int) -> tuple[int, int, int] | None:
         """The longest rest of at most ``most`` tokens in the tiers below ``upto``."""
-        for rests in reversed(self.rests[:upto]):
-            if i := bisect_left(rests, (most + 1,)):
-                return rests.pop(i - 1)
+        for tier in range(upto - 1, -1, -1):
+            if i := bisect_left(self.rests[tier], (most + 1,)):
+                return self._pop(tier, i - 1)
         return None
 
     def _cut(self, upto: int, size: int) -> tuple[int, int, int] | None:
         """A piece of exactly ``size`` tokens from the shortest rest that is longer."""
-        for rests in self.rests[:upto]:
-            i = bisect_left(rests, (size + 1,))
-            if i < len(rests):
-                length, doc, start = rests.pop(i)
+        for tier in range(upto):
+            i = bisect_left(self.rests[tier], (size + 1,))
+            if i < len(self.rests[tier]):
+                length, doc, start = self._pop(tier, i)
                 self.add(doc, start + size, length - size)
                 return size, doc, start
         return None
@@ -104,6 +111,7 @@ def _encoded(batch: pd.DataFrame, encoder: WordIds, rows: int = 500) -> Iterator
 def _packed(batches: Iterator[pd.DataFrame], path: str, tiers: tuple[int, ...], chunk: int) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
+    work_for("packing")
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 40
     encoder, pool, ids, docs = word_ids(path), Tiers(tiers), {}, {}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyspark.llm.common import key, text_of, with_key
+from rallyspark.llm.common import dropped_by, key, text_of, with_key, work_for
 from rallyspark.llm.tokens import WordCache
 
 SPACE = "▁"
@@ -171,7 +171,11 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+dropped_by(piece_model.cache_clear)
+
+
 def _coded(batches: Iterator[pd.DataFrame], path: str, rows: int = 500) -> Iterator[pd.DataFrame]:
+    work_for("pieces")
     model = piece_model(path)
     for batch in batches:
         for i in range(0, len(batch), rows):

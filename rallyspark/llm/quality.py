@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyspark.llm.common import discard, store
+from rallyspark.llm.common import discard, store, work_for
 
 #: Labelled documents that the model is fitted on (least hashes first), and words of a window of the type-token ratio.
 SAMPLE = 4000
@@ -115,6 +115,7 @@ def evidence(model: Evidence):
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
+        work_for("quality")
         found = pd.Series(np.nan, index=texts.index)
         some = [i for i, t in enumerate(texts) if t]
         if some:

@@ -9,14 +9,14 @@ from functools import lru_cache
 
 import numpy as np
 
-from rallyspark.llm.common import slices
+from rallyspark.llm.common import dropped_by, slices
 
-#: Words held at once in a worker (about 30 MB with what they stand for), and the longest word that is held.
-CACHE_WORDS = 120_000
+#: Words held at once in a worker (about 65 MB with what they stand for), and the longest word that is held.
+CACHE_WORDS = 400_000
 CACHE_CHARS = 16
 
 
-def runs(texts: list[str], size: int = 1 << 19) -> Iterator[list[tuple[int, int, str]]]:
+def runs(texts: list[str], size: int = 1 << 20) -> Iterator[list[tuple[int, int, str]]]:
     """Lists of (text's number, part's number, part) with about ``size`` characters."""
     out, held = [], 0
     for i, text in enumerate(texts):
@@ -43,9 +43,10 @@ class WordCache:
             lists = [self.split(part, j == 0) for _, j, part in run]
             seen = set().union(*lists)
             new = seen.difference(held)
-            if len(held) + len(new) > CACHE_WORDS:
+            if len(held) + len(new) > CACHE_WORDS:  # the words in use now stay, among them the frequent ones
+                kept = {w: held[w] for w in seen if w in held}
                 held.clear()
-                new = seen
+                held.update(kept)
             held.update(self.learn(list(new)))
             for (i, _, _), words in zip(run, lists, strict=True):
                 parts[i].append(b"".join(map(held.__getitem__, words)))
@@ -131,3 +132,6 @@ class WordIds:
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
+
+
+dropped_by(word_ids.cache_clear)
