@@ -203,16 +203,37 @@ def career_best(entries: DataFrame, player: str, rank: str, date: str, month: Co
     return rows.groupBy(player).agg(F.min(rank).alias("best_rank"), F.min_by(month, F.struct(rank, date)).alias("best_month"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str) -> DataFrame:
+def _with_neighbours(left: DataFrame, places: DataFrame, keys: list[str], width: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a range ``_b`` of ``width``; a range that left rows are in also gets the last place before it and the first behind it.
+
+    One row for each range of a key goes through the window that carries them, however many rows the ranges hold.
+    """
+    place = F.struct("_at", "_v")
+    placed, asked = places.withColumn("_b", F.floor(F.col("_at") / width)), left.withColumn("_b", F.floor(F.col("_at") / width))
+    ends = placed.groupBy(*keys, "_b").agg(F.max(place).alias("hi"), F.min(place).alias("lo"))
+    ranges = asked.select(*keys, "_b").distinct().withColumn("_asked", F.lit(True)).join(ends, [*keys, "_b"], "full")
+    w = W.partitionBy(*keys).orderBy("_b")
+    before, behind = F.last("hi", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    carried = ranges.withColumn("m", F.array(before, behind)).where("_asked").select(*keys, "_b", F.explode("m").alias("m")).where("m is not null").select(*keys, "_b", "m._at", "m._v")
+    return asked, placed.unionByName(carried)
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, width: float | None = None) -> DataFrame:
     """Add the value of the nearest row on the right by distance, ``distance`` and ``ambiguous``.
 
     Both sides are sorted together once; candidates are the last at or before and the first at or after. Equal distances of different
-    values on the two sides are ambiguous and give null. Of right rows at one place the least value counts.
+    values on the two sides are ambiguous and give null. Of right rows at one place the least value counts. With ``width`` a key's rows
+    are dealt by ranges of so much, so that one key (or none) does not meet in one task.
     """
-    places = right.where(F.col(right_at).isNotNull()).groupBy(*keys, F.col(right_at).alias("_at")).agg(F.min(value).alias("_v"))
+    columns = left.columns
+    left = left.withColumn("_at", F.col(at).cast("double"))
+    places = right.where(F.col(right_at).isNotNull()).groupBy(*keys, F.col(right_at).cast("double").alias("_at")).agg(F.min(value).alias("_v"))
+    if width is not None:
+        left, places = _with_neighbours(left, places, keys, width)
+        keys = [*keys, "_b"]
     mark = F.struct(F.col("_at").alias("at"), F.col("_v").alias("v"))
-    rows = left.select("*", F.col(at).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(f"struct<at:double,v:{dict(right.dtypes)[value]}>").alias("_mark"))
-    marks = places.withColumn("_at", F.col("_at").cast("double")).withColumn("_mark", mark).withColumn("_kind", F.lit(0)).drop("_v")
+    rows = left.select("*", F.lit(1).alias("_kind"), F.lit(None).cast(f"struct<at:double,v:{dict(right.dtypes)[value]}>").alias("_mark"))
+    marks = places.withColumn("_mark", mark).withColumn("_kind", F.lit(0)).drop("_v")
     both = rows.unionByName(marks, allowMissingColumns=True)
     w = W.partitionBy(*keys).orderBy("_at", "_kind")
     back = F.last("_mark", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
@@ -221,7 +242,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_a
     down, up = F.col("_at") - F.col("_back.at"), F.col("_ahead.at") - F.col("_at")
     tie = F.coalesce((down == up) & ~F.col("_back.v").eqNullSafe(F.col("_ahead.v")), F.lit(False))
     pick = F.when(tie, None).when(up.isNull() | (down <= up), F.col("_back.v")).otherwise(F.col("_ahead.v"))
-    return out.withColumns({"nearest": pick, "distance": F.least(down, up), "ambiguous": tie}).drop("_at", "_kind", "_mark", "_back", "_ahead")
+    return out.withColumns({"nearest": pick, "distance": F.least(down, up), "ambiguous": tie}).select(*columns, "nearest", "distance", "ambiguous")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: list[str]) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rallyspark.functions.dates import city_phrase, known_zone
+from rallyspark.functions.dates import known_zone
 from rallyspark.functions.scores import lookup
+from rallyspark.functions.text import lookup_text
 
 #: Minutes between runs and length of the window of each source, and minutes after the session's start.
 WINDOWS = {"live": (10, 6 * 60, 0), "brackets": (60, 7 * 60, 0), "official_reconcile": (60, 6 * 60, 5)}
@@ -79,10 +80,15 @@ def category_of(events: DataFrame, mapping: DataFrame) -> DataFrame:
 def infer_zone(events: DataFrame, cities: DataFrame, countries: DataFrame) -> DataFrame:
     """Add time_zone and reason: the longest city phrase in the location, else the country's only zone, else why not.
 
-    events: event_id, location, country_code; cities: city, time_zone; countries: country_code, time_zone (a row for each zone). The
-    cities are a short list that is held against every location.
+    events: event_id, location, country_code; cities: city, time_zone; countries: country_code, time_zone (a row for each zone). A
+    location's runs of words, as long as the longest city's name, are looked up among the cities: an equi-join.
     """
-    hits = events.select("event_id", "location").join(F.broadcast(cities), city_phrase(F.col("location"), F.col("city"))).groupBy("event_id").agg(F.max_by("time_zone", F.struct(F.length("city"), "city")).alias("_city"))
+    named = cities.withColumn("_phrase", lookup_text(F.col("city"))).where("_phrase <> ''")
+    longest = named.agg(F.max(F.size(F.split("_phrase", " ")))).first()[0] or 1
+    words = F.split(lookup_text(F.col("location")), " ")
+    run = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+    runs = F.explode(F.array_distinct(F.flatten(F.array(*[run(n) for n in range(1, longest + 1)]))))
+    hits = events.select("event_id", runs.alias("_phrase")).join(named, "_phrase").groupBy("event_id").agg(F.max_by("time_zone", F.struct(F.length("city"), "city")).alias("_city"))
     zones = countries.groupBy("country_code").agg(F.min("time_zone").alias("_zone"), F.count_distinct("time_zone").alias("_n"))
     out = events.join(hits, "event_id", "left").join(zones, "country_code", "left")
     zone = F.coalesce(known_zone(F.col("_city")), F.when(F.col("_n") == 1, known_zone(F.col("_zone"))))

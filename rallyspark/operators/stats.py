@@ -61,14 +61,18 @@ def player_stats(rows: DataFrame) -> DataFrame:
     single, own = F.col("sub_event_type_code") == "WS", F.col("sub_event_type_code").isin(*INDIVIDUAL)
     flags = folded.withColumns({"won": won, "domestic": known & same, "foreign": known & ~same, "key": event, "title": is_champion(), "seven": F.coalesce(seven, F.lit(False)), "three": F.coalesce(three, F.lit(False))})
     final = (F.col("stage") == "Main Draw") & (F.col("round") == "Final")
-    keys = lambda *conditions: F.count_distinct(F.when(_all(*conditions), F.col("key")))
-    out = flags.groupBy("player_id").agg(
-        F.count_if("foreign").alias("foreign_matches"), F.count_if(F.col("foreign") & F.col("won")).alias("foreign_wins"),
-        F.count_if("domestic").alias("domestic_matches"), F.count_if(F.col("domestic") & F.col("won")).alias("domestic_wins"),
-        F.count_distinct("event_id").alias("events_total"), keys(F.col("seven")).alias("seven_events"), keys(F.col("seven"), F.coalesce(final, F.lit(False)) | F.col("title")).alias("seven_finals"),
-        keys(F.col("seven"), F.col("title")).alias("all_seven_titles"), keys(F.col("three"), F.col("title")).alias("all_three_titles"),
-        keys(F.col("seven"), F.col("title"), own).alias("event_seven_titles"), keys(F.col("three"), F.col("title"), own).alias("event_three_titles"),
-        keys(F.col("seven"), F.col("title"), single).alias("single_seven_titles"), keys(F.col("three"), F.col("title"), single).alias("single_three_titles"),
+    # counts of matches add up and flags of an event join by or, so events are folded first: no row is copied for distinct counts
+    matches = {
+        "foreign_matches": F.col("foreign"), "foreign_wins": F.col("foreign") & F.col("won"), "domestic_matches": F.col("domestic"), "domestic_wins": F.col("domestic") & F.col("won"),
+    }
+    events = {
+        "seven_events": [F.col("seven")], "seven_finals": [F.col("seven"), F.coalesce(final, F.lit(False)) | F.col("title")], "all_seven_titles": [F.col("seven"), F.col("title")],
+        "all_three_titles": [F.col("three"), F.col("title")], "event_seven_titles": [F.col("seven"), F.col("title"), own], "event_three_titles": [F.col("three"), F.col("title"), own],
+        "single_seven_titles": [F.col("seven"), F.col("title"), single], "single_three_titles": [F.col("three"), F.col("title"), single],
+    }
+    by_event = flags.groupBy("player_id", "event_id", "key").agg(*[F.count_if(c).alias(n) for n, c in matches.items()], *[F.bool_or(F.coalesce(_all(*c), F.lit(False))).alias(n) for n, c in events.items()])
+    out = by_event.groupBy("player_id").agg(
+        *[F.sum(n).alias(n) for n in matches], F.count_distinct("event_id").alias("events_total"), *[F.count_if(F.col(n) & F.col("key").isNotNull()).alias(n) for n in events]
     )
     return out.withColumns({
         "foreign_win_rate": guarded_ratio(F.col("foreign_wins"), F.col("foreign_matches")), "domestic_win_rate": guarded_ratio(F.col("domestic_wins"), F.col("domestic_matches")),

@@ -18,31 +18,27 @@ LIST_IDS = 5000
 DRAW_IDS = 512
 
 
-def _matches(spark, sf_dir):
-    """Orders as matches of 200 draws: four rounds, sides from small pools, status F won by side A, O by side B."""
+def _matches(spark, sf_dir, ids=DRAW_IDS):
+    """All orders as matches; a draw is a block of order keys, so draws grow in number with the table and not in size. Four rounds, sides from small pools, status F won by side A, O by side B."""
     key = lambda c: F.concat(F.lit("P"), c.cast("string"))
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    return o.select(
-        F.col("o_orderkey").alias("match_id"), (F.col("o_custkey") % 200).alias("event_id"), F.when(F.col("o_custkey") % 2 == 0, "WTT_MAIN").otherwise("ITTF").alias("category_code"), F.lit("MS").alias("sub_event_type_code"),
-        F.lit("Main Draw").alias("stage"), F.element_at(F.array(*map(F.lit, ROUNDS)), (F.pmod(F.floor(F.col("o_orderkey") / 3), F.lit(4)) + 1).cast("int")).alias("round"),
-        key(F.col("o_orderkey") % 7).alias("side_a_key"), key(F.col("o_custkey") % 5).alias("side_b_key"), F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "B").alias("winner_side"),
-    )
-
-
-def _whole_matches(spark, sf_dir):
-    """All orders as matches; a draw is a block of DRAW_IDS order keys, so draws grow in number with the table and not in size."""
-    key = lambda c: F.concat(F.lit("P"), c.cast("string"))
-    event = F.floor(F.col("o_orderkey") / DRAW_IDS)
+    event = F.floor(F.col("o_orderkey") / ids)
+    at = F.pmod(F.floor(F.col("o_orderkey") / (3 if ids == DRAW_IDS else 1)), F.lit(4)) + 1
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("match_id"), event.alias("event_id"), F.when(event % 2 == 0, "WTT_MAIN").otherwise("ITTF").alias("category_code"), F.lit("MS").alias("sub_event_type_code"),
-        F.lit("Main Draw").alias("stage"), F.element_at(F.array(*map(F.lit, ROUNDS)), (F.pmod(F.floor(F.col("o_orderkey") / 3), F.lit(4)) + 1).cast("int")).alias("round"),
+        F.lit("Main Draw").alias("stage"), F.element_at(F.array(*map(F.lit, ROUNDS)), at.cast("int")).alias("round"),
         key(F.col("o_orderkey") % 7).alias("side_a_key"), key(F.col("o_custkey") % 5).alias("side_b_key"), F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "B").alias("winner_side"),
     )
 
 
-_MATCHES = """
-    m AS (SELECT o_orderkey AS match_id, (o_custkey % 200) AS event_id, o_custkey % 2 = 1 AS other, ['R16', 'QuarterFinal', 'SemiFinal', 'Final'][(o_orderkey // 3) % 4 + 1] AS r,
-      'P' || (o_orderkey % 7) AS a, 'P' || (o_custkey % 5) AS b, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'B' END AS w FROM orders WHERE o_orderkey % 3 = 0),
+#: Order keys of small draws: two matches of each round, and one.
+PAIR_IDS, SINGLE_IDS = 8, 4
+
+
+def _draws(ids: int = DRAW_IDS) -> str:
+    """The matches, draw rounds and their order in SQL."""
+    return f"""
+    m AS (SELECT o_orderkey AS match_id, o_orderkey // {ids} AS event_id, o_orderkey // {ids} % 2 = 1 AS other, ['R16', 'QuarterFinal', 'SemiFinal', 'Final'][(o_orderkey // {3 if ids == DRAW_IDS else 1}) % 4 + 1] AS r,
+      'P' || (o_orderkey % 7) AS a, 'P' || (o_custkey % 5) AS b, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'B' END AS w FROM orders),
     los AS (SELECT DISTINCT event_id, CASE w WHEN 'A' THEN b ELSE a END AS k FROM m WHERE r = 'SemiFinal' AND w IS NOT NULL),
     duo AS (SELECT x.event_id, x.k AS lo, y.k AS hi FROM los x JOIN los y ON x.event_id = y.event_id AND x.k < y.k),
     fin AS (SELECT event_id, count(*) AS n FROM m WHERE r = 'Final' GROUP BY 1),
@@ -51,36 +47,52 @@ _MATCHES = """
     l AS (SELECT *, CASE draw_round WHEN 'R16' THEN 40 WHEN 'QuarterFinal' THEN 50 WHEN 'SemiFinal' THEN 60 WHEN 'Bronze' THEN 70 ELSE 80 END AS round_order FROM d)"""
 
 
-@add(f"WITH {_MATCHES} SELECT match_id, event_id, draw_round, round_order::INTEGER AS round_order, CASE WHEN draw_round = 'Bronze' THEN 'final_reclassified' END AS bronze_source FROM l")
+_LINKS = """
+    v AS (SELECT *, dense_rank() OVER (PARTITION BY event_id ORDER BY round_order) AS lv FROM l),
+    asks AS (SELECT *, row_number() OVER (PARTITION BY event_id, lv, k ORDER BY match_id, n) AS i FROM (SELECT event_id, lv, match_id, 1 AS n, a AS k FROM v UNION ALL SELECT event_id, lv, match_id, 2, b FROM v)),
+    wins AS (SELECT *, row_number() OVER (PARTITION BY event_id, lv, k ORDER BY match_id) AS i FROM (SELECT event_id, lv + 1 AS lv, match_id, CASE w WHEN 'A' THEN a ELSE b END AS k FROM v WHERE w IS NOT NULL)),
+    f AS (SELECT asks.match_id, n, wins.match_id AS feeder FROM asks JOIN wins USING (event_id, lv, k, i))"""
+
+
+def _places(levels: int = 5) -> str:
+    """Places from the last round down: a level's matches by the place their feeder link gave them, those without behind."""
+    out = ["t AS (SELECT v.*, max(lv) OVER (PARTITION BY event_id) - lv AS d, lv = 1 AS lowest FROM v)", "a0 AS (SELECT 0::BIGINT AS match_id, 0::BIGINT AS spot WHERE false)"]
+    for d in range(levels):
+        out.append(f"p{d} AS (SELECT t.*, spot, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(spot, 1000000000000), t.match_id) AS n FROM t LEFT JOIN a{d} USING (match_id) WHERE d = {d})")
+        out.append(f"a{d + 1} AS (SELECT f.feeder AS match_id, (p{d}.n - 1) * 2 + f.n AS spot FROM f JOIN p{d} USING (match_id))")
+    out.append("p AS (" + " UNION ALL ".join(f"SELECT event_id, match_id, draw_round, lowest, spot, n FROM p{d}" for d in range(levels)) + ")")
+    return ", ".join(out)
+
+
+@add(f"WITH {_draws(PAIR_IDS)} SELECT match_id, event_id, draw_round, round_order::INTEGER AS round_order, CASE WHEN draw_round = 'Bronze' THEN 'final_reclassified' END AS bronze_source FROM l")
 def draw_rows(spark, sf_dir):
     """Draw rounds of matches with finals that are bronze matches in truth."""
-    return bracket.draw_rows(_matches(spark, sf_dir)).select("match_id", "event_id", "draw_round", "round_order", "bronze_source")
+    return bracket.draw_rows(_matches(spark, sf_dir, PAIR_IDS)).select("match_id", "event_id", "draw_round", "round_order", "bronze_source")
 
 
 @add(f"""
-    WITH {_MATCHES}, v AS (SELECT *, dense_rank() OVER (PARTITION BY event_id ORDER BY round_order) AS lv FROM l),
-    asks AS (SELECT *, row_number() OVER (PARTITION BY event_id, lv, k ORDER BY match_id, n) AS i FROM (SELECT event_id, lv, match_id, 1 AS n, a AS k FROM v UNION ALL SELECT event_id, lv, match_id, 2, b FROM v)),
-    wins AS (SELECT *, row_number() OVER (PARTITION BY event_id, lv, k ORDER BY match_id) AS i FROM (SELECT event_id, lv + 1 AS lv, match_id, CASE w WHEN 'A' THEN a ELSE b END AS k FROM v WHERE w IS NOT NULL)),
-    f AS (SELECT asks.match_id, n, wins.match_id AS feeder FROM asks JOIN wins USING (event_id, lv, k, i))
+    WITH {_draws(PAIR_IDS)}, {_LINKS}
     SELECT v.match_id, max(feeder) FILTER (n = 1) AS side_a_previous, max(feeder) FILTER (n = 2) AS side_b_previous FROM v LEFT JOIN f ON f.match_id = v.match_id GROUP BY 1""")
 def bracket_links(spark, sf_dir):
     """The match of the round before that each side won."""
-    return bracket.feeder_links(stored(bracket.draw_rows(_matches(spark, sf_dir)), "draw")).select("match_id", "side_a_previous", "side_b_previous")
+    return bracket.feeder_links(stored(bracket.draw_rows(_matches(spark, sf_dir, PAIR_IDS)), "draw")).select("match_id", "side_a_previous", "side_b_previous")
 
 
-@add()
+@add(f"""
+    WITH {_draws()}, {_LINKS}, {_places()}, last AS (SELECT event_id, max(spot) AS top FROM p GROUP BY 1)
+    SELECT match_id, event_id, draw_round, (CASE WHEN lowest THEN coalesce(spot, coalesce(top, 0) + n) ELSE n END)::INTEGER AS bracket_position FROM p JOIN last USING (event_id)""")
 def bracket_positions(spark, sf_dir):
     """Places of matches in their brackets."""
-    linked = stored(bracket.feeder_links(stored(bracket.draw_rows(_whole_matches(spark, sf_dir)), "draw")), "linked")
+    linked = stored(bracket.feeder_links(stored(bracket.draw_rows(_matches(spark, sf_dir)), "draw")), "linked")
     return bracket.bracket_positions(linked).select("match_id", "event_id", "draw_round", "bracket_position")
 
 
 @add(f"""
-    WITH {_MATCHES}, x AS (SELECT event_id, min(match_id) AS match_id FROM l WHERE draw_round = 'Final' GROUP BY 1), n AS (SELECT event_id, count(*) AS n FROM l WHERE draw_round = 'Final' GROUP BY 1)
+    WITH {_draws(SINGLE_IDS)}, x AS (SELECT event_id, min(match_id) AS match_id FROM l WHERE draw_round = 'Final' GROUP BY 1), n AS (SELECT event_id, count(*) AS n FROM l WHERE draw_round = 'Final' GROUP BY 1)
     SELECT event_id, CASE l.w WHEN 'A' THEN a WHEN 'B' THEN b END AS champion_name, CASE WHEN l.w IS NOT NULL THEN NULL ELSE 'unresolved_winner_side' END AS issue FROM x JOIN l USING (event_id, match_id) JOIN n USING (event_id) WHERE n.n = 1""")
 def champions_single_final(spark, sf_dir):
     """Champions of draws with exactly one final."""
-    rows = bracket.draw_rows(_matches(spark, sf_dir))
+    rows = bracket.draw_rows(_matches(spark, sf_dir, SINGLE_IDS))
     one = rows.where("draw_round = 'Final'").groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("event_id")
     return champions.champions(stored(_rosters(rows).join(one, "event_id", "left_semi"), "rosters")).select("event_id", "champion_name", "issue")
 
@@ -90,24 +102,34 @@ def _rosters(rows):
     return rows.withColumns({"side_a": roster("side_a_key"), "side_b": roster("side_b_key"), "winner_name": F.lit(None).cast("string"), "match_score": F.lit(None).cast("string")})
 
 
-@add()
+@add(f"""
+    WITH {_draws(PAIR_IDS)}, y AS (SELECT *, CASE w WHEN 'A' THEN a WHEN 'B' THEN b END AS k FROM l),
+    q AS (SELECT event_id, list(DISTINCT k) FILTER (k IS NOT NULL) AS through FROM y WHERE draw_round = 'QuarterFinal' GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT k) >= 2),
+    s AS (SELECT event_id, list_sort(list(DISTINCT k) FILTER (k IS NOT NULL AND list_contains(through, a) AND list_contains(through, b))) AS last_two FROM y JOIN q USING (event_id) WHERE draw_round = 'SemiFinal' GROUP BY 1 HAVING count(*) >= 2),
+    fi AS (SELECT l.*, coalesce(len(last_two) = 2 AND list_sort([a, b]) = last_two, false) AS hit FROM l LEFT JOIN s USING (event_id) WHERE draw_round = 'Final'),
+    pick AS (SELECT event_id, count(*) > 1 AND count(*) FILTER (hit) <> 1 AS fallback, CASE WHEN count(*) > 1 AND count(*) FILTER (hit) = 1 THEN min(match_id) FILTER (hit) ELSE min(match_id) END AS match_id FROM fi GROUP BY 1)
+    SELECT event_id, 'MS' AS sub_event_type_code, CASE WHEN w IS NOT NULL THEN '' END AS champion_player_ids, CASE w WHEN 'A' THEN a WHEN 'B' THEN b END AS champion_name, CASE WHEN w IS NOT NULL THEN 'N1' END AS champion_country_code,
+      fallback, CASE WHEN w IS NULL THEN 'unresolved_winner_side' END AS issue FROM fi JOIN pick USING (event_id, match_id)""")
 def champions_all(spark, sf_dir):
     """Champions of all draws; of several finals the one between the semifinal winners."""
-    return champions.champions(stored(_rosters(bracket.draw_rows(_whole_matches(spark, sf_dir))), "rosters"))
+    return champions.champions(stored(_rosters(bracket.draw_rows(_matches(spark, sf_dir, PAIR_IDS))), "rosters"))
 
 
 @add()
 def team_champions(spark, sf_dir):
     """Team champions by rubbers of the final tie."""
-    return champions.champions(stored(_rosters(bracket.draw_rows(_whole_matches(spark, sf_dir).withColumn("sub_event_type_code", F.lit("MT")))), "rosters"))
+    return champions.champions(stored(_rosters(bracket.draw_rows(_matches(spark, sf_dir).withColumn("sub_event_type_code", F.lit("MT")))), "rosters"))
 
 
-@add()
+@add("""
+    WITH r AS (SELECT o_custkey AS player_id, o_orderkey % 7 AS event_id, o_orderkey AS seq, ['R32', 'R16', 'QuarterFinal', 'SemiFinal', 'Final'][o_orderkey % 5 + 1] AS round, (o_orderkey % 5 + 4)::INTEGER AS weight, o_orderkey % 11 = 0 AS title FROM orders),
+    b AS (SELECT player_id, event_id, list_reduce(list({'weight': weight, 'title': title, 'round': round} ORDER BY seq), lambda h, x: CASE WHEN x.weight > h.weight OR (x.title AND NOT h.title) THEN x ELSE h END) AS best FROM r GROUP BY 1, 2)
+    SELECT player_id, event_id, 'WS' AS sub_event_type_code, CASE WHEN best.title THEN '冠军' ELSE best.round END AS result, best.weight AS weight, best.title AS is_champion FROM b""")
 def best_result_fold(spark, sf_dir):
     """Best result of each player, event and discipline in source order."""
     o = read(spark, sf_dir, "orders")
     rows = o.select(
-        (F.col("o_custkey") % 300).alias("player_id"), (F.col("o_custkey") % 7).alias("event_id"), F.lit("WS").alias("sub_event_type_code"), F.col("o_orderkey").alias("seq"),
+        F.col("o_custkey").alias("player_id"), (F.col("o_orderkey") % 7).alias("event_id"), F.lit("WS").alias("sub_event_type_code"), F.col("o_orderkey").alias("seq"),
         F.element_at(F.array(*map(F.lit, ("R32", "R16", "QuarterFinal", "SemiFinal", "Final"))), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("round"), (F.col("o_orderkey") % 11 == 0).alias("is_champion"),
     )
     return stats.best_results(rows)
