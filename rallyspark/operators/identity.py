@@ -212,3 +212,37 @@ def inferred_winner(winner: Column, perspective: Column, result: Column, score:
     known = side.isin("side_a", "side_b") & out.isin("win", "loss", "w", "l")
     own = F.when((side == "side_a") == out.isin("win", "w"), "A").otherwise("B")
     return F.when((F.trim(nz(winner)) != "") & a & ~b, "A").when((F.trim(nz(winner)) != "") & b & ~a, "B").when(known, own).otherwise(winner_of(match_score(score)))
+
+
+REVIEWED = ("rank", "name", "country_code", "points")
+
+
+def apply_review(ranking: DataFrame, review: DataFrame) -> DataFrame:
+    """Ranking rows with the ids that a review has found.
+
+    ranking: category, seq, rank, name, country_code, points, player_id, profile_url, id_resolution_status; review: category, item, the
+    same four fields (null: any value), resolved_id, resolved_url. An item with an id is given to the first row of its list that has
+    all its values; of several items for one row the last counts, and a later item without a link keeps an earlier one's. A rank or
+    points of 0 count as empty. Each row stands once for every set of fields, and only the first row of equal values is shuffled.
+    """
+    said = {c: F.coalesce(F.nullif(F.col(c), F.lit(0)).cast("string"), F.lit("")) if c in ("rank", "points") else nz(F.col(c)) for c in REVIEWED}
+    asked = {c: F.col(c).cast("string") for c in REVIEWED}
+    masks = [[c for i, c in enumerate(REVIEWED) if n >> i & 1] for n in range(1 << len(REVIEWED))]
+    form = lambda fields, of: F.to_json(F.struct(*[of[c].alias(c) for c in fields])) if fields else F.lit("{}")
+    first = ranking.select("category", "seq", F.explode(F.array(*[form(m, said) for m in masks])).alias("_form")).groupBy("category", "_form").agg(F.min("seq").alias("seq"))
+    wanted = review.where(F.trim(nz(F.col("resolved_id"))) != "").withColumn("_form", F.to_json(F.struct(*[asked[c].alias(c) for c in REVIEWED])))
+    link = F.nullif(F.trim(F.col("resolved_url")), F.lit(""))
+    hits = wanted.select("category", "_form", "item", F.trim("resolved_id").alias("_id"), link.alias("_url")).join(first, ["category", "_form"])
+    last = hits.groupBy("category", "seq").agg(F.max_by("_id", "item").alias("_id"), F.max_by("_url", F.when(F.col("_url").isNotNull(), F.col("item"))).alias("_url"))
+    status = F.when(F.col("_id").isNotNull(), "manual").otherwise(F.col("id_resolution_status"))
+    found = {"player_id": F.coalesce("_id", "player_id"), "profile_url": F.coalesce("_url", "profile_url"), "id_resolution_status": status}
+    return ranking.join(last, ["category", "seq"], "left").withColumns(found).select(*ranking.columns)
+
+
+def reviewed_same_names(entries: DataFrame, review: DataFrame, players: DataFrame) -> DataFrame:
+    """Same-name entries (player_id, name, country) with every player of a resolved item's name and country, if several bear it."""
+    resolved = review.where(F.trim(nz(F.col("resolved_id"))) != "")
+    asked = resolved.select(name_key(F.col("name")).alias("_key"), _country("country_code").alias("country")).where("_key <> '' and country <> ''").distinct()
+    own = players.select("player_id", "name", F.upper("country_code").alias("country"), name_key(F.col("name")).alias("_key")).join(asked, ["_key", "country"])
+    several = own.groupBy("_key", "country").agg((F.min("player_id") < F.max("player_id")).alias("_several")).where("_several")
+    return entries.select("player_id", "name", "country").union(own.join(several, ["_key", "country"]).select("player_id", "name", "country")).distinct()

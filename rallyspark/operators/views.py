@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyspark.functions.dates import display_status
-from rallyspark.functions.scores import didwin
+from rallyspark.functions.scores import didwin, tie_score
 from rallyspark.functions.text import event_id_from_href, normalize_event_name, nz, single_country
 from rallyspark.operators.relational import contains_any, existing, first_nonzero, nested, page, search_rank, top_row, waterfall
 
@@ -141,3 +141,29 @@ def override_ties(ties: DataFrame, wanted: DataFrame) -> DataFrame:
     w = wanted.select("event_id", "role", F.least("first_code", "second_code").alias("_lo"), F.greatest("first_code", "second_code").alias("_hi"))
     t = ties.withColumns({"_lo": F.least("team_a", "team_b"), "_hi": F.greatest("team_a", "team_b")})
     return w.join(t.groupBy("event_id", "_lo", "_hi").agg(F.min("tie_id").alias("tie_id")), ["event_id", "_lo", "_hi"], "left").select("event_id", "role", "tie_id")
+
+
+def live_tie_view(ties: DataFrame, sides: DataFrame, brackets: DataFrame, rubbers: DataFrame) -> DataFrame:
+    """Ties of running events with both teams, scores and rubbers in order.
+
+    ties: tie_id, event_id, sub_event_type_code, external_match_code, match_score; sides: tie_id, side_no, team_code, team_name;
+    brackets: event_id, sub_event_type_code, external_unit_code, side_a_team_code, side_b_team_code; rubbers: tie_id, match_id and more.
+    A side without a team takes the bracket's team of the same code (of several rows the greatest), else ``TBD``; its name is the
+    code where none is given. A missing side is empty, a tie without sides is left out, a score that cannot be read is 0.
+    """
+    own = lambda n: F.max(F.when(F.col("side_no") == n, F.struct("team_code", "team_name")))
+    both = sides.groupBy("tie_id").agg(own(1).alias("_a"), own(2).alias("_b"))
+    unit = ["event_id", "sub_event_type_code", "external_match_code"]
+    placed = brackets.where(F.col("external_unit_code").isNotNull()).withColumnRenamed("external_unit_code", "external_match_code")
+    draw = placed.groupBy(*unit).agg(F.max(F.struct("side_a_team_code", "side_b_team_code")).alias("_draw"))
+
+    def team(side: str, drawn: str) -> Column:
+        code = F.coalesce(f"{side}.team_code", f"_draw.{drawn}", F.lit("TBD"))
+        given = F.struct(code.alias("code"), F.coalesce(f"{side}.team_name", code).alias("name"))
+        return F.when(F.col(side).isNotNull(), given).otherwise(F.struct(F.lit("").alias("code"), F.lit("").alias("name")))
+
+    score = tie_score(F.col("match_score"))
+    listed = nested(rubbers, ["tie_id"], ["match_id"], [c for c in rubbers.columns if c != "tie_id"], "rubbers")
+    rows = ties.join(both, "tie_id").join(draw, unit, "left").join(listed, "tie_id", "left")
+    shown = {"team_a": team("_a", "side_a_team_code"), "team_b": team("_b", "side_b_team_code"), "score_a": F.coalesce(score["a"], F.lit(0)), "score_b": F.coalesce(score["b"], F.lit(0))}
+    return rows.withColumns(shown).drop("_a", "_b", "_draw")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rallyspark.plans import domain, folds, jobs, joins, live, texts
+from rallyspark.plans import domain, folds, jobs, joins, live, review, texts
 
-_REGISTRIES = [joins.registry, folds.registry, live.registry, domain.registry, texts.registry, jobs.registry]
+_REGISTRIES = [joins.registry, folds.registry, live.registry, domain.registry, texts.registry, jobs.registry, review.registry]
 QUERIES = {name: f for r in _REGISTRIES for name, f in r.queries.items()}
 ORACLES = {name: sql for r in _REGISTRIES for name, sql in r.oracles.items()}
