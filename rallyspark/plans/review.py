@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rallyspark.operators import identity, views
+from rallyspark.operators import identity, repair, views
 from rallyspark.plans.common import Registry, read
 from rallyspark.plans.texts import _pick, _sql
 
@@ -87,3 +87,34 @@ def reviewed_names(spark, sf_dir):
     players = rows.drop("player_id").withColumnRenamed("seq", "player_id")
     entries = players.where("player_id % 25 = 0").select("player_id", "name", F.upper("country_code").alias("country"))
     return identity.reviewed_same_names(entries, items, players)
+
+
+ROUNDS, RESULTS = ["QF", "", "main draw", "R16"], ["3-1", "0-3", "2-2", None]
+
+
+@add("""
+    WITH e AS (SELECT event_id AS k, 'Ann ' || user_id % 30 AS a, 'Bo ' || user_id % 31 AS b, event_id // 4 % 4 AS i, CASE WHEN event_id % 2 = 1 THEN 'WS' END AS old FROM events),
+    r AS (SELECT k, a || ' (CHN)' || CASE WHEN k % 4 = 0 THEN '&Cy 1 (CHN)' ELSE '' END AS side_a, b || ' (JPN)' AS side_b, CASE WHEN k % 3 > 0 THEN 'MS' ELSE old END AS sub_event,
+      CASE k % 4 WHEN 0 THEN 'QF' WHEN 3 THEN 'R16' ELSE 'Group B' END AS round, CASE k % 3 WHEN 0 THEN 'side_a' WHEN 1 THEN 'side_b' ELSE 'unknown' END AS perspective,
+      CASE WHEN k % 3 = 2 OR i = 3 THEN 'unknown' WHEN k % 3 = i THEN 'win' ELSE 'loss' END AS result_for_player,
+      CASE WHEN k % 5 = 0 THEN a WHEN i = 0 AND k % 4 = 0 THEN a || ' / Cy 1' WHEN i = 0 THEN a WHEN i = 1 THEN b ELSE '' END AS winner FROM e)
+    SELECT k AS event_id, * EXCLUDE (k), concat_ws(',', 'all_players_in_row', CASE WHEN k % 4 = 0 THEN 'side_a' END, 'side_b', CASE WHEN k % 3 > 0 THEN 'sub_event' END, CASE WHEN k % 4 > 0 THEN 'round' END,
+      CASE WHEN k % 3 > 0 THEN 'perspective' END, CASE WHEN result_for_player <> 'win' THEN 'result_for_player' END, CASE WHEN winner <> '' THEN 'winner' END) AS changes FROM r""")
+def repaired_match_rows(spark, sf_dir):
+    """Matches repaired from their raw rows, with the columns that have changed."""
+    k, u = F.col("event_id"), F.col("user_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    a, b = text("Ann ", u % 30), text("Bo ", u % 31)
+    raw = F.concat_ws(
+        " | ", (k % 9 + 2010).cast("string"), F.lit("Open Group B"), text(a, " (CHN)"), F.when(k % 4 == 0, "Cy 1 (CHN)").otherwise(""), text(b, " (JPN)"), F.lit(""),
+        F.when(k % 3 > 0, "MS").otherwise(""), F.lit("Main Draw"), _pick(ROUNDS, k), F.lit("x"), F.lit(""), F.when(k % 5 == 0, a).otherwise(""),
+    )
+    owner = F.when(k % 3 == 0, text(u % 30, " ann")).when(k % 3 == 1, F.lower(b)).otherwise("zed")
+    rows = read(spark, sf_dir, "events").select(
+        k, owner.alias("player_name"), raw.alias("raw_row_text"), _pick(RESULTS, F.floor(k / 4)).alias("match_score"), F.lit(None).cast("array<string>").alias("all_players_in_row"),
+        F.array(text(a, " (CHN)")).alias("side_a"), F.lit(None).cast("array<string>").alias("side_b"), F.when(k % 2 == 1, "WS").alias("sub_event"), F.lit("QF").alias("round"),
+        F.lit("side_a").alias("perspective"), F.lit("win").alias("result_for_player"), F.lit("").alias("winner"),
+    )
+    out = repair.repaired_matches(rows)
+    listed = [F.array_join(c, "&").alias(c) for c in ("side_a", "side_b")]
+    return out.select("event_id", *listed, "sub_event", "round", "perspective", "result_for_player", "winner", F.array_join("changes", ",").alias("changes"))
