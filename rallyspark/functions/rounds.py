@@ -11,9 +11,15 @@ from rallyspark.functions.text import nz
 #: Order of draw rounds and aliases of their names.
 DRAW_ORDER = {"R256": 5, "R128": 10, "R64": 20, "R32": 30, "R16": 40, "QuarterFinal": 50, "SemiFinal": 60, "Bronze": 70, "Final": 80}
 DRAW_ALIASES = {
-    "final": "Final", "f": "Final", "semifinal": "SemiFinal", "semi final": "SemiFinal", "sf": "SemiFinal", "quarterfinal": "QuarterFinal", "quarter final": "QuarterFinal", "qf": "QuarterFinal",
-    "256": "R256",
-} | {form.format(n): f"R{n}" for n in (16, 32, 64, 128, 256) for form in ("r{}", "round of {}", "round {}")}
+    "final": "Final", "f": "Final",
+    "semifinal": "SemiFinal", "semi final": "SemiFinal", "sf": "SemiFinal",
+    "quarterfinal": "QuarterFinal", "quarter final": "QuarterFinal", "qf": "QuarterFinal",
+    "r16": "R16", "round of 16": "R16", "round 16": "R16",
+    "r32": "R32", "round of 32": "R32", "round 32": "R32",
+    "r64": "R64", "round of 64": "R64", "round 64": "R64",
+    "r128": "R128", "round of 128": "R128", "round 128": "R128",
+    "r256": "R256", "round of 256": "R256", "round 256": "R256", "256": "R256",
+}
 #: Rules of one event whose second stage names its rounds by their size: (stage, round or None, draw round or None).
 EVENT_RULES = {
     910: [
