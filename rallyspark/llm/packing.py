@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyspark.llm.common import key, text_of, with_key, work_for
-from rallyspark.llm.tokens import WordIds, word_ids
+from rallyspark.llm.tokens import CACHE_WORDS, WordIds, word_ids
 
 TIERS = (512, 1024, 2048, 4096)
 END = 2
@@ -108,13 +108,13 @@ def _encoded(batch: pd.DataFrame, encoder: WordIds, rows: int = 500) -> Iterator
             yield doc_id, np.append(ids, np.uint32(END)).astype("<u4")
 
 
-def _packed(batches: Iterator[pd.DataFrame], path: str, tiers: tuple[int, ...], chunk: int) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pd.DataFrame], path: str, tiers: tuple[int, ...], chunk: int, words: int = CACHE_WORDS) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
     work_for("packing")
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 40
-    encoder, pool, ids, docs = word_ids(path), Tiers(tiers), {}, {}
+    encoder, pool, ids, docs = word_ids(path, words), Tiers(tiers), {}, {}
     sequence, group, held, count = 0, 0, 0, 0
     longest = tiers[-1]
 
@@ -150,13 +150,14 @@ def _packed(batches: Iterator[pd.DataFrame], path: str, tiers: tuple[int, ...],
         yield emit(ready + list(pool.windows(True)))
 
 
-def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, chunk: int = CHUNK) -> DataFrame:
+def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, chunk: int = CHUNK, words: int = CACHE_WORDS) -> DataFrame:
     """One row for each piece of each document, with its place in a sequence, the sequence's tier and its step group.
 
     Null and empty texts hold the end id alone. Null doc_ids and repeated rows are packed like others, each row by itself. Every
-    sequence is full: a power of two of at most the longest tier. Empty table: no rows. Memory: one chunk and one document's ids.
+    sequence is full: a power of two of at most the longest tier. Empty table: no rows. Memory: one chunk, one document's ids and
+    a cache of ``words`` words in each Python worker; ids do not depend on it.
     """
     if any(a >= b for a, b in zip(tiers, tiers[1:], strict=False)) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are rising powers of two")
     rows = docs.select(key(), text_of().alias("text"))
-    return with_key(rows.mapInPandas(lambda batches: _packed(batches, path, tiers, chunk), COLUMNS))
+    return with_key(rows.mapInPandas(lambda batches: _packed(batches, path, tiers, chunk, words), COLUMNS))

@@ -33,8 +33,8 @@ def runs(texts: list[str], size: int = 1 << 20) -> Iterator[list[tuple[int, int,
 class WordCache:
     """Bytes of each word by a dictionary; a run's new words are learnt in one call."""
 
-    def __init__(self, split: Callable[[str, bool], list[str]], learn: Callable[[list[str]], dict[str, bytes]]):
-        self.split, self.learn, self.held = split, learn, {}
+    def __init__(self, split: Callable[[str, bool], list[str]], learn: Callable[[list[str]], dict[str, bytes]], limit: int = CACHE_WORDS):
+        self.split, self.learn, self.held, self.limit = split, learn, {}, limit
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts: list[list[bytes]] = [[] for _ in texts]
@@ -43,7 +43,7 @@ class WordCache:
             lists = [self.split(part, j == 0) for _, j, part in run]
             seen = set().union(*lists)
             new = seen.difference(held)
-            if len(held) + len(new) > CACHE_WORDS:  # the words in use now stay, among them the frequent ones
+            if len(held) + len(new) > self.limit:  # the words in use now stay, among them the frequent ones
                 kept = {w: held[w] for w in seen if w in held}
                 held.clear()
                 held.update(kept)
@@ -76,7 +76,7 @@ class _Spelling(dict):
 class WordIds:
     """Ids of a tokenizer that never merges across a space or a line feed and folds case: each such part is encoded by itself."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -84,7 +84,7 @@ class WordIds:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cores: dict[str, bytes] = {}
         self.spelt, self.model = _Spelling(), self.tokenizer.model
-        self.words = WordCache(self._split, self._learn)
+        self.words, self.limit = WordCache(self._split, self._learn, limit), limit
         self.quick = True
         self.quick = all(self._quickly([w]) == self._slowly([w]) for w in _SAMPLE)
 
@@ -103,7 +103,7 @@ class WordIds:
         if found is None:
             spelt = core if core.isascii() else core.translate(self.spelt)
             found = np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
-            if len(self.cores) > CACHE_WORDS // 4:
+            if len(self.cores) > self.limit // 4:
                 self.cores.clear()
             if len(core) <= CACHE_CHARS // 2:
                 self.cores[core] = found
@@ -130,8 +130,8 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, limit: int = CACHE_WORDS) -> WordIds:
+    return WordIds(path, limit)
 
 
 dropped_by(word_ids.cache_clear)
