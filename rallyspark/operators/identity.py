@@ -246,3 +246,22 @@ def reviewed_same_names(entries: DataFrame, review: DataFrame, players: DataFram
     own = players.select("player_id", "name", F.upper("country_code").alias("country"), name_key(F.col("name")).alias("_key")).join(asked, ["_key", "country"])
     several = own.groupBy("_key", "country").agg((F.min("player_id") < F.max("player_id")).alias("_several")).where("_several")
     return entries.select("player_id", "name", "country").union(own.join(several, ["_key", "country"]).select("player_id", "name", "country")).distinct()
+
+
+def with_countries(profiles: DataFrame, names: DataFrame) -> DataFrame:
+    """Profiles with tidy country_code, country and country_en; ``names`` has code and name, once for each code.
+
+    A country that looks like a code becomes the code where none is given. The name is the country, else country_en, if it is no code,
+    else the table's; without one both texts stay as they were. Names are in upper case with single spaces.
+    """
+    code_of = lambda c: F.upper(F.regexp_replace(nz(c), r"\s+", ""))
+    name_of = lambda c: F.upper(F.trim(F.regexp_replace(nz(c), r"\s+", " ")))
+    coded = lambda c: c.rlike("^[A-Z]{3}$")
+    land, english, given = name_of(F.col("country")), name_of(F.col("country_en")), code_of(F.col("country_code"))
+    code = F.when((given == "") & coded(land), land).otherwise(given)
+    table = names.select(code_of(F.col("code")).alias("_code"), name_of(F.col("name")).alias("_name"))
+    named = lambda c: F.when((c != "") & ~coded(c), c)
+    rows = profiles.withColumns({"_full": F.nullif(code, F.lit("")), "_given": F.coalesce(named(land), named(english))})
+    name = F.coalesce("_given", F.nullif("_name", F.lit("")))
+    out = rows.join(table, F.col("_full") == F.col("_code"), "left")
+    return out.withColumns({"country_code": F.coalesce("_full", "country_code"), "country": F.coalesce(name, "country"), "country_en": F.coalesce(name, "country_en")}).select(*profiles.columns)
