@@ -167,3 +167,23 @@ def live_tie_view(ties: DataFrame, sides: DataFrame, brackets: DataFrame, rubber
     rows = ties.join(both, "tie_id").join(draw, unit, "left").join(listed, "tie_id", "left")
     shown = {"team_a": team("_a", "side_a_team_code"), "team_b": team("_b", "side_b_team_code"), "score_a": F.coalesce(score["a"], F.lit(0)), "score_b": F.coalesce(score["b"], F.lit(0))}
     return rows.withColumns(shown).drop("_a", "_b", "_draw")
+
+
+def tie_detail(ties: DataFrame, players: DataFrame) -> DataFrame:
+    """Detail of a merged or overriding tie, rebuilt from its rubbers: score, winner's side, round and every side's players.
+
+    ties: tie_id, team_a, team_b, winner_code, score_a, score_b, round; players: tie_id, match_id, side_no, player_no, player_id, name,
+    country_code. A player stands once for each name and country, where the rubbers name them first, with what the last rubber says. The
+    round is what stands behind the last colon. Ties without players have empty lists; a winner that is neither team has no side.
+    """
+    at = F.struct("match_id", "player_no", F.col("player_id"))
+    who = players.withColumn("_who", F.concat_ws("|", nz(F.col("name")), nz(F.col("country_code"))))
+    once = who.groupBy("tie_id", "side_no", "_who").agg(F.min(at).alias("_at"), F.max_by(F.struct("player_id", "name", "country_code"), at).alias("_player"))
+    of = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("side_no") == n, F.struct("_at", "_who", "_player")))), lambda x: x["_player"])
+    sides = once.groupBy("tie_id").agg(of(1).alias("players_a"), of(2).alias("players_b"))
+    won = lambda c: F.coalesce(F.col("winner_code") == F.col(c), F.lit(False))
+    none = lambda c: F.coalesce(c, F.array().cast(sides.schema[c].dataType))
+    return ties.join(sides, "tie_id", "left").select(
+        "tie_id", F.concat(F.col("score_a").cast("string"), F.lit("-"), F.col("score_b").cast("string")).alias("match_score"), F.when(won("team_a"), "A").when(won("team_b"), "B").alias("winner_side"),
+        F.substring_index("round", ":", -1).alias("round_code"), "team_a", none("players_a").alias("players_a"), "team_b", none("players_b").alias("players_b"),
+    )

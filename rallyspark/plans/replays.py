@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rallyspark.functions.rounds import discipline, is_team_discipline
-from rallyspark.operators import identity, replay
+from rallyspark.operators import identity, replay, views
 from rallyspark.plans.common import Registry, read
 from rallyspark.plans.texts import _pick, _sql
 
@@ -166,3 +166,25 @@ def country_names(spark, sf_dir):
         F.when(k % 4 == 0, F.concat(F.lit(" "), F.lower(own), F.lit(" "))).when(k % 4 == 1, land).when(k % 4 == 2, " ").alias("country"), F.when(k % 5 == 0, own).when(k % 5 == 1, F.concat(F.lit("en "), (k % 10).cast("string"))).alias("country_en"),
     )
     return identity.with_countries(profiles, names)
+
+
+@add("""
+    WITH p AS (SELECT l_orderkey AS k, l_suppkey % 2 + 1 AS side, 'P' || l_partkey % 6 || '|N' || l_suppkey % 2 AS who, min((l_linenumber, l_suppkey, l_partkey)) AS first, max_by(l_partkey, (l_linenumber, l_suppkey, l_partkey)) AS id FROM lineitem GROUP BY 1, 2, 3),
+    s AS (SELECT k, coalesce(string_agg(who || '|' || id, ',' ORDER BY first) FILTER (side = 1), '') AS a, coalesce(string_agg(who || '|' || id, ',' ORDER BY first) FILTER (side = 2), '') AS b FROM p GROUP BY 1)
+    SELECT o_orderkey AS tie_id, o_orderkey % 4 || '-' || o_orderkey % 3 AS match_score, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'A' WHEN o_orderkey % 3 = 2 THEN 'B' END AS winner_side, 'R' || o_orderkey % 6 AS round_code,
+      coalesce(a, '') AS players_a, coalesce(b, '') AS players_b FROM orders LEFT JOIN s ON k = o_orderkey""")
+def tie_details(spark, sf_dir):
+    """Details of ties from their rubbers' players."""
+    k = F.col("o_orderkey")
+    team = lambda head: F.concat(F.lit(head), (F.col("o_custkey") % 9).cast("string"))
+    ties = read(spark, sf_dir, "orders").select(
+        k.alias("tie_id"), team("A").alias("team_a"), team("B").alias("team_b"), F.when(k % 5 == 0, None).when(k % 3 == 1, team("A")).when(k % 3 == 2, team("B")).otherwise("odd").alias("winner_code"),
+        (k % 4).alias("score_a"), (k % 3).alias("score_b"), F.concat(F.when(k % 2 == 0, "KO:MT:").otherwise(""), F.lit("R"), (k % 6).cast("string")).alias("round"),
+    )
+    players = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("tie_id"), F.col("l_linenumber").alias("match_id"), (F.col("l_suppkey") % 2 + 1).alias("side_no"), F.col("l_suppkey").alias("player_no"), F.col("l_partkey").alias("player_id"),
+        F.concat(F.lit("P"), (F.col("l_partkey") % 6).cast("string")).alias("name"), F.concat(F.lit("N"), (F.col("l_suppkey") % 2).cast("string")).alias("country_code"),
+    )
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["name"], x["country_code"], x["player_id"].cast("string"))), ",")
+    shown = views.tie_detail(ties, players)
+    return shown.select("tie_id", "match_score", "winner_side", "round_code", text("players_a").alias("players_a"), text("players_b").alias("players_b"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rallyspark.operators import identity, replay
+from rallyspark.operators import identity, replay, views
 from tests.helpers import rows
 
 STATES = [("scheduled", None), ("live", "Live"), ("completed", "Live"), ("completed", "Official"), ("walkover", " COMPLETED "), (None, None)]
@@ -77,3 +77,10 @@ def test_countries_by_texts_then_by_the_table(spark):
     names = spark.createDataFrame([("CHN", "China")], "code string, name string")
     people = spark.createDataFrame([(1, None, "chn", None), (2, "c hn", "", "CHN"), (3, "XXX", " Some  land", "chn"), (4, "XXX", None, "en"), (5, None, None, None), (6, "YYY", "yyy", None)], "k long, country_code string, country string, country_en string")
     assert rows(identity.with_countries(people, names)) == {(1, "CHN", "CHINA", "CHINA"), (2, "CHN", "CHINA", "CHINA"), (3, "XXX", "SOME LAND", "SOME LAND"), (4, "XXX", "EN", "EN"), (5, None, None, None), (6, "YYY", "yyy", None)}
+
+
+def test_detail_of_a_tie_lists_each_player_once(spark):
+    ties = spark.createDataFrame([(1, "A", "B", "B", 1, 3, "KO:QF"), (2, "A", "B", None, 0, 0, None)], "tie_id long, team_a string, team_b string, winner_code string, score_a int, score_b int, round string")
+    players = spark.createDataFrame([(1, 2, 1, 1, 7, "x", None), (1, 1, 1, 2, None, "x", ""), (1, 1, 1, 1, 5, "y", "c"), (1, 3, 2, 1, 9, "z", "c")], "tie_id long, match_id long, side_no int, player_no int, player_id long, name string, country_code string")
+    got = rows(views.tie_detail(ties, players), "tie_id", "match_score", "winner_side", "round_code", "players_a.player_id", "players_b.name")
+    assert got == {(1, "1-3", "B", "QF", (5, 7), ("z",)), (2, "0-0", None, None, (), ())}
