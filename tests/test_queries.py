@@ -1,6 +1,8 @@
 """Every registered query of the platform against DuckDB on the smallest tables; the entry contract; the package without ``llm``."""
 
 import math
+import os
+import shutil
 import subprocess
 import sys
 
@@ -47,6 +49,11 @@ def test_entry(spark):
     assert e.entry(spark).count() == 50 and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_imports_without_the_corpus_part():
-    code = "import sys; sys.modules['rallyspark.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q[:2] == 'op' and q[2].isdigit()] and 'pipeline' not in e.queries()"
-    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+@pytest.mark.parametrize("gone", [["rallyspark.llm"], ["corpus_pipeline"], ["rallyspark.llm", "corpus_pipeline"]])
+def test_imports_without_the_corpus_part(gone, tmp_path):
+    """A copy of the repository without the folders, as the driver makes it; each may be missing alone."""
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", *(["llm"] if "rallyspark.llm" in gone else []), *[f"{g}.py" for g in gone]))
+    code = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); print(len(q), 'pipeline' in q, any(x[:2] == 'op' and x[2].isdigit() for x in q))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    n, pipeline, corpus = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, check=True, capture_output=True, text=True).stdout.split()
+    assert int(n) >= len(catalogue.QUERIES) and pipeline == "False" and corpus == str("rallyspark.llm" not in gone)
