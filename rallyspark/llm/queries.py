@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyspark.llm import flac, langid, neardup, packing, pieces, preference, quality, secrets, sharding, topk
+from rallyspark.llm import flac, langid, lexical, linededup, neardup, packing, pieces, preference, quality, resampling, secrets, sharding, topk
 from rallyspark.llm.common import table
 
 
@@ -61,10 +61,30 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_language_id, op4_sentencepiece, op5_quality, op6_flac, op7_packing, op8_secret_scans, op9_preference, op10_topk)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_near_dedup, op2_sharding, op3_language_id, op4_sentencepiece, op5_quality, op6_flac, op7_packing, op8_secret_scans, op9_preference, op10_topk,
+    op11_resampling, op12_line_dedup, op13_ranked_search,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 # op10: row numbers are in DuckDB's scan order and serve only to leave out the query's own row
 ORACLES = {
     "op9_preference": preference.ORACLE,
+    "op11_resampling": resampling.ORACLE,
+    "op12_line_dedup": linededup.ORACLE,
+    "op13_ranked_search": lexical.ORACLE,
     "op10_topk": """
         WITH rows AS (
           SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
