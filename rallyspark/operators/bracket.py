@@ -5,7 +5,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from rallyspark.functions.rounds import DRAW_ORDER, draw_order, draw_round, non_tour, position_round_two
 from rallyspark.functions.text import nz
 from rallyspark.operators.relational import set_pairs
+from rallyspark.sources.shared import discard, stored
 
 DRAW = ["event_id", "sub_event_type_code"]
 
@@ -63,61 +65,66 @@ def feeder_links(rows: DataFrame) -> DataFrame:
     return rows.join(found, "match_id", "left")
 
 
+def _levels(rows: DataFrame, keys: list[str], order: Column, tag: str) -> tuple[DataFrame, int]:
+    """The rows with ``_depth``, their round counted from the last one (0) of their draw, stored; and the number of rounds."""
+    deep = stored(rows.withColumn("_depth", F.dense_rank().over(W.partitionBy(*keys).orderBy(order)) - 1), tag)
+    last = deep.agg(F.max("_depth")).first()[0]
+    return deep, 0 if last is None else last + 1
+
+
 def bracket_positions(linked: DataFrame) -> DataFrame:
     """Add bracket_position: rounds are numbered from the last one down, and a feeder of place p, side s moves to 2(p - 1) + s.
 
-    Matches that feed none stand behind the placed ones in match order. Groups are one draw of one discipline: a few hundred rows.
+    Matches that feed none stand behind the placed ones in match order. All draws go down together, one stored step for each round.
     """
-    schema = "match_id long, bracket_position int"
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        at: dict[int, int] = {}
-        behind = len(group) * 4 + 1
-        out: dict[int, int] = {}
-        for order in sorted(group["round_order"].unique(), reverse=True):
-            level = group[group["round_order"] == order]
-            ids = sorted(level["match_id"], key=lambda m: (at.get(m, behind), m))
-            rank = {m: i + 1 for i, m in enumerate(ids)}
-            first = order == group["round_order"].min()
-            last = max(at.values(), default=0)
-            out |= {m: at.get(m, last + rank[m]) if first else rank[m] for m in ids}
-            for m, a, b in zip(level["match_id"], level["side_a_previous"], level["side_b_previous"], strict=True):
-                for side, feeder in ((1, a), (2, b)):
-                    if pd.notna(feeder):
-                        at[int(feeder)] = (rank[m] - 1) * 2 + side
-        return pd.DataFrame({"match_id": list(out), "bracket_position": list(out.values())})
-
     slim = linked.select(*DRAW, "match_id", "round_order", "side_a_previous", "side_b_previous")
-    return linked.join(slim.groupBy(*DRAW).applyInPandas(place, schema), "match_id")
+    deep, rounds = _levels(slim, DRAW, F.desc("round_order"), "levels")
+    spots = linked.sparkSession.createDataFrame([], "match_id long, _spot long")
+    placed = []
+    for depth in range(rounds):
+        place = F.row_number().over(W.partitionBy(*DRAW).orderBy(F.asc_nulls_last("_spot"), "match_id"))
+        level = stored(deep.where(F.col("_depth") == depth).join(spots, "match_id", "left").withColumn("_n", place), "places")
+        side = lambda n, c: F.struct(F.col(c).alias("match_id"), ((F.col("_n") - 1) * 2 + n).cast("long").alias("_spot"))
+        spots = level.select(F.explode(F.array(side(1, "side_a_previous"), side(2, "side_b_previous"))).alias("f")).select("f.*").where("match_id is not null")
+        placed.append(level)
+    if not placed:
+        return linked.withColumn("bracket_position", F.lit(None).cast("int"))
+    rows = reduce(DataFrame.union, placed)
+    draws = rows.groupBy(*DRAW).agg(F.max("_depth").alias("_first"), F.coalesce(F.max("_spot"), F.lit(0)).alias("_top"))
+    lowest = F.coalesce("_spot", F.col("_top") + F.col("_n"))
+    at = F.when(F.col("_depth") == F.col("_first"), lowest).otherwise(F.col("_n")).cast("int")
+    places = stored(rows.join(draws, DRAW).select("match_id", at.alias("bracket_position")), "positions")
+    discard(deep, *placed)
+    return linked.join(places, "match_id")
 
 
 def display_order(ties: DataFrame) -> DataFrame:
     """Add display_order to team ties (draw, level, seq, tie_id, team_a, team_b, winner): each round in the order of its feeders.
 
-    From the last round down, the ties that a next tie's teams won come in that tie's order (of several the one whose teams appear
-    most in earlier rounds), the others follow as they were. Groups are one draw.
+    From the last round down, the ties that a next tie's teams won come in that tie's order, side a first; of several ties that a team
+    won its k-th ask takes the k-th by appearances of both teams in the rounds before, then by ``seq``. The others follow as they were.
+    All draws go down together, one stored step for each round; ``seq`` is unique within a draw and level.
     """
-    schema = "draw string, tie_id string, display_order int"
-
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        levels = {lv: list(part.sort_values("seq").itertuples(index=False)) for lv, part in group.groupby("level")}
-        names = sorted(levels)
-        for i in range(len(names) - 1, 0, -1):
-            history = pd.Series([t for lv in names[: max(0, i - 1)] for x in levels[lv] for t in (x.team_a, x.team_b)], dtype=object).value_counts()
-            weight = lambda x, h=history: h.get(x.team_a, 0) + h.get(x.team_b, 0)
-            rest, moved = list(levels[names[i - 1]]), []
-            for tie in levels[names[i]]:
-                for team in (tie.team_a, tie.team_b):
-                    won = [x for x in rest if team is not None and x.winner == team]
-                    if won:
-                        pick = max(won, key=weight)
-                        moved.append(pick)
-                        rest.remove(pick)
-            levels[names[i - 1]] = moved + rest
-        rows = [(x.draw, x.tie_id, n) for lv in names for n, x in enumerate(levels[lv], 1)]
-        return pd.DataFrame(rows, columns=["draw", "tie_id", "display_order"])
-
-    return ties.join(ties.groupBy("draw").applyInPandas(order, schema), ["draw", "tie_id"])
+    deep, rounds = _levels(ties, ["draw"], F.desc("level"), "ties")
+    seen = deep.select("draw", "_depth", F.explode(F.array("team_a", "team_b")).alias("team")).where("team is not null").groupBy("draw", "team", "_depth").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("draw", "team").orderBy(F.desc("_depth")).rowsBetween(W.unboundedPreceding, -1))
+    history = seen.select("draw", "_depth", "team", F.coalesce(before, F.lit(0)).alias("h"))
+    of = lambda c: history.select("draw", "_depth", F.col("team").alias(c), F.col("h").alias(f"_{c}"))
+    weight = F.coalesce("_team_a", F.lit(0)) + F.coalesce("_team_b", F.lit(0))
+    weighed = stored(deep.join(of("team_a"), ["draw", "_depth", "team_a"], "left").join(of("team_b"), ["draw", "_depth", "team_b"], "left").withColumn("_weight", weight).drop("_team_a", "_team_b"), "weighed")
+    kth = F.row_number().over(W.partitionBy("draw", "winner").orderBy(F.desc("_weight"), "seq"))
+    asked, placed = None, []
+    for depth in range(rounds):
+        level = weighed.where(F.col("_depth") == depth).withColumn("_k", kth)
+        level = level.withColumn("_ask", F.lit(None).cast("long")) if asked is None else level.join(asked, ["draw", "winner", "_k"], "left")
+        order = F.row_number().over(W.partitionBy("draw").orderBy(F.asc_nulls_last("_ask"), "seq"))
+        level = stored(level.withColumn("display_order", order).select(*ties.columns, "display_order"), "order")
+        side = lambda n, c: F.struct(F.col(c).alias("winner"), (F.col("display_order") * 2 + n).cast("long").alias("_ask"))
+        asks = level.select("draw", F.explode(F.array(side(0, "team_a"), side(1, "team_b"))).alias("s")).select("draw", "s.*").where("winner is not null")
+        asked = asks.withColumn("_k", F.row_number().over(W.partitionBy("draw", "winner").orderBy("_ask")))
+        placed.append(level)
+    discard(deep, weighed)
+    return reduce(DataFrame.union, placed) if placed else ties.withColumn("display_order", F.lit(None).cast("int"))
 
 
 def virtual_byes(sides: DataFrame, counts: list[str]) -> DataFrame:
@@ -155,58 +162,62 @@ ROUNDS = sorted(DRAW_ORDER, key=DRAW_ORDER.get)
 
 def disjoint_runs(finals: DataFrame) -> DataFrame:
     """Add tie_group to team finals (draw keys, match_id, countries): a match whose countries are none of those seen so far in its
-    group opens the next group. A fold over the few finals of one discipline, in match order."""
-    schema = "match_id long, tie_group int"
+    group opens the next group.
+
+    Windows find, for each match, the last one before it that shares a country. A match opens a group if that one lies before the
+    group's first, which depends on the group: a fold over one number for each of a discipline's finals. Null countries share nothing.
+    """
+    at = F.row_number().over(W.partitionBy(*DRAW).orderBy("match_id"))
+    rows = finals.withColumn("_at", at)
+    each = rows.select(*DRAW, "_at", F.explode(F.array_distinct(F.coalesce("countries", F.array().cast(dict(finals.dtypes)["countries"])))).alias("c")).where("c is not null")
+    shared = each.withColumn("p", F.lag("_at").over(W.partitionBy(*DRAW, "c").orderBy("_at"))).groupBy(*DRAW, "_at").agg(F.max("p").alias("_p"))
+    listed = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_p", F.lit(0)).alias("p"))))
+    start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("g"), F.array().cast("array<int>").alias("out"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        number, out = 0, []
-        for match, countries in group.sort_values("match_id")[["match_id", "countries"]].itertuples(index=False):
-            own = set(countries)
-            if out and seen.isdisjoint(own):
-                number, seen = number + 1, set()
-            seen |= own
-            out.append((match, number))
-        return pd.DataFrame(out, columns=["match_id", "tie_group"])
+    def step(s: Column, x: Column) -> Column:
+        opens = (x["_at"] > 1) & (x["p"] < s["first"])
+        g = s["g"] + opens.cast("int")
+        return F.struct(F.when(opens, x["_at"]).otherwise(s["first"]).alias("first"), g.alias("g"), F.concat(s["out"], F.array(g)).alias("out"))
 
-    return finals.join(finals.groupBy(*DRAW).applyInPandas(fold, schema), "match_id")
+    folded = rows.join(shared, [*DRAW, "_at"], "left").groupBy(*DRAW).agg(F.aggregate(listed, start, step, lambda s: s["out"]).alias("_out"))
+    return rows.join(folded, DRAW).withColumn("tie_group", F.element_at("_out", F.col("_at"))).select(*finals.columns, "tie_group")
 
 
 def lanes(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Add lane: spans of a key in order of start take the first lane that is free. Groups are the spans shown together."""
+    """Add lane: spans of a key in order of start (then end) take the first lane that is free, one whose last span ended before.
+
+    A running maximum of the ends cuts a key's spans where none is active, and every stretch begins in lane 0 again, so the fold that
+    holds the lanes' ends sees one stretch of overlapping spans. Spans without a start or an end are left out.
+    """
     columns = [c for c in spans.columns if c in (key, start, end)]
-    schema = ", ".join(f"{c} {dict(spans.dtypes)[c]}" for c in columns) + ", lane int"
+    kind = dict(spans.dtypes)[end]
+    rows = spans.select(*columns).where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    w = W.partitionBy(key).orderBy(start, end)
+    until = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
+    cut = rows.withColumn("_new", F.when(until >= F.col(start), 0).otherwise(1)).withColumn("_part", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"))))
+    begin = F.struct(F.array().cast(f"array<{kind}>").alias("busy"), F.array().cast("array<int>").alias("out"))
 
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([start, end])
-        busy: list = []
-        out = []
-        for s, e in group[[start, end]].itertuples(index=False):
-            free = next((i for i, until in enumerate(busy) if until < s), len(busy))
-            busy[free : free + 1] = [e]
-            out.append(free)
-        return group.assign(lane=out)[[*columns, "lane"]]
+    def take(a: Column, x: Column) -> Column:
+        free = F.array_position(F.transform(a["busy"], lambda u: u < x["s"]), F.lit(True)).cast("int")
+        lane = F.when(free > 0, free - 1).otherwise(F.size(a["busy"]))
+        busy = F.when(free > 0, F.transform(a["busy"], lambda u, i: F.when(i == lane, x["e"]).otherwise(u))).otherwise(F.concat(a["busy"], F.array(x["e"])))
+        return F.struct(busy.alias("busy"), F.concat(a["out"], F.array(lane)).alias("out"))
 
-    return spans.select(*columns).groupBy(key).applyInPandas(assign, schema)
+    folded = cut.groupBy(key, "_part").agg(listed.alias("_spans"), F.aggregate(listed, begin, take, lambda a: a["out"]).alias("_lanes"))
+    each = folded.select(key, F.explode(F.arrays_zip("_spans", "_lanes")).alias("x"))
+    return each.select(key, F.col("x._spans.s").alias(start), F.col("x._spans.e").alias(end), F.col("x._lanes").alias("lane")).select(*columns, "lane")
 
 
 def rolled_dates(days: DataFrame, key: str, seq: str, base_year: str) -> DataFrame:
     """Add local_date to rows with month and day: a date before the previous row's falls in the year after the base year.
 
-    The base year itself never moves. A fold over one event's sessions.
+    The base year is one for each key and never moves, and no later date of that year can come before one of the next, so all rows
+    from the first step back on are in the next year: a running maximum over the key's sessions in order of ``seq``.
     """
-    schema = f"{key} {dict(days.dtypes)[key]}, {seq} {dict(days.dtypes)[seq]}, local_date date"
-
-    def roll(group: pd.DataFrame) -> pd.DataFrame:
-        from datetime import date
-
-        before, out = None, []
-        for k, s, year, m, d in group.sort_values(seq)[[key, seq, base_year, "month", "day"]].itertuples(index=False):
-            now = date(int(year), int(m), int(d))
-            if before is not None and now < before:
-                now = date(int(year) + 1, int(m), int(d))
-            out.append((k, s, now))
-            before = now
-        return pd.DataFrame(out, columns=[key, seq, "local_date"])
-
-    return days.join(days.groupBy(key).applyInPandas(roll, schema), [key, seq])
+    w = W.partitionBy(key).orderBy(seq)
+    here = F.make_date(F.col(base_year), F.col("month"), F.col("day"))
+    back = F.coalesce(F.col("_here") < F.lag("_here").over(w), F.lit(False)).cast("int")
+    rows = days.withColumn("_here", here).withColumn("_back", back).withColumn("_rolled", F.max("_back").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    date = F.when(F.col("_rolled") == 1, F.make_date(F.col(base_year) + 1, F.col("month"), F.col("day"))).otherwise(F.col("_here"))
+    return rows.withColumn("local_date", date).select(*days.columns, "local_date")
