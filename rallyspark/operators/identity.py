@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rallyspark.functions.scores import match_score, names_in, winner_of
 from rallyspark.functions.text import name_key, name_variants, normalize_text, nz, side_key
+from rallyspark.operators.components import connected
+from rallyspark.sources.shared import stored
 
 
 def _country(c: str) -> Column:
@@ -104,17 +106,78 @@ def verified_by_rank(asks: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.join(hits.drop("_n"), "_id", "left").drop("_id", "_cc")
 
 
-def _variants(name: str) -> set[str]:
-    import re
+def ranking_variants(name: Column) -> Column:
+    """Spellings of a ranking name: the whole in lower case with single spaces, and without a year in brackets at its end."""
+    full = F.replace(F.replace(F.lower(F.trim(F.regexp_replace(nz(name), r"\s+", " "))), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    bare = F.trim(F.regexp_replace(full, r"\s+\((?:19|20)\d{2}\)$", ""))
+    return F.when(full == "", F.array(full)).otherwise(F.array_distinct(F.filter(F.array(full, bare), lambda v: v != "")))
 
-    full = " ".join(str(name or "").split()).casefold()
-    bare = re.sub(r"\s+\((?:19|20)\d{2}\)$", "", full).strip()
-    return {full, bare} - {""} or {full}
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Ranking rows with variants, words and tidy numbers; empty ranks and points are 0."""
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    out = rows.select("category", "seq", whole("rank"), whole("points"), F.upper(nz(F.col("country_code"))).alias("cc"), ranking_variants(F.col("name")).alias("names"), *(["player_id"] if "player_id" in rows.columns else []))
+    return out.withColumn("words", F.array_distinct(F.filter(F.flatten(F.transform("names", lambda n: F.split(n, " "))), lambda w: w != "")))
 
-def _alike(a: set[str], b: set[str]) -> bool:
-    """Words of one name within those of the other, both of two words or more."""
-    return len(a) > 1 and len(b) > 1 and (a <= b or b <= a)
+
+def _within(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(s_seq, l_seq) of rows of one list and country where all words of the small row, two or more, are among those of the large one.
+
+    A small row is looked up by its rarest word of the list only, so that a word which very many names share makes no pairs of them all.
+    """
+    keys = ["category", "cc"]
+    word = lambda df: df.where(F.size("words") > 1).select(*keys, "seq", "words", F.explode("words").alias("w"))
+    often = word(large).groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
+    rare = word(small).join(often, [*keys, "w"]).groupBy(*keys, "seq").agg(F.min_by(F.struct("w", "words"), F.struct("n", "w")).alias("r"))
+    asked = rare.select(*keys, F.col("seq").alias("s_seq"), F.col("r.w").alias("w"), F.col("r.words").alias("s_words"))
+    met = asked.join(word(large).select(*keys, "w", F.col("seq").alias("l_seq"), F.col("words").alias("l_words")), [*keys, "w"])
+    return met.where(F.size(F.array_except("s_words", "l_words")) == 0).select("category", "s_seq", "l_seq")
+
+
+def ranking_candidates(weekly: DataFrame, results: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(category, seq, kind, result): results rows that a weekly row may mean, kind 0 by name, 1 by a named alias, 2 by words. By equi-joins."""
+    week, result = stored(_ranked(weekly), "weekly"), stored(_ranked(results), "results")
+    named = lambda df: df.select("category", "cc", "seq", F.explode("names").alias("n"))
+    pair = lambda df, kind: df.select("category", F.col("seq").alias("seq"), F.lit(kind).alias("kind"), F.col("result"))
+    found = pair(named(week).join(named(result).withColumnRenamed("seq", "result"), ["category", "cc", "n"]), 0)
+    if aliases is not None:
+        other = F.when(F.trim(nz(F.col("results_name"))) != "", ranking_variants(F.col("results_name")))
+        alias = aliases.select(F.upper(nz(F.col("country_code"))).alias("cc"), F.explode(ranking_variants(F.col("weekly_name"))).alias("n"), F.nullif(F.col("player_id").cast("string"), F.lit("")).alias("pid"), other.alias("other")).where("cc <> ''")
+        asks = named(week).join(alias, ["cc", "n"]).select("category", "cc", "seq", "pid", "other").distinct()
+        own = result.select("category", "cc", F.col("player_id").cast("string").alias("pid"), F.col("seq").alias("result"))
+        by_id = asks.where("pid is not null").join(own, ["category", "cc", "pid"])
+        by_name = asks.where("pid is null").select("category", "cc", "seq", F.explode("other").alias("n")).join(named(result).withColumnRenamed("seq", "result"), ["category", "cc", "n"])
+        found = found.unionByName(pair(by_id, 1)).unionByName(pair(by_name, 1))
+    part = _within(week, result).select("category", F.col("s_seq").alias("seq"), F.col("l_seq").alias("result")).unionByName(_within(result, week).select("category", F.col("l_seq").alias("seq"), F.col("s_seq").alias("result")))
+    return found.unionByName(pair(part, 2)).distinct()
+
+
+def _greedy(group: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one connected part in list order; an id is used once."""
+    used: set[str] = set()
+    out = []
+    for (category, seq, rank, points), rows in group.groupby(["category", "seq", "rank", "points"], sort=False):
+        free = rows[rows["id"].isna() | ~rows["id"].isin(used)]
+        same, of = free["r_points"] == points, lambda k, free=free: free["kind"] == k
+        steps = [("matched", of(0) & same), ("matched", of(0))]
+        if not of(0).any():
+            steps += [("manual_alias", of(1) & same), ("manual_alias_rank_fallback", of(1)), ("partial_name", of(2) & same), ("partial_name", of(2))]
+        pick, status = None, "unmatched"
+        for label, mask in steps:
+            if mask.any():
+                near = sorted((abs(rank - r), r, i) for i, r in free.loc[mask, "r_rank"].items())
+                if len(near) == 1:
+                    pick, status = near[0][2], label
+                elif near[0][0] == near[1][0]:
+                    status = "ambiguous"
+                else:
+                    pick, status = near[0][2], "manual_alias_rank_fallback" if label.startswith("manual") else "rank_fallback"
+                break
+        row = None if pick is None else free.loc[pick]
+        if row is not None and row["id"]:
+            used.add(row["id"])
+        out.append((category, seq, None if row is None else row["id"], None if row is None else row["r_rank"], status))
+    return pd.DataFrame(out, columns=["category", "seq", "player_id", "results_rank", "status"]).astype({"results_rank": "Int64"})
 
 
 def merge_ranking_ids(weekly: DataFrame, results: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -122,61 +185,23 @@ def merge_ranking_ids(weekly: DataFrame, results: DataFrame, aliases: DataFrame
 
     Candidates in this order: name variant, country and points; the same without points; a named alias with and without points; words
     of one name within the other's with and without points. Of several the nearest rank counts, none if two are equally near. Rows come
-    in rank order and an id is used once, so a category is one fold: a ranking list of a few thousand rows.
+    in list order and an id is used once, so rows that share a candidate depend on each other: a fold over the connected parts of the
+    graph of candidates (and of rows with one id), each a few rows, however long a list is.
 
-    weekly: category, seq, rank, name, country_code, points; results the same with player_id; aliases: country_code, weekly_name,
-    results_name, player_id.
+    weekly: category, seq (unique in it), rank, name, country_code, points; results the same with player_id; aliases: country_code,
+    weekly_name, results_name, player_id. Rows without candidates are ``unmatched``.
     """
-    columns = ["category", "seq", "rank", "name", "country_code", "points"]
-    rows = weekly.select(*columns, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("player_id"), F.lit(None).cast("string").alias("other"))
-    rows = rows.unionByName(results.select(*columns, F.lit(1).alias("kind"), F.col("player_id").cast("string").alias("player_id"), F.lit(None).cast("string").alias("other")))
-    if aliases is not None:
-        own = aliases.select(F.col("weekly_name").alias("name"), F.col("country_code"), F.col("player_id").cast("string").alias("player_id"), F.col("results_name").alias("other"), F.lit(2).alias("kind"))
-        rows = rows.unionByName(weekly.select("category").distinct().crossJoin(F.broadcast(own)), allowMissingColumns=True)  # a short hand-kept list
+    pairs = stored(ranking_candidates(weekly, results, aliases), "candidates")
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    result = results.select("category", F.col("seq").alias("result"), whole("rank").alias("r_rank"), whole("points").alias("r_points"), F.col("player_id").cast("string").alias("id"))
+    node = lambda kind, c: F.concat_ws("\x1f", F.lit(kind), "category", F.col(c).cast("string"))
+    rows = stored(pairs.join(result, ["category", "result"]).withColumns({"a": node("w", "seq"), "b": F.when(F.col("id").isNull(), node("r", "result")).otherwise(node("p", "id"))}), "edges")
+    part = connected(rows.select("a", "b"))
+    own = weekly.select("category", "seq", whole("rank").alias("rank"), whole("points").alias("points"))
+    grouped = rows.join(part.select(F.col("node").alias("a"), "label"), "a").join(own, ["category", "seq"]).select("label", "category", "seq", "rank", "points", "kind", "r_rank", "r_points", "id")
     schema = "category string, seq long, player_id string, results_rank long, status string"
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        free, by_name, by_word = {}, {}, {}
-        for i, r in enumerate(group[group["kind"] == 1].sort_values("seq").itertuples(index=False)):
-            row = {"i": i, "names": _variants(r.name), "cc": str(r.country_code or "").upper(), "points": int(r.points or 0), "rank": int(r.rank or 0), "id": r.player_id}
-            row["words"] = {w for v in row["names"] for w in v.split()}
-            free[i] = row
-            for n in row["names"]:
-                by_name.setdefault((n, row["cc"]), []).append(i)
-            for w in row["words"]:
-                by_word.setdefault((w, row["cc"]), []).append(i)
-        named = [(_variants(a.name), str(a.country_code or "").upper(), a.player_id, a.other) for a in group[group["kind"] == 2].itertuples(index=False)]
-        used, out = set(), []
-        for r in group[group["kind"] == 0].sort_values("seq").itertuples(index=False):
-            names, cc, points, rank = _variants(r.name), str(r.country_code or "").upper(), int(r.points or 0), int(r.rank or 0)
-            words = {w for v in names for w in v.split()}
-            open_ = lambda ids: [free[i] for i in sorted(set(ids)) if free[i]["id"] is None or free[i]["id"] not in used]
-            same = lambda xs, p=points: [x for x in xs if x["points"] == p]
-            loose = open_(i for n in names for i in by_name.get((n, cc), []))
-            steps = [("matched", same(loose)), ("matched", loose)]
-            if not loose:
-                wanted = [(pid, other) for n, c, pid, other in named if c == cc and c and n & names and (pid or other)]
-                hit = open_(i for i, x in free.items() if x["cc"] == cc and any(x["id"] == pid if pid else bool(x["names"] & _variants(other)) for pid, other in wanted)) if wanted else []
-                part = [x for x in open_(i for w in words for i in by_word.get((w, cc), [])) if _alike(words, x["words"])]
-                steps = [("manual_alias", same(hit)), ("manual_alias_rank_fallback", hit), ("partial_name", same(part)), ("partial_name", part)]
-            pick, status = None, "unmatched"
-            for label, found in steps:
-                if not found:
-                    continue
-                found = sorted(found, key=lambda x: (abs(rank - x["rank"]), x["rank"]))
-                if len(found) == 1:
-                    pick, status = found[0], label
-                elif abs(rank - found[0]["rank"]) == abs(rank - found[1]["rank"]):
-                    status = "ambiguous"
-                else:
-                    pick, status = found[0], "manual_alias_rank_fallback" if label.startswith("manual") else "rank_fallback"
-                break
-            if pick is not None and pick["id"]:
-                used.add(pick["id"])
-            out.append((r.category, int(r.seq), pick["id"] if pick else None, pick["rank"] if pick else None, status))
-        return pd.DataFrame(out, columns=["category", "seq", "player_id", "results_rank", "status"]).astype({"results_rank": "Int64"})
-
-    return weekly.join(rows.groupBy("category").applyInPandas(merge, schema), ["category", "seq"])
+    merged = grouped.groupBy("label").applyInPandas(lambda g: _greedy(g.drop(columns="label").sort_values("seq", kind="stable")), schema)
+    return weekly.join(merged, ["category", "seq"], "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
 
 
 def merge_totals(merged: DataFrame) -> DataFrame:

@@ -85,9 +85,15 @@ def linked(messages: DataFrame) -> DataFrame:
     low, high = F.least(nz(F.col("team1")), nz(F.col("team2"))), F.greatest(nz(F.col("team1")), nz(F.col("team2")))
     unit = F.concat_ws("\x1f", *UNIT)
     rows = coded(messages).withColumns({"final": replay.official_final(F.col("status"), F.col("source_status")), "_pair": F.concat_ws("\x1f", unit, low, high)})
-    # only a code that is sent with several pairs of teams connects them
+    # a code that is sent with several pairs of teams connects them
     codes = rows.where("own_code").groupBy(*UNIT, "code").agg(F.min("_pair").alias("a"), F.max("_pair").alias("_hi")).where("a <> _hi").drop("_hi")
-    edges = rows.where("own_code").select(*UNIT, "code", F.col("_pair").alias("b")).distinct().join(codes, [*UNIT, "code"]).where("a <> b").select("a", "b")
+    shared = rows.where("own_code").select(*UNIT, "code", F.col("_pair").alias("b"), "team1", "team2").distinct().join(codes, [*UNIT, "code"])
+    # a message with one team only mixes it with a team of another message: such a code's teams connect all pairs that they are in
+    teams = lambda df, *more: df.select(*UNIT, F.explode(F.array("team1", "team2")).alias("team"), *more).where("team <> ''").distinct()
+    mixed = shared.where((nz(F.col("team1")) == "") | (nz(F.col("team2")) == "")).select(*UNIT, "code").distinct()
+    wide = teams(shared.join(mixed, [*UNIT, "code"], "left_semi"), "a").join(teams(rows, F.col("_pair").alias("b")), [*UNIT, "team"])
+    alone = rows.where((low == "") & (high != "")).select(F.col("_pair").alias("a"), F.concat_ws("\x1f", unit, high, high).alias("b")).distinct()
+    edges = shared.select("a", "b").union(wide.select("a", "b")).union(alone).where("a <> b")
     part = rows.join(connected(edges).select(F.col("node").alias("_pair"), "label"), "_pair", "left").withColumn("_part", F.coalesce("label", "_pair")).drop("label", "_pair")
     read = ["seq", "code", "own_code", "final", "status", "match_no", *PATCHED, *FILLED]
 

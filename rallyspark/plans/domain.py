@@ -135,14 +135,48 @@ def best_result_fold(spark, sf_dir):
     return stats.best_results(rows)
 
 
-@add()
+@add(f"""
+    WITH RECURSIVE c AS (SELECT c_mktsegment || '/' || c_custkey // {LIST_IDS} AS category, c_custkey AS seq, 'player ' || c_custkey % 400 AS n, 'N' || c_custkey % 3 AS cc, c_custkey % 50 AS points FROM customer),
+    weekly AS (SELECT category, seq, seq AS rank, cc, points, CASE WHEN seq % 9 = 0 THEN [n, n || ' (1999)'] ELSE [n] END AS names FROM c),
+    res AS (SELECT category, seq, seq + seq % 5 AS rank, cc, points + (seq % 4 = 0)::INTEGER AS points, n || CASE WHEN seq % 6 = 0 THEN ' jun' ELSE '' END AS n, CASE WHEN seq % 31 > 0 THEN 'id' || seq END AS id FROM c),
+    alias AS (SELECT DISTINCT 'player ' || c_custkey % 400 AS n, 'N' || c_custkey % 3 AS cc, CASE WHEN c_custkey % 2 = 0 THEN 'id' || (c_custkey + 15) END AS pid, 'player ' || (c_custkey + 3) % 400 AS other FROM customer WHERE c_custkey % 97 = 0),
+    words AS (SELECT category, seq, cc, unnest(names) AS n FROM weekly),
+    w2 AS (SELECT category, seq, cc, list_distinct(list_concat(string_split(names[1], ' '), CASE WHEN len(names) > 1 THEN ['(1999)'] ELSE [] END)) AS ws FROM weekly),
+    pairs AS (
+      SELECT DISTINCT w.category, w.seq, 0 AS kind, r.seq AS result FROM words w JOIN res r ON r.category = w.category AND r.cc = w.cc AND r.n = w.n
+      UNION SELECT w.category, w.seq, 1, r.seq FROM words w JOIN alias a ON a.cc = w.cc AND a.n = w.n JOIN res r ON r.category = w.category AND r.cc = w.cc AND CASE WHEN a.pid IS NOT NULL THEN coalesce(r.id = a.pid, false) ELSE r.n = a.other END
+      UNION SELECT w.category, w.seq, 2, r.seq FROM w2 w JOIN res r ON r.category = w.category AND r.cc = w.cc AND (list_has_all(w.ws, string_split(r.n, ' ')) OR list_has_all(string_split(r.n, ' '), w.ws))),
+    cand AS (SELECT p.category, p.seq, list({{'kind': kind, 'rank': r.rank, 'points': r.points, 'id': r.id}}) AS cs FROM pairs p JOIN res r ON r.category = p.category AND r.seq = p.result GROUP BY ALL),
+    k AS (SELECT w.category, w.seq, w.rank, w.points, coalesce(cs, []) AS cs, row_number() OVER (PARTITION BY w.category ORDER BY w.seq) AS n FROM weekly w LEFT JOIN cand USING (category, seq)),
+    s AS (
+      SELECT category, 0::BIGINT AS n, []::VARCHAR[] AS used, NULL::BIGINT AS seq, NULL::VARCHAR AS player_id, NULL::BIGINT AS results_rank, NULL::VARCHAR AS status FROM (SELECT DISTINCT category FROM k)
+      UNION ALL
+      SELECT category, n, CASE WHEN one.id IS NULL THEN used ELSE list_append(used, one.id) END, seq, one.id, one.rank,
+        CASE WHEN len(found) = 0 THEN 'unmatched' WHEN tie THEN 'ambiguous' WHEN len(found) = 1 THEN label WHEN label LIKE 'manual%' THEN 'manual_alias_rank_fallback' ELSE 'rank_fallback' END
+      FROM (SELECT *, CASE WHEN NOT tie THEN found[1] END AS one FROM (SELECT *, coalesce(len(found) > 1 AND found[1].far = found[2].far, false) AS tie
+        FROM (SELECT *, list_sort(list_transform(chosen, lambda x: {{'far': abs(rank - x.rank), 'rank': x.rank, 'id': x.id}})) AS found
+          FROM (SELECT *, CASE WHEN len(e) > 0 THEN e WHEN len(l) > 0 THEN l WHEN len(ap) > 0 THEN ap WHEN len(a) > 0 THEN a WHEN len(pp) > 0 THEN pp ELSE p END AS chosen,
+              CASE WHEN len(l) > 0 THEN 'matched' WHEN len(ap) > 0 THEN 'manual_alias' WHEN len(a) > 0 THEN 'manual_alias_rank_fallback' ELSE 'partial_name' END AS label
+            FROM (SELECT *, list_filter(l, lambda x: x.points = points) AS e, list_filter(a, lambda x: x.points = points) AS ap, list_filter(p, lambda x: x.points = points) AS pp
+              FROM (SELECT *, list_filter(open_, lambda x: x.kind = 0) AS l, list_filter(open_, lambda x: x.kind = 1) AS a, list_filter(open_, lambda x: x.kind = 2) AS p
+                FROM (SELECT k.*, s.used, list_filter(k.cs, lambda x: x.id IS NULL OR NOT list_contains(s.used, x.id)) AS open_ FROM s JOIN k ON k.category = s.category AND k.n = s.n + 1))))))))
+    SELECT category, seq, player_id, results_rank, status FROM s WHERE n > 0""")
 def ranking_id_merge(spark, sf_dir):
-    """Ids of every ranking list from its results list, each id once in a list."""
-    name = lambda c: F.concat_ws(" ", F.lit("Player"), (F.col(c) % 400).cast("string"))
-    category = F.concat_ws("/", "c_mktsegment", F.floor(F.col("c_custkey") / LIST_IDS).cast("string"))
-    weekly = read(spark, sf_dir, "customer").select(category.alias("category"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("rank"), name("c_custkey").alias("name"), F.concat(F.lit("N"), (F.col("c_custkey") % 3).cast("string")).alias("country_code"), (F.col("c_custkey") % 50).alias("points"))
-    results = weekly.select("category", "seq", (F.col("rank") + F.col("seq") % 5).alias("rank"), "name", "country_code", (F.col("points") + F.when(F.col("seq") % 4 == 0, 1).otherwise(0)).alias("points"), F.concat(F.lit("id"), F.col("seq").cast("string")).alias("player_id"))
-    return identity.merge_ranking_ids(weekly, results).select("category", "seq", "player_id", "results_rank", "status")
+    """Ids of every ranking list from its results list, each id once in a list: by name, named alias or words."""
+    number = F.col("c_custkey")
+    name = lambda c: F.concat_ws(" ", F.lit("Player"), (c % 400).cast("string"))
+    country = F.concat(F.lit("N"), (number % 3).cast("string"))
+    category = F.concat_ws("/", "c_mktsegment", F.floor(number / LIST_IDS).cast("string"))
+    rows = read(spark, sf_dir, "customer").select(category.alias("category"), number.alias("seq"), number.alias("rank"), name(number).alias("name"), country.alias("country_code"), (number % 50).alias("points"))
+    weekly = rows.withColumn("name", F.when(F.col("seq") % 9 == 0, F.concat(F.lit(" "), F.upper("name"), F.lit("  (1999)"))).otherwise(F.col("name")))
+    results = rows.select(
+        "category", "seq", (F.col("rank") + F.col("seq") % 5).alias("rank"), F.concat("name", F.when(F.col("seq") % 6 == 0, " Jun").otherwise("")).alias("name"), "country_code",
+        (F.col("points") + F.when(F.col("seq") % 4 == 0, 1).otherwise(0)).alias("points"), F.when(F.col("seq") % 31 > 0, F.concat(F.lit("id"), F.col("seq").cast("string"))).alias("player_id"),
+    )
+    aliases = read(spark, sf_dir, "customer").where(number % 97 == 0).select(
+        country.alias("country_code"), name(number).alias("weekly_name"), name(number + 3).alias("results_name"), F.when(number % 2 == 0, F.concat(F.lit("id"), (number + 15).cast("string"))).alias("player_id"),
+    )
+    return identity.merge_ranking_ids(weekly, results, aliases).select("category", "seq", "player_id", "results_rank", "status")
 
 
 @add("""
