@@ -16,10 +16,12 @@ BATCH_BYTES = 4 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes, unless they are bounded more strictly already."""
+    """Bound the session's Arrow batches by bytes where nothing bounds them; a bound that is set for the session stays as it is.
+
+    Plans read the setting when they run, which may be long after a table was named, so it stays with the session.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    found = int(spark.conf.get(name).rstrip("b"))
-    if not 0 < found <= BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) >= (1 << 31) - 1:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

@@ -2,8 +2,8 @@
 
 Writing: blocks of 256 samples (the last one shorter), each as constant, fixed or quantised linear predictor with one Rice
 partition, or verbatim, whichever is least; a seek table names every sixteenth frame. Reading: frames are found by their sync code,
-header checksum and number, where several places fit by the checksum of the frame before; all frames of a batch are lanes that read
-one Rice code and restore one sample a step; every frame's CRC-16 and every stream's MD5 is verified. Decoded blocks carry their
+header checksum and number; where samples look like headers, by decoding from the points of the seek table on; all frames of a batch
+are lanes that read one Rice code and restore one sample a step; every frame's CRC-16 and every stream's MD5 is verified. Decoded blocks carry their
 sample and byte offsets, so that a reader can seek. Streams of other encoders are read bit by bit (``flac_reader``).
 """
 
@@ -228,11 +228,14 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def _meta(stream: bytes) -> tuple[int, int, int, bytes]:
-    """Where the frames begin, samples, block size and MD5 of a stream."""
+_POINT = np.dtype([("first", ">u8"), ("at", ">u8"), ("n", ">u2")])
+
+
+def _meta(stream: bytes) -> tuple[int, int, int, bytes, np.ndarray]:
+    """Where the frames begin, samples, block size and MD5 of a stream, and the offsets in a seek table like this module's."""
     if stream[:4] != b"fLaC":
         raise BadStream("no FLAC marker")
-    at, last, found = 4, False, None
+    at, last, found, points = 4, False, None, np.empty(0, np.int64)
     while not last:
         last, kind, size = stream[at] >> 7, stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         if kind == 0:
@@ -241,10 +244,13 @@ def _meta(stream: bytes) -> tuple[int, int, int, bytes]:
             if (word >> 41 & 7, word >> 36 & 31) != (0, 7):
                 raise BadStream("only mono streams of 8 bits are read")
             found = (word & (1 << 36) - 1, int.from_bytes(body[2:4], "big"), body[18:34])
+        if kind == 3:
+            table = np.frombuffer(stream, _POINT, size // 18, at + 4)
+            points = table["at"][table["first"] == np.arange(len(table), dtype=np.uint64) * np.uint64(SEEK_EVERY * BLOCK)].astype(np.int64)
         at += 4 + size
     if found is None:
         raise BadStream("no stream information")
-    return at, *found
+    return at, *found, points
 
 
 def _headers(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -358,42 +364,35 @@ def _decode_lanes(bits: _Bits, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out, after
 
 
-def _sum16(raw: bytes) -> int:
-    c, table = 0, CRC16.tolist()
-    for byte in raw:
-        c = c << 8 & 0xFFFF ^ table[c >> 8 ^ byte]
-    return c
-
-
-def _chain(buf: np.ndarray, at: np.ndarray, number: np.ndarray, begin: int, end: int, count: int) -> list[int]:
-    """Places of ``count`` frames from ``begin`` to ``end`` among candidates, some of which are samples that look like a header.
+def _walk(buf: np.ndarray, bits: _Bits, begin: np.ndarray, end: np.ndarray, count: np.ndarray, points: list[np.ndarray]) -> list[np.ndarray]:
+    """Places of the frames of some streams, from their seek tables: a frame's end follows from decoding it.
 
-    A frame's successor has the next number; of several the one up to which the frame's own checksum fits, tried in order.
+    Every stretch between two points of a table is a lane, so all stretches go forward together and the work is linear in the bytes.
     """
-    spots: dict[int, list[int]] = {}
-    for a, n in zip(at.tolist(), number.tolist(), strict=True):
-        spots.setdefault(n, []).append(a)
-
-    def whole(a: int, b: int) -> bool:
-        raw = buf[a:b].tobytes()
-        return len(raw) > 2 and _sum16(raw[:-2]) == raw[-2] << 8 | raw[-1]
-
-    path, options = [], [[a for a in spots.get(0, []) if a == begin]]
-    while options:
-        if not options[-1]:
-            options.pop()
-            if path:
-                path.pop()
-            continue
-        path.append(options[-1].pop(0))
-        if len(path) == count:
-            if whole(path[-1], end):
-                return path
-            path.pop()
-            continue
-        later = [b for b in spots.get(len(path), []) if b > path[-1]]
-        options.append([b for b in later if whole(path[-1], b)] if len(later) > 1 else later)
-    raise BadStream("frames are missing or their checksums are wrong")
+    stretches = -(-count // SEEK_EVERY)
+    if any(len(p) != n for p, n in zip(points, stretches, strict=True)):
+        raise BadStream("frames are ambiguous and the seek table does not tell them apart")
+    owner = np.repeat(np.arange(len(count)), stretches)
+    first = np.concatenate([np.arange(n) for n in stretches]) * SEEK_EVERY
+    at = begin[owner] + np.concatenate(points)
+    found = [np.full(n, -1, np.int64) for n in count.tolist()]
+    for step in range(SEEK_EVERY):
+        live = np.flatnonzero(first + step < count[owner])
+        for i in range(0, len(live), LANES):
+            part = live[i : i + LANES]
+            if (at[part] + 8 > end[owner[part]]).any():
+                raise BadStream("a frame lies behind the end of its stream")
+            ok, number, size, head = _headers(buf, at[part])
+            if not ok.all() or (number != first[part] + step).any():
+                raise BadStream("a frame is not where it should be")
+            for o in np.unique(owner[part]).tolist():
+                own = owner[part] == o
+                found[o][first[part][own] + step] = at[part][own]
+            for n in np.unique(size).tolist():
+                lanes = part[size == n]
+                _, after = _decode_lanes(bits, (at[lanes] + head[size == n]) * 8, n)
+                at[lanes] = (after + 7) // 8 + 2
+    return found
 
 
 def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -408,16 +407,22 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     ok, number, size, head = _headers(buf, at)
     at, number, size, head = at[ok], number[ok], size[ok], head[ok]
     owner = np.searchsorted(base, at, side="right") - 1
+    bits = _Bits(buf)
     counts = np.array([-(-m[1] // m[2]) for m in metas], np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
     if len(at) != first[-1] or (number != np.arange(len(at)) - first[owner]).any():
-        cuts, keep = np.searchsorted(owner, np.arange(len(streams) + 1)), []
+        cuts, keep, asked = np.searchsorted(owner, np.arange(len(streams) + 1)), [], []
         for i, count in enumerate(counts.tolist()):
             own = slice(cuts[i], cuts[i + 1])
             if cuts[i + 1] - cuts[i] == count and (number[own] == np.arange(count)).all():
-                keep += range(cuts[i], cuts[i + 1])
+                keep.append(np.arange(cuts[i], cuts[i + 1]))
             else:  # samples that look like a header
-                keep += np.searchsorted(at, _chain(buf, at[own], number[own], int(begin[i]), int(base[i + 1]), count)).tolist()
+                asked.append(i)
+                keep.append(None)
+        walked = _walk(buf, bits, begin[asked], base[1:][asked], counts[asked], [metas[i][4] for i in asked]) if asked else []
+        for i, places in zip(asked, walked, strict=True):
+            keep[i] = np.searchsorted(at, places)
+        keep = np.concatenate(keep)
         at, size, head, owner = at[keep], size[keep], head[keep], owner[keep]
     ends = np.append(at[1:], 0)
     last = np.append(owner[1:] != owner[:-1], True) if len(at) else np.empty(0, bool)
@@ -427,7 +432,6 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     stored = buf[ends - 2].astype(np.uint32) << np.uint32(8) | buf[ends - 1]
     if (_crc(buf, at, ends - at - 2, 16) != stored).any():
         raise BadStream("a frame's checksum is wrong")
-    bits = _Bits(buf)
     sample_at = np.concatenate([[0], np.cumsum(size)])
     pcm = np.empty(int(sample_at[-1]), np.int8)
     for n in np.unique(size).tolist():
@@ -439,7 +443,7 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
                 raise BadStream("a frame's length is wrong")
             pcm[sample_at[part][:, None] + np.arange(n)] = got
     out = []
-    for i, (_, n, _, md5) in enumerate(metas):
+    for i, (_, n, _, md5, _) in enumerate(metas):
         own = pcm[sample_at[first[i]] : sample_at[first[i + 1]]]
         if len(own) != n or hashlib.md5(own.tobytes()).digest() != md5:
             raise BadStream("the decoded samples differ from the stream's digest")

@@ -1,9 +1,9 @@
 """Shards by a hierarchical weighted hash tree.
 
-A key descends region, rack and shard levels. At each level every child draws ``-ln(u) / weight`` with ``u`` a hash of the key and
-the child's place, and the least draw wins, so a child gets rows in proportion to its weight and a weight that changes moves rows
-only within the subtrees that hold it. A shard that is added beyond full regions opens a region of its own, so every row that
-moves goes into the new shard.
+A key descends region, rack and shard levels, at each to the child with the least draw. A shard draws ``-ln(u) / weight`` with ``u`` a
+hash of the key and the shard's place; a rack or region draws the least of what it holds, which is distributed as one weighted draw with
+the sum of its weights. So a child gets rows in proportion to its weight, a weight that changes moves rows only into or out of the
+subtrees that hold it, and a shard that is added anywhere takes rows only into itself. There is one tree for each number of shards.
 """
 
 from __future__ import annotations
@@ -34,42 +34,34 @@ def balanced_tree(shards: int, per_rack: int = 5, racks: int = 4) -> Tree:
     return tree
 
 
-def _draw(key: Column, level: str, parent: Column, weights: list[list[float]]) -> Column:
-    """The child (from 0) with the least weighted draw; ``weights`` has a row for each parent."""
-    width = max(map(len, weights))
-    flat = F.array(*[F.lit(float(row[i]) if i < len(row) else 0.0) for row in weights for i in range(width)])
-    draws = []
-    for i in range(width):
-        place = parent * width + i
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), place), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        weight = flat[place]
-        draws.append(F.struct(F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(float("inf"))).alias("draw"), F.lit(i).alias("child")))
-    return draws[0]["child"] if len(draws) == 1 else F.least(*draws)["child"]
+def _least(draws: list[Column]) -> Column:
+    return draws[0] if len(draws) == 1 else F.least(*draws)
+
+
+def _leaf(key: Column, region: int, rack: int, at: int, shard: int, weight: float) -> Column:
+    """A shard's draw for a key, with its place in the tree."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(region), F.lit(rack), F.lit(at)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return F.struct((-F.ln(u) / F.lit(weight)).alias("draw"), F.lit(region).alias("region"), F.lit(rack).alias("rack"), F.lit(shard).alias("shard"))
 
 
 def place(df: DataFrame, key: str, tree: Tree, prefix: str = "") -> DataFrame:
     """Add ``{prefix}region``, ``{prefix}rack`` (within the region) and ``{prefix}shard`` (over the whole tree).
 
-    A null key is a key like any other; equal keys share a shard. The tree is a parameter of a few hundred weights.
+    A null key is a key like any other; equal keys share a shard. The tree is a parameter of a few hundred weights; a weight of 0 takes
+    no rows.
     """
-    region_w = [[sum(map(sum, racks)) for racks in tree]]
-    racks = max(map(len, tree))
-    rack_w = [[sum(r[i]) if i < len(r) else 0.0 for i in range(racks)] for r in tree]
-    shard_w = [r[i] if i < len(r) else [] for r in tree for i in range(racks)]
-    first, n = [], 0
-    for row in shard_w:
-        first.append(n)
-        n += len(row)
-    region, rack, shard = f"{prefix}region", f"{prefix}rack", f"{prefix}shard"
-    out = df.withColumn(region, _draw(F.col(key), "region", F.lit(0), region_w))
-    out = out.withColumn(rack, _draw(F.col(key), "rack", F.col(region), rack_w))
-    at = F.col(region) * racks + F.col(rack)
-    return out.withColumn(shard, (F.array(*map(F.lit, first))[at] + _draw(F.col(key), "shard", at, shard_w)).cast("int"))
-
-
-def grown_tree(tree: Tree) -> Tree:
-    """The tree with one more shard of weight 1 in a region of its own: no other subtree's weights change."""
-    return [*tree, [[1.0]]]
+    regions, n = [], 0
+    for r, racks in enumerate(tree):
+        rack_draws = []
+        for k, weights in enumerate(racks):
+            leaves = [_leaf(F.col(key), r, k, i, n + i, w) for i, w in enumerate(weights) if w > 0]
+            n += len(weights)
+            if leaves:
+                rack_draws.append(_least(leaves))
+        if rack_draws:
+            regions.append(_least(rack_draws))
+    at = f"{prefix}at"
+    return df.withColumn(at, _least(regions)).withColumns({f"{prefix}{c}": F.col(f"{at}.{c}") for c in ("region", "rack", "shard")}).drop(at)
 
 
 def slots(df: DataFrame, group: str, *order: str) -> DataFrame:
@@ -89,11 +81,10 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Size, checksum, place now and place with one more shard, and a gapless slot, for every row.
 
     Null text: size 16, checksum 0. Rows with one doc_id (or a null one) share a shard; repeated rows get a slot each.
-    The added shard is a region of its own, so with any number of shards rows move into it only. Empty table: no rows. Only doc_id and text are read; text never leaves its task.
+    ``grown_shard`` is the shard that ``shards + 1`` shards give: rows move into the added one only. Empty table: no rows. Only doc_id and text are read; text never leaves its task.
     """
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    tree = balanced_tree(shards)
-    rows = place(place(rows, "doc_id", tree), "doc_id", grown_tree(tree), "grown_")
+    rows = place(place(rows, "doc_id", balanced_tree(shards)), "doc_id", balanced_tree(shards + 1), "grown_")
     placed = store(rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id())), "shards")
     parts = max(PARTS, -(-placed.count() // (shards * PART_ROWS)))
     return slots(placed.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).drop("h"), "shard", "doc_id", "text_crc32", "size")

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -153,3 +154,16 @@ def test_other_encoders_streams(layout):
     assert flac.read_blocks(stream) == [(0, 42, pcm)]
     with pytest.raises(flac.BadStream):
         flac.read_blocks(stream[:-9] + bytes([stream[-9] ^ 1]) + stream[-8:])
+
+
+def test_a_long_text_of_lines_like_headers_takes_linear_time():
+    n, raw = padded("\x7fx\u4081\x00x" * 150_000)
+    assert n > 1_000_000
+    stream = flac.encode([raw, bytes(64)])
+    began = time.process_time()
+    (pcm, at), _ = flac.decode(stream)
+    assert time.process_time() - began < 10 and pcm.tobytes() == raw and len(at) == -(-len(raw) // flac.BLOCK)
+    damaged = bytearray(stream[0])
+    damaged[len(damaged) // 2] ^= 4
+    with pytest.raises(flac.BadStream):
+        flac.decode([bytes(damaged)])

@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import defaultdict
 
@@ -50,3 +51,42 @@ def test_any_number_of_shards_grows_into_the_new_one_only(spark):
         out = sharding.shard_documents(keys, shards)
         assert out.where(f"grown_shard <> shard and grown_shard <> {shards}").count() == 0, shards
         assert abs(out.where(f"grown_shard = {shards}").count() - 4000 / (shards + 1)) < 5 * (4000 / (shards + 1)) ** 0.5
+
+
+def plain_place(key, tree):
+    """The shard of a key, by a loop over the tree's levels with the session's own hash as a table of draws."""
+    n, regions = 0, []
+    for r, racks in enumerate(tree):
+        best = []
+        for k, weights in enumerate(racks):
+            draws = [(-math.log(key[(r, k, i)]) / w, n + i) for i, w in enumerate(weights) if w > 0]
+            n += len(weights)
+            if draws:
+                best.append(min(draws))
+        if best:
+            regions.append(min(best))
+    return min(regions)[1]
+
+
+def test_one_tree_for_each_number_of_shards(spark):
+    keys = spark.range(3000).select(F.col("id").alias("doc_id"))
+    placed, columns = keys, []
+    for n in range(1, 62):
+        placed = sharding.place(placed, "doc_id", sharding.balanced_tree(n), f"n{n}_").drop(f"n{n}_region", f"n{n}_rack")
+        columns.append(f"n{n}_shard")
+    for row in placed.select(columns).collect():
+        for n, (a, b) in enumerate(zip(row, row[1:]), 1):
+            assert 0 <= a < n and b in (a, n)
+    docs = keys.withColumn("text", F.lit("t"))
+    for n in (19, 20, 39):
+        grown = {r.doc_id: r.grown_shard for r in sharding.shard_documents(docs, n).collect()}
+        assert grown == {r.doc_id: r.shard for r in sharding.shard_documents(docs, n + 1).collect()}
+
+
+def test_place_by_a_scalar_tree(spark):
+    tree = [[[1.0, 2.0], [0.5]], [[3.0, 0.0, 1.0]]]
+    u = lambda r, k, i: (F.shiftrightunsigned(F.xxhash64("id", F.lit(r), F.lit(k), F.lit(i)), 11) + 0.5) / float(1 << 53)
+    leaves = [(r, k, i) for r, racks in enumerate(tree) for k, weights in enumerate(racks) for i in range(len(weights))]
+    rows = sharding.place(spark.range(500), "id", tree).select("shard", *[u(*leaf).alias(f"u{n}") for n, leaf in enumerate(leaves)]).collect()
+    for row in rows:
+        assert row.shard == plain_place(dict(zip(leaves, row[1:], strict=True)), tree)
