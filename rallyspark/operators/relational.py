@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rallyspark.operators.scan import ranged
+
 
 def _cols(names: str | list[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -178,23 +180,34 @@ def months_covered(df: DataFrame, start: str, end: str, name: str = "month", yea
 
 def islands(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     """Runs of consecutive whole numbers of each key: ``first``, ``last`` and their count."""
-    once = df.select(*keys, number).distinct()
-    run = F.col(number) - F.row_number().over(W.partitionBy(*keys).orderBy(number))
-    return once.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+    part = ranged(df.select(*keys, number).distinct(), keys, number)
+    rows = part.rows.withColumn("_place", F.row_number().over(part.window(number)))
+    rows = part.carried(rows, {"_rows": F.count(F.lit(1))}, {"_before": F.sum("_rows").over(part.before())})
+    run = F.col(number) - F.col("_place") - F.coalesce("_before", F.lit(0))
+    return rows.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
 def change_counter(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "segment") -> DataFrame:
-    """Add a number from 1 that grows whenever ``value`` differs from the row before it."""
-    w = W.partitionBy(*keys).orderBy(*order)
+    """Add a number from 1 that grows whenever ``value`` differs from the row before it. Orders should be unique within a key."""
+    part = ranged(df, keys, order[0])
+    w = part.window(*order)
     change = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return df.withColumn("_c", change).withColumn(name, F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_c")
+    rows = part.rows.withColumn("_c", change).withColumn("_s", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    at, over = F.struct(*order), W.partitionBy(*part.keys).orderBy("_r")
+    ends = {"_own": F.sum("_c"), "_first": F.min_by(F.struct(value), at), "_last": F.max_by(F.struct(value), at)}
+    # a range whose first value goes on from the range before opens one segment less
+    goes_on = F.coalesce(F.lag("_last").over(over).eqNullSafe(F.col("_first")) & (F.row_number().over(over) > 1), F.lit(False)).cast("int")
+    rows = part.carried(rows, ends, {"_on": goes_on, "_before": F.coalesce(F.sum(F.col("_own") - F.col("_on")).over(part.before()), F.lit(0)) - F.col("_on")})
+    return rows.withColumn(name, F.col("_s") + F.coalesce("_before", F.lit(0))).select(*df.columns, name)
 
 
 def running_best(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "best") -> DataFrame:
     """Add the least value so far and whether the row set it."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = F.min(value).over(w)
-    return df.withColumn("_before", before).withColumn(name, F.least("_before", value)).withColumn(f"is_{name}", F.col(value).isNotNull() & (F.col("_before").isNull() | (F.col(value) < F.col("_before")))).drop("_before")
+    part = ranged(df, keys, order[0])
+    near = F.min(value).over(part.window(*order).rowsBetween(W.unboundedPreceding, -1))
+    rows = part.carried(part.rows.withColumn("_near", near), {"_least": F.min(value)}, {"_far": F.min("_least").over(part.before())})
+    before = F.least("_near", "_far")
+    return rows.withColumn("_before", before).withColumns({name: F.least("_before", value), f"is_{name}": F.col(value).isNotNull() & (F.col("_before").isNull() | (F.col(value) < F.col("_before")))}).select(*df.columns, name, f"is_{name}")
 
 
 def career_best(entries: DataFrame, player: str, rank: str, date: str, month: Column) -> DataFrame:
@@ -203,56 +216,42 @@ def career_best(entries: DataFrame, player: str, rank: str, date: str, month: Co
     return rows.groupBy(player).agg(F.min(rank).alias("best_rank"), F.min_by(month, F.struct(rank, date)).alias("best_month"))
 
 
-def _with_neighbours(left: DataFrame, places: DataFrame, keys: list[str], width: float) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a range ``_b`` of ``width``; a range that left rows are in also gets the last place before it and the first behind it.
-
-    One row for each range of a key goes through the window that carries them, however many rows the ranges hold.
-    """
-    place = F.struct("_at", "_v")
-    placed, asked = places.withColumn("_b", F.floor(F.col("_at") / width)), left.withColumn("_b", F.floor(F.col("_at") / width))
-    ends = placed.groupBy(*keys, "_b").agg(F.max(place).alias("hi"), F.min(place).alias("lo"))
-    ranges = asked.select(*keys, "_b").distinct().withColumn("_asked", F.lit(True)).join(ends, [*keys, "_b"], "full")
-    w = W.partitionBy(*keys).orderBy("_b")
-    before, behind = F.last("hi", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    carried = ranges.withColumn("m", F.array(before, behind)).where("_asked").select(*keys, "_b", F.explode("m").alias("m")).where("m is not null").select(*keys, "_b", "m._at", "m._v")
-    return asked, placed.unionByName(carried)
-
-
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, width: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str) -> DataFrame:
     """Add the value of the nearest row on the right by distance, ``distance`` and ``ambiguous``.
 
     Both sides are sorted together once; candidates are the last at or before and the first at or after. Equal distances of different
-    values on the two sides are ambiguous and give null. Of right rows at one place the least value counts. With ``width`` a key's rows
-    are dealt by ranges of so much, so that one key (or none) does not meet in one task.
+    values on the two sides are ambiguous and give null. Of right rows at one place the least value counts. Without keys, or where one
+    holds very many rows, the sort goes by ranges of the data, and each range gets the last place before it and the first behind it.
     """
-    columns = left.columns
-    left = left.withColumn("_at", F.col(at).cast("double"))
     places = right.where(F.col(right_at).isNotNull()).groupBy(*keys, F.col(right_at).cast("double").alias("_at")).agg(F.min(value).alias("_v"))
-    if width is not None:
-        left, places = _with_neighbours(left, places, keys, width)
-        keys = [*keys, "_b"]
-    mark = F.struct(F.col("_at").alias("at"), F.col("_v").alias("v"))
-    rows = left.select("*", F.lit(1).alias("_kind"), F.lit(None).cast(f"struct<at:double,v:{dict(right.dtypes)[value]}>").alias("_mark"))
-    marks = places.withColumn("_mark", mark).withColumn("_kind", F.lit(0)).drop("_v")
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("_at", "_kind")
+    rows = left.withColumns({"_at": F.col(at).cast("double"), "_kind": F.lit(1), "_mark": F.lit(None).cast(f"struct<at:double,v:{dict(right.dtypes)[value]}>")})
+    marks = places.withColumn("_mark", F.struct(F.col("_at").alias("at"), F.col("_v").alias("v"))).withColumn("_kind", F.lit(0)).drop("_v")
+    part = ranged(rows.unionByName(marks, allowMissingColumns=True), keys, "_at")
+    w = part.window("_at", "_kind")
     back = F.last("_mark", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     ahead = F.first("_mark", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    out = both.withColumns({"_back": back, "_ahead": ahead}).where("_kind = 1")
+    there = F.when(F.col("_kind") == 0, F.col("_at"))
+    over = {"_low": F.last("_hi", ignorenulls=True).over(part.before()), "_high": F.first("_lo", ignorenulls=True).over(part.behind())}
+    both = part.carried(part.rows.withColumns({"_b": back, "_a": ahead}), {"_hi": F.max_by("_mark", there), "_lo": F.min_by("_mark", there)}, over)
+    out = both.where("_kind = 1").withColumns({"_back": F.coalesce("_b", "_low"), "_ahead": F.coalesce("_a", "_high")})
     down, up = F.col("_at") - F.col("_back.at"), F.col("_ahead.at") - F.col("_at")
     tie = F.coalesce((down == up) & ~F.col("_back.v").eqNullSafe(F.col("_ahead.v")), F.lit(False))
     pick = F.when(tie, None).when(up.isNull() | (down <= up), F.col("_back.v")).otherwise(F.col("_ahead.v"))
-    return out.withColumns({"nearest": pick, "distance": F.least(down, up), "ambiguous": tie}).select(*columns, "nearest", "distance", "ambiguous")
+    return out.withColumns({"nearest": pick, "distance": F.least(down, up), "ambiguous": tie}).select(*left.columns, "nearest", "distance", "ambiguous")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: list[str]) -> DataFrame:
-    """Add the values of the latest right row at or before each left row's time, by one sort of both sides together."""
-    row = F.struct(*values)
-    marks = right.groupBy(*keys, F.col(right_at).alias("_at")).agg(F.max(row).alias("_row")).withColumn("_kind", F.lit(0))
-    rows = left.withColumns({"_at": F.col(at), "_kind": F.lit(1)})
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_kind = 1")
+    """Add the values of the latest right row at or before each left row's time, by one sort of both sides together.
+
+    Of right rows at one time the largest values count. A key that holds very many rows is sorted by ranges of its times.
+    """
+    marks = right.groupBy(*keys, F.col(right_at).alias("_at")).agg(F.max(F.struct(*values)).alias("_row")).withColumn("_kind", F.lit(0))
+    both = left.withColumns({"_at": F.col(at), "_kind": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    part = ranged(both, keys, "_at")
+    near = F.last("_row", ignorenulls=True).over(part.window("_at", "_kind").rowsBetween(W.unboundedPreceding, 0))
+    rows = part.rows.withColumn("_near", near)
+    rows = part.carried(rows, {"_latest": F.max_by("_row", F.when(F.col("_kind") == 0, F.col("_at")))}, {"_far": F.last("_latest", ignorenulls=True).over(part.before())})
+    out = rows.where("_kind = 1").withColumn("_row", F.coalesce("_near", "_far"))
     return out.select(*left.columns, *[F.col(f"_row.{v}").alias(v) for v in values])
 
 

@@ -200,9 +200,9 @@ def interval_overlap(spark, sf_dir):
         ASOF LEFT JOIN (SELECT s_acctbal AS at, min(s_suppkey) AS v FROM supplier GROUP BY 1) b ON p_retailprice >= b.at
         ASOF LEFT JOIN (SELECT s_acctbal AS at, min(s_suppkey) AS v FROM supplier GROUP BY 1) a ON p_retailprice <= a.at))""")
 def nearest_by_distance(spark, sf_dir):
-    """The supplier whose balance is nearest to each part's price; one key for all, so ranges of prices deal the work out."""
+    """The supplier whose balance is nearest to each part's price; one key for all, so ranges of the data deal the work out."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    return R.nearest(part, read(spark, sf_dir, "supplier"), [], "p_retailprice", "s_acctbal", "s_suppkey", width=50.0).select("p_partkey", "p_size", "nearest", "distance", "ambiguous")
+    return R.nearest(part, read(spark, sf_dir, "supplier"), [], "p_retailprice", "s_acctbal", "s_suppkey").select("p_partkey", "p_size", "nearest", "distance", "ambiguous")
 
 
 @add("""
