@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from rallyspark.operators.merge import latest_incoming, upsert
@@ -81,24 +83,60 @@ def latest_by(keys: list[str], order: list[str], guard=None) -> Merge:
     return merge
 
 
-def limiter(df: DataFrame, key: str, time: str, window_ms: int, limit: int) -> DataFrame:
+@contextmanager
+def timed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB, which state with timers needs; the session's own choice is restored."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class _Windows(StatefulProcessor):
+    """A key's open window: when it ends and how many requests it holds; a timer at its end removes it."""
+
+    def __init__(self, key: str, window_ms: int, limit: int):
+        self.key, self.window_ms, self.limit = key, window_ms, limit
+
+    def init(self, handle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", "reset long, used int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at = np.sort(np.concatenate([part["at_ms"].to_numpy(np.int64) for part in rows]))
+        held = self.open.get()
+        before = reset, used = held if held is not None else (0, 0)
+        places, i = np.empty(len(at), np.int64), 0
+        while i < len(at):  # once for each window
+            if at[i] >= reset:
+                reset, used = int(at[i]) + self.window_ms, 0
+            end = int(np.searchsorted(at, reset))
+            places[i:end] = used + 1 + np.arange(end - i)
+            used, i = used + end - i, end
+        self.open.update((reset, used))
+        if reset != before[0]:
+            self.handle.registerTimer(reset)
+        yield pd.DataFrame({self.key: [key[0]] * len(at), "at_ms": at, "used": places.astype(np.int32), "allowed": places <= self.limit})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.open.get()
+        if held is not None and held[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.open.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limiter(df: DataFrame, key: str, time: str, window_ms: int, limit: int, late: str = "1 hour") -> DataFrame:
     """Add to each request whether it is allowed: ``limit`` requests of a key in a window that opens with its first request.
 
-    Windows are not aligned: a key's next one opens with the first request at or after the end of the last. State is two numbers a key.
+    Windows are not aligned: a key's next one opens with the first request at or after the end of the last. State is two numbers a key,
+    and a timer removes it once the watermark (``late`` behind the newest request) has passed the window's end, so keys that fall silent
+    cost nothing. Requests before the watermark are dropped by the stream. Start the query inside ``timed_state``.
     """
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reset, used = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values("at_ms", kind="stable")
-        out = []
-        for at in rows["at_ms"]:
-            if at >= reset:
-                reset, used = int(at) + window_ms, 0
-            used += 1
-            out.append((name[0], int(at), used, used <= limit))
-        state.update((reset, used))
-        yield pd.DataFrame(out, columns=[key, "at_ms", "used", "allowed"])
-
     kind = dict(df.dtypes)[key]
-    rows = df.select(key, F.unix_millis(F.col(time).cast("timestamp")).alias("at_ms"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at_ms long, used int, allowed boolean", "reset long, used int", "update", GroupStateTimeout.NoTimeout)
+    at = F.col(time).cast("timestamp")
+    rows = df.select(key, at.alias("at")).withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    return rows.groupBy(key).transformWithStateInPandas(_Windows(key, window_ms, limit), f"{key} {kind}, at_ms long, used int, allowed boolean", "Update", "EventTime")

@@ -27,11 +27,26 @@ def test_rate_limit_windows_open_with_the_first_request(spark, tmp_path):
     at = [0, 10, 20, 30, 59, 61, 62, 200, 259, 260]
     spark.createDataFrame([("u", T0 + timedelta(seconds=s)) for s in at] + [("w", T0)], "user string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = live.files(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
-    out = live.run(live.limiter(stream, "user", "ts", 60_000, 3), live.append, "update", f"file://{tmp_path}/out")
+    with live.timed_state(spark):
+        out = live.run(live.limiter(stream, "user", "ts", 60_000, 3), live.append, "update", f"file://{tmp_path}/out")
     got = [(r.user, r.used, r.allowed) for r in out.orderBy("user", "at_ms").collect()]
     assert got == [("u", i, i <= 3) for i in (1, 2, 3, 4, 5)] + [("u", 1, True), ("u", 2, True), ("u", 1, True), ("u", 2, True), ("u", 1, True)] + [("w", 1, True)]
 
 
+def test_state_of_silent_keys_ends(spark, tmp_path):
+    """Four batches; users of the first ones fall silent, and once the watermark is past their windows only the last user's state is left."""
+    for i, (user, minutes) in enumerate([("a", 0), ("b", 1), ("c", 300), ("d", 600)]):
+        spark.createDataFrame([(user, T0 + timedelta(minutes=minutes, seconds=s)) for s in range(5)], "user string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with live.timed_state(spark):
+        stream = live.files(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/0").schema, per_batch=1)
+        query = live.limiter(stream, "user", "ts", 60_000, 3, "1 minute").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").format("noop").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert query.exception() is None and len(query.recentProgress) >= 4
+    values = spark.read.format("statestore").option("stateVarName", "open").load(f"{tmp_path}/state").select("key.*").collect()
+    assert [r[0] for r in values] == ["d"] and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
 def test_batch_windows_equal_streamed_ones(spark, tmp_path):
     df = spark.createDataFrame([(T0 + timedelta(minutes=7 * i), i % 3) for i in range(200)], "ts timestamp, k int")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
