@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rallyspark.functions.dates import known_zone
+from rallyspark.functions.rounds import stage_priority, team_round
 from rallyspark.functions.scores import lookup
-from rallyspark.functions.text import lookup_text
+from rallyspark.functions.text import lookup_text, nz
 
 #: Minutes between runs and length of the window of each source, and minutes after the session's start.
 WINDOWS = {"live": (10, 6 * 60, 0), "brackets": (60, 7 * 60, 0), "official_reconcile": (60, 6 * 60, 5)}
@@ -145,3 +146,20 @@ def groups_by_pair(ties: DataFrame, groups: DataFrame) -> DataFrame:
     out = ties.join(found, ["team_a", "team_b"], "left")
     issue = F.when(F.col("team_a").isNull() | F.col("team_b").isNull(), "side without one country").when(F.col("group_code").isNull(), "no common group")
     return out.withColumn("issue", issue)
+
+
+def list_order() -> list[Column]:
+    """Sort keys of a list of schedule matches: time, stage, round, group, table, session, number.
+
+    Lists may mix rows with and without a time: a missing time is the empty text and comes first, and rows without one stand among each
+    other by stage and round. The comparison of two rows tests stage and round before the time only where both lack one, where the time
+    decides nothing, so these keys give the same order for any mix. Texts compare by code points; a number may be written ``cm:12``.
+    """
+    number = F.coalesce(F.regexp_replace(F.col("schedule_match_id").cast("string"), "^cm:", "").try_cast("double"), F.lit(0.0))
+    order = F.coalesce(team_round(F.col("round_code"), F.col("round_name"))["order"], F.lit(0))
+    return [nz(F.col("scheduled_local_at")), stage_priority(F.col("stage_code"), F.col("stage_name")), -order, *[nz(F.col(c)) for c in ("group_code", "table_no", "session_label")], number]
+
+
+def listed(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``place`` from 1, in the order of ``list_order``, to the matches of each list (one page: an event's day or stage)."""
+    return matches.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*list_order())))

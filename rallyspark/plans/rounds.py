@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rallyspark.operators import bracket
+from rallyspark.functions.calendar import CALENDAR_RULES, classified
+from rallyspark.operators import bracket, schedule
 from rallyspark.plans.common import Registry, read
 
 registry = Registry()
@@ -108,3 +109,64 @@ def calendar_lanes(spark, sf_dir):
     s = F.to_date("o_orderdate")
     spans = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("week"), s.alias("s"), F.date_add(s, (F.col("o_orderkey") % 200).cast("int")).alias("e"))
     return bracket.lanes(spans, "week", "s", "e")
+
+
+PREFIXES = ["WTT", "ITTF-Africa", "ITTF-Americas", "ITTF-ATTU", "ITTF Oceania", "ETTU", "European", "World", "Olympic", "Asian", "Solidarity", "ITTF World Table Tennis", "Europe U13"]
+REGIONS = ["", "North American", "South American", "Central", "Mixed", "Youth", "Para"]
+AGES = ["", "Youth", "Star", "U21", "Hopes", "Masters", "Para", "Team"]
+KINDS = ["Champions", "Contender", "Feeder", "Cup", "Championships", "Top 16", "Grand Smash", "Team Championships Finals", "Games", "Singles Qualification", "Team World Cup", "Elite", "Open", "Finals", "Olympic Games", "Special Event Qualifier"]
+
+
+def _contains(phrase: str) -> str:
+    text = phrase.replace("'", "''")
+    return f"regexp_matches(name, '{text[1:]}')" if text.startswith("~") else f"contains(name, '{text}')"
+
+
+def _classes(field: int) -> str:
+    """The table of rules as one CASE."""
+    rules = " ".join("WHEN " + " AND ".join("(" + " OR ".join(map(_contains, group)) + ")" for group in groups) + f" THEN '{(kind, sub)[field]}'" for groups, kind, sub in CALENDAR_RULES)
+    return f"CASE WHEN coalesce(name, '') = '' THEN NULL {rules} ELSE '{('Continental', 'Senior Championships')[field]}' END"
+
+
+def _of(forms: list[str], n: str) -> str:
+    return "[" + ", ".join(f"'{f}'" for f in forms) + f"][({n}) % {len(forms)} + 1]"
+
+
+@add(f"""
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 > 0 THEN concat_ws(' ', {_of(PREFIXES, 'o_custkey')}, nullif({_of(REGIONS, 'o_orderkey')}, ''), nullif({_of(AGES, 'o_orderkey // 7')}, ''), {_of(KINDS, 'o_orderkey // 3')}, year(o_orderdate)::VARCHAR) END AS name FROM orders)
+    SELECT o_orderkey, name, {_classes(0)} AS event_type, {_classes(1)} AS event_kind FROM o""")
+def calendar_classes(spark, sf_dir):
+    """Type and kind of calendar events whose names are put together from families, regions, ages and kinds."""
+    k = F.col("o_orderkey")
+    pick = lambda forms, n: F.get(F.array(*map(F.lit, forms)), (n % len(forms)).cast("int"))
+    name = F.concat_ws(" ", pick(PREFIXES, F.col("o_custkey")), F.nullif(pick(REGIONS, k), F.lit("")), F.nullif(pick(AGES, F.floor(k / 7)), F.lit("")), pick(KINDS, F.floor(k / 3)), F.year("o_orderdate").cast("string"))
+    named = read(spark, sf_dir, "orders").select(k, F.when(k % 50 > 0, name).alias("name"))
+    return named.withColumn("c", classified(F.col("name"))).select("o_orderkey", "name", "c.event_type", "c.event_kind")
+
+
+STAGE_NAMES = ["Main Draw - Division 2", "Position Draw 第二级别", "Qualification", "正赛", "Groups", "main draw 第10级别"]
+ROUND_CODES = ["Final", "SF", "8", "R32", "odd", "QFNL", "Bronze", "R256"]
+
+
+@add(f"""
+    WITH o AS (SELECT o_orderkey AS k, o_custkey AS event_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m') END AS at_, {_of(STAGE_NAMES, 'o_orderkey')} AS st, {_of(ROUND_CODES, 'o_orderkey // 2')} AS rc,
+      CASE WHEN o_orderkey % 4 > 0 THEN 'GP0' || o_orderkey % 2 END AS grp, CASE WHEN o_orderkey % 5 > 1 THEN 'T0' || o_orderkey % 2 END AS tbl, CASE WHEN o_orderkey % 2 = 0 THEN 'cm:' || o_orderkey ELSE o_orderkey::VARCHAR END AS id FROM orders),
+    p AS (SELECT *, 100 * CASE WHEN lower(st) LIKE '%main draw%' OR st LIKE '%正赛%' THEN 0 WHEN lower(st) LIKE '%position%' THEN 1 WHEN st LIKE '%Qualification%' THEN 2 ELSE 3 END
+        + CASE WHEN st LIKE '%Division 2%' OR st LIKE '%第二级别%' THEN 2 WHEN st LIKE '%第10级别%' THEN 10 ELSE 99 END AS stage,
+      CASE rc WHEN 'Final' THEN 80 WHEN 'SF' THEN 60 WHEN '8' THEN 50 WHEN 'QFNL' THEN 50 WHEN 'R32' THEN 30 WHEN 'Bronze' THEN 70 ELSE 0 END AS ord FROM o),
+    b AS (SELECT x.k, count(*) FILTER (y.k IS NOT NULL AND y.k <> x.k AND CASE
+          WHEN coalesce(x.at_, '') = '' AND coalesce(y.at_, '') = '' AND y.stage <> x.stage THEN y.stage < x.stage WHEN coalesce(x.at_, '') = '' AND coalesce(y.at_, '') = '' AND y.ord <> x.ord THEN y.ord > x.ord
+          WHEN coalesce(y.at_, '') <> coalesce(x.at_, '') THEN coalesce(y.at_, '') < coalesce(x.at_, '') WHEN y.stage <> x.stage THEN y.stage < x.stage WHEN y.ord <> x.ord THEN y.ord > x.ord
+          WHEN coalesce(y.grp, '') <> coalesce(x.grp, '') THEN coalesce(y.grp, '') < coalesce(x.grp, '') WHEN coalesce(y.tbl, '') <> coalesce(x.tbl, '') THEN coalesce(y.tbl, '') < coalesce(x.tbl, '') ELSE y.k < x.k END) AS before FROM p x JOIN p y USING (event_id) GROUP BY 1)
+    SELECT event_id, id, (before + 1)::INTEGER AS place FROM b JOIN p USING (k)""")
+def schedule_order(spark, sf_dir):
+    """Places in schedule lists that mix rows with and without a time; the SQL compares row by row, as the rule is given."""
+    k = F.col("o_orderkey")
+    pick = lambda forms, n: F.get(F.array(*map(F.lit, forms)), (n % len(forms)).cast("int"))
+    text = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    matches = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("event_id"), F.when(k % 2 == 0, text("cm:", k)).otherwise(k.cast("string")).alias("schedule_match_id"), F.when(k % 3 == 0, None).when(k % 7 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM")).alias("scheduled_local_at"),
+        F.lit("").alias("stage_code"), pick(STAGE_NAMES, k).alias("stage_name"), pick(ROUND_CODES, F.floor(k / 2)).alias("round_code"), F.lit(None).cast("string").alias("round_name"),
+        F.when(k % 4 > 0, text("GP0", k % 2)).alias("group_code"), F.when(k % 5 > 1, text("T0", k % 2)).alias("table_no"), F.lit(None).cast("string").alias("session_label"),
+    )
+    return schedule.listed(matches, ["event_id"]).select("event_id", F.col("schedule_match_id").alias("id"), "place")

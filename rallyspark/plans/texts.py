@@ -160,17 +160,37 @@ def score_rules(spark, sf_dir):
     )
 
 
-DATES = ["{d}-{e} TBD Mar", "{d} Apr – {e} May", "0{m}-{d}至0{m}-{e}", "May", "", "{d} Dec - {e} Jan", "nonsense 1"]
-MONTH_NAMES = ["Jan", "february", "MAR", "Apr", "may", "June", "jul", "August", "Sept", "oct", "x", ""]
+DATES = ["{d}-{e} TBD {x}", "{d} {x} – {e} {y}", "{m}-{d}至{n}-{e}", "{x}", "", "{d} {x} - {e}  {y}", "nonsense 1", " {d}{x}至{e} {y} "]
+MONTH_NAMES = ["Jan", "february", "MAR", "Apr", "may", "June", "jul", "August", "Sept", "oct", "November", "dec", "x"]
+SINCE = ["{x}-5", "soon", "", None, "{x}-17", "{y}"]
+OFFSETS = ["+02:00", "-05:30", "Z", "+0845", "", " odd"]
+PLACES = ["Doha Open", "LONDON Cup", "Own", "the Ontario, California event", "United States Smash", "Macao", "Singapore and Doha", "China Smash 2024", "Yokohama", "Paris", ""]
+_MONTHS = "['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december']"
+
+
+def _month(c: str) -> str:
+    """Number of an English month name, whole or its first three letters, in SQL."""
+    return f"list_position(list_transform({_MONTHS}, lambda m: lower(trim({c})) IN (m, m[1:3])), true)"
+
+
+def _filled(c: str) -> str:
+    for mark, value in (("d", "k % 19 + 3"), ("e", "k % 8 + 20"), ("m", "k % 9 + 1"), ("n", "k // 3 % 12 + 1"), ("x", "x"), ("y", "y")):
+        c = f"replace({c}, '{{{mark}}}', ({value})::VARCHAR)"
+    return c
 
 
 @add(f"""
-    WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS day, (10 + o_orderkey % 9)::VARCHAR AS d, (20 + o_orderkey % 8)::VARCHAR AS e, (1 + o_orderkey % 9)::VARCHAR AS m, {_sql(DATES, 'o_orderkey')} AS f, {_sql(MONTH_NAMES, 'o_orderkey')} AS mon, o_orderkey % 7 AS form FROM orders)
+    WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS day, {_sql(MONTH_NAMES, 'o_orderkey // 8')} AS x, {_sql(MONTH_NAMES, 'o_orderkey // 9')} AS y FROM orders),
+    f AS (SELECT *, regexp_replace(trim({_filled(_sql(DATES, 'k'))}), '[–—]', '-', 'g') AS t, strftime(day, '%Y-') || {_filled(_sql(SINCE, 'k'))} AS since, {_sql(OFFSETS, 'k')} AS off, lower({_sql(PLACES, 'k')}) AS place FROM o),
+    g AS (SELECT *, CASE WHEN t = '' OR regexp_matches(t, '^[A-Za-z]+$') THEN 0 WHEN regexp_matches(t, '(?i)(\\d+)-(\\d+)\\s*TBD\\s*([A-Za-z]+)') THEN 1 WHEN regexp_matches(t, '(\\d+)\\s*([A-Za-z]+)\\s*[-至]\\s*(\\d+)\\s*([A-Za-z]+)') THEN 2
+        WHEN regexp_matches(t, '(\\d+)-(\\d+)\\s*至\\s*(\\d+)-(\\d+)') THEN 3 ELSE 0 END AS form, regexp_extract_all(t, '\\d+') AS ds, regexp_extract_all(replace(t, 'TBD', ''), '[A-Za-z]+') AS ns FROM f),
+    r AS (SELECT *, CASE form WHEN 3 THEN ds[2]::INTEGER ELSE ds[1]::INTEGER END AS d1, CASE form WHEN 3 THEN ds[4]::INTEGER ELSE ds[2]::INTEGER END AS d2,
+        CASE form WHEN 3 THEN ds[1]::INTEGER ELSE {_month('ns[1]')} END AS m1, CASE form WHEN 3 THEN ds[3]::INTEGER WHEN 1 THEN {_month('ns[1]')} ELSE {_month('ns[2]')} END AS m2, regexp_extract(off, '^([+-])(\\d\\d):?(\\d\\d)$', ['sign', 'h', 'mi']) AS z FROM g)
     SELECT k AS o_orderkey,
-      CASE form WHEN 0 THEN '2024-03-' || d WHEN 1 THEN '2024-04-' || d WHEN 2 THEN '2024-0' || m || '-' || d WHEN 5 THEN '2024-12-' || d END AS range_start,
-      CASE form WHEN 0 THEN '2024-03-' || e WHEN 1 THEN '2024-05-' || e WHEN 2 THEN '2024-0' || m || '-' || e WHEN 5 THEN '2025-01-' || e END AS range_end,
-      lpad(month(try_strptime(CASE WHEN length(mon) > 3 THEN upper(mon[1]) || lower(mon[2:]) ELSE upper(mon[1]) || lower(mon[2:]) END, ['%b', '%B']))::VARCHAR, 2, '0')::INTEGER AS month_no,
-      CASE k % 4 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN strftime(day, '%Y-%m-%d') WHEN 2 THEN NULL ELSE 'soon' END AS expires,
+      CASE WHEN form > 0 AND m1 > 0 AND m2 > 0 THEN '2024-' || lpad(m1::VARCHAR, 2, '0') || '-' || lpad(d1::VARCHAR, 2, '0') END AS range_start,
+      CASE WHEN form > 0 AND m1 > 0 AND m2 > 0 THEN (2024 + (m2 < m1 AND m1 >= 10)::INTEGER) || '-' || lpad(m2::VARCHAR, 2, '0') || '-' || lpad(d2::VARCHAR, 2, '0') END AS range_end,
+      nullif({_month('x')}, 0)::INTEGER AS month_no,
+      CASE WHEN regexp_matches(since, '^\\d{{4}}-\\w+-\\d{{1,2}}') THEN since[1:5] || lpad(coalesce(list_position(['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'], regexp_extract(since, '-(\\w+)-', 1)), 1)::VARCHAR, 2, '0') || '-' || lpad(regexp_extract(since, '(\\d+)$', 1), 2, '0') ELSE nullif(since, '') END AS expires,
       CASE WHEN k % 2 = 0 THEN strftime(day, '%Y-%m') END AS ranking_month, strftime(day, '%Y-%m-%d') || 'T' || lpad((k % 24)::VARCHAR, 2, '0') || ':05:00' AS us_local,
       CASE WHEN k % 3 = 0 THEN month(day)::INTEGER END AS zh_month, CASE WHEN k % 3 = 0 THEN day(day)::INTEGER END AS zh_day,
       CASE WHEN k % 2 = 0 THEN year(day) || '-' || strftime(day, '%m-%d') || 'T' || lpad((k % 24)::VARCHAR, 2, '0') || ':30:00' END AS shown_at,
@@ -178,31 +198,39 @@ MONTH_NAMES = ["Jan", "february", "MAR", "Apr", "may", "June", "jul", "August",
       CASE WHEN day < DATE '1999-06-01' THEN 'completed' ELSE 'upcoming' END AS lifecycle, coalesce(CASE WHEN k % 3 > 0 THEN day < DATE '1999-06-01' END, false) AS past,
       CASE WHEN k % 2 = 0 THEN strftime(day, '%Y-%m-%d') ELSE 'TBD' END AS bucket,
       day::TIMESTAMP + to_minutes((k % 40)::INTEGER) BETWEEN day::TIMESTAMP + to_minutes(10) AND day::TIMESTAMP + to_minutes(25) AS soon, nullif(trim(' ' || {_sql(["x", "", None], 'k')}), '') AS window_end,
-      strftime(day, '%Y-%m-%dT%H:%M:%S') || '+02:00' AS aware_local, strftime(day::TIMESTAMP - to_hours(2), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS aware_utc,
-      CASE k % 4 WHEN 0 THEN 'Own/Zone' WHEN 1 THEN 'Asia/Qatar' WHEN 2 THEN 'Europe/London' END AS zone
-    FROM o""")
+      CASE WHEN off = '' OR off = 'Z' OR z.h <> '' THEN strftime(day, '%Y-%m-%dT%H:%M:%S') || CASE WHEN off = 'Z' THEN '+00:00' ELSE off END END AS aware_local,
+      CASE WHEN off = 'Z' THEN strftime(day, '%Y-%m-%dT%H:%M:%S') || '+00:00' WHEN z.h <> '' THEN strftime(day::TIMESTAMP - (z.sign || '1')::INTEGER * to_minutes(try_cast(z.h AS INTEGER) * 60 + try_cast(z.mi AS INTEGER)), '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS aware_utc,
+      CASE WHEN place LIKE '%own%' THEN 'Own/Zone' WHEN regexp_matches(place, 'united states smash|ontario california|ontario, california') THEN 'America/Los_Angeles' WHEN regexp_matches(place, 'london|united kingdom|england') THEN 'Europe/London' WHEN regexp_matches(place, 'doha|qatar') THEN 'Asia/Qatar'
+        WHEN place LIKE '%singapore%' THEN 'Asia/Singapore' WHEN regexp_matches(place, 'macau|macao') THEN 'Asia/Macau' WHEN regexp_matches(place, 'china smash|beijing') THEN 'Asia/Shanghai' WHEN regexp_matches(place, 'yokohama|japan') THEN 'Asia/Tokyo' END AS zone
+    FROM r""")
 def date_rules(spark, sf_dir):
     """Date ranges of four grammars, months, expiry dates, display times, statuses of a day and zones by keyword."""
     o, k, day = read(spark, sf_dir, "orders"), F.col("o_orderkey"), F.to_date("o_orderdate")
-    fill = _pick(DATES, k)
-    for mark, value in (("{d}", 10 + k % 9), ("{e}", 20 + k % 8), ("{m}", 1 + k % 9)):
-        fill = F.replace(fill, F.lit(mark), value.cast("string"))
+    x, y = _pick(MONTH_NAMES, F.floor(k / 8)), _pick(MONTH_NAMES, F.floor(k / 9))
+    values = {"{d}": k % 19 + 3, "{e}": k % 8 + 20, "{m}": k % 9 + 1, "{n}": F.floor(k / 3) % 12 + 1, "{x}": x, "{y}": y}
+
+    def fill(c: Column) -> Column:
+        for mark, value in values.items():
+            c = F.replace(c, F.lit(mark), value.cast("string"))
+        return c
+
     as_of, iso = F.lit("1999-06-01").cast("date"), F.date_format(day, "yyyy-MM-dd")
     hour = F.lpad((k % 24).cast("string"), 2, "0")
-    span = D.date_range(fill, F.lit(2024))
-    expiry = F.when(k % 4 == 0, F.date_format(day, "yyyy-MMM-d")).when(k % 4 == 1, iso).when(k % 4 == 2, "").otherwise("soon")
+    span = D.date_range(fill(_pick(DATES, k)), F.lit(2024))
+    expiry = F.concat(F.date_format(day, "yyyy-"), fill(_pick(SINCE, k)))
     chinese = D.chinese_day(F.when(k % 3 == 0, F.concat(F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"), F.lit("日"))).otherwise(iso))
     shown = F.when(k % 2 == 0, F.concat(F.lit("Match 3 | "), F.date_format(day, "d MMM"), F.lit(", "), hour, F.lit(":30"))).otherwise("Match 3")
     minute = lambda n: F.timestamp_add("MINUTE", n, day.cast("timestamp_ntz"))
-    aware = D.local_and_utc(F.concat(iso, F.lit("T00:00:00+02:00")), F.lit(None).cast("string"))
+    aware = D.local_and_utc(F.concat(iso, F.lit("T00:00:00"), _pick(OFFSETS, k)), F.lit(None).cast("string"))
+    place = _pick(PLACES, k)
     return o.select(
-        "o_orderkey", span["start"].alias("range_start"), span["end"].alias("range_end"), D.month(_pick(MONTH_NAMES, k)).alias("month_no"), D.expires_date(expiry).alias("expires"),
+        "o_orderkey", span["start"].alias("range_start"), span["end"].alias("range_end"), D.month(x).alias("month_no"), D.expires_date(expiry).alias("expires"),
         D.ranking_month(F.when(k % 2 == 0, iso).otherwise("week 3")).alias("ranking_month"), D.us_time(F.concat(F.date_format(day, "MM/dd/yyyy"), F.lit(" "), hour, F.lit(":05"))).alias("us_local"),
         chinese["month"].alias("zh_month"), chinese["day"].alias("zh_day"), D.display_time(shown, F.year(day)).alias("shown_at"),
         D.display_status(F.when(k % 5 == 0, "completed").otherwise("upcoming"), day, F.date_add(day, 30), F.lit("UTC"), F.to_timestamp(F.lit("1999-06-01 12:00:00"))).alias("display"),
         D.imported_lifecycle(day, as_of).alias("lifecycle"), D.is_past(F.when(k % 3 > 0, day), as_of).alias("past"), D.day_bucket(F.when(k % 2 == 0, day.cast("timestamp")), F.lit(None).cast("timestamp_ntz"), F.lit("UTC"), "UTC").alias("bucket"),
         D.starts_within(minute((k % 40).cast("int")), minute(F.lit(10)), 15).alias("soon"), D.time_window(F.array(F.lit("a"), F.concat(F.lit(" "), _pick(["x", "", None], k))))["end"].alias("window_end"),
-        aware["local"].alias("aware_local"), aware["utc"].alias("aware_utc"), D.zone_guess(F.when(k % 4 == 0, "Own/Zone"), F.when(k % 4 == 1, "Doha Open").when(k % 4 == 2, "LONDON Cup")).alias("zone"),
+        aware["local"].alias("aware_local"), aware["utc"].alias("aware_utc"), D.zone_guess(F.when(place == "Own", "Own/Zone"), place).alias("zone"),
     )
 
 
@@ -210,12 +238,15 @@ CODES = ["R128", "R64-", "8FNL", "QFNL", "sfnl", "FNL-", "GP{g}", "RND{r}", "XYZ
 CATEGORIES = ["Men's Singles - Round of 32", "Mixed Doubles Quarterfinal", "Group {g} women", "Qualifying Round {r}", "Preliminary Round", "Semi-Final", "the FINAL", "warm up", None]
 TEXTS = ["Women's Teams - Group {g}", "men's singles, Round of 16", "Round of 128", "Preliminary Round {r}", "Mixed Doubles Quarterfinal", "Semifinal", "final day", "finals", ""]
 STAGES = ["Main Draw - Division {r}", "Position Draw 第二级别", "Qualification", "正赛", "other Groups", ""]
-RAWS = ["x R{g} y", "a | SF | b", "Round of 8 x", "Rd 4", "Group B", "prelim", "nothing"]
+RAWS = ["x R{g} y", "a | SF | b", "Round of 8 x", "Rd 4", "Group B", "prelim", "nothing", "r{r} of", "Refinal", "quarterfinal Rd  7", "REPECHAGE"]
+DOCUMENTS = ["TTEMTEAM-1", "TTEWTEAM-2", "TTEMSINGLES", None, "xTTEMTEAM", "TTEWTEAM", ""]
+TEAM_CODES = ["MT", "U19WT", "MS", None, " xt ", "XTT", "U15mt", "XDT", "WTX"]
+GAMES_NAMES = ["the Asian Games 2022", "Asian Para Games", "Asian Cup", "ASIAN GAMES and Asian Para Games", "asian games", "", None]
 
 
 @add(f"""
-    WITH e AS (SELECT event_id AS k, lpad((event_id % 20 + 1)::VARCHAR, 2, '0') AS g, (event_id % 4 + 1)::VARCHAR AS r, {_sql(CODES, 'event_id')} AS c, {_sql(CATEGORIES, 'event_id')} AS cat, {_sql(TEXTS, 'event_id // 3')} AS t, {_sql(STAGES, 'event_id')} AS s, {_sql(RAWS, 'event_id')} AS w FROM events),
-    f AS (SELECT k, g, r, upper(trim(replace(replace(coalesce(c, ''), '{{g}}', g), '{{r}}', r))) AS c, lower(replace(replace(coalesce(cat, ''), '{{g}}', g), '{{r}}', r)) AS cat, replace(replace(t, '{{g}}', g), '{{r}}', r) AS t, replace(s, '{{r}}', r) AS s, replace(w, '{{g}}', g) AS w FROM e),
+    WITH e AS (SELECT event_id AS k, lpad((event_id % 20 + 1)::VARCHAR, 2, '0') AS g, (event_id % 4 + 1)::VARCHAR AS r, {_sql(CODES, 'event_id')} AS c, {_sql(CATEGORIES, 'event_id')} AS cat, {_sql(TEXTS, 'event_id // 3')} AS t, {_sql(STAGES, 'event_id')} AS s, concat_ws(' | ', {_sql(RAWS, 'event_id')}, {_sql(RAWS, 'event_id // 11')}) AS w FROM events),
+    f AS (SELECT k, g, r, upper(trim(replace(replace(coalesce(c, ''), '{{g}}', g), '{{r}}', r))) AS c, lower(replace(replace(coalesce(cat, ''), '{{g}}', g), '{{r}}', r)) AS cat, replace(replace(t, '{{g}}', g), '{{r}}', r) AS t, replace(s, '{{r}}', r) AS s, replace(replace(w, '{{g}}', g), '{{r}}', r) AS w FROM e),
     h AS (SELECT *, try_cast(nullif(regexp_extract(c, '^GP(\\d{{2}})', 1), '') AS INTEGER) AS gp, nullif(regexp_extract(c, '^RND(\\d+)$', 1), '') AS rnd,
         map {{'R128': 'R128', 'R64-': 'R64', '8FNL': 'R16', 'QFNL': 'QF', 'SFNL': 'SF', 'FNL-': 'F'}}[c] AS direct, c || ' ' || t AS hay FROM f),
     i AS (SELECT *, CASE WHEN gp BETWEEN 1 AND 16 OR rnd IS NOT NULL THEN 'PRELIMINARY' WHEN direct IS NOT NULL THEN 'MAIN_DRAW' ELSE 'UNKNOWN' END AS st,
@@ -235,22 +266,24 @@ RAWS = ["x R{g} y", "a | SF | b", "Round of 8 x", "Rd 4", "Group B", "prelim", "
       (CASE WHEN regexp_matches(lower(s), 'main draw|正赛') THEN 0 WHEN regexp_matches(lower(s), 'position|排位赛') THEN 1 WHEN lower(s) LIKE '%qualification%' THEN 2 ELSE 3 END * 100
         + coalesce(try_cast(nullif(regexp_extract(s, 'Division (\\d+)', 1), '') AS INTEGER), CASE WHEN s LIKE '%第二级别%' THEN 2 END, 99))::INTEGER AS stage_order,
       CASE WHEN lower(s) LIKE '%groups%' THEN 'Groups' ELSE trim(s) END AS stage_name,
-      CASE k % 7 WHEN 0 THEN 'R' || g WHEN 1 THEN 'SF' WHEN 2 THEN 'Round of 8' WHEN 3 THEN 'Rd 4' WHEN 4 THEN 'Group B' WHEN 5 THEN 'prelim' ELSE '' END AS raw_round,
+      CASE WHEN regexp_matches(w, '(?i)\\bR\\d{{1,3}}\\b') THEN upper(regexp_extract(w, '(?i)\\b(R\\d{{1,3}})\\b', 1)) ELSE coalesce(nullif(regexp_extract(w, '(?i)\\b(QF|SF|F|QuarterFinal|SemiFinal|Final)\\b', 1), ''), nullif(regexp_extract(w, '(?i)\\bRound\\s+of\\s+\\d+\\b'), ''),
+        nullif(regexp_extract(w, '(?i)\\bRd\\s+\\d+\\b'), ''), nullif(regexp_extract(w, '(?i)\\bGroup\\s+[A-Z]\\b'), ''), regexp_extract(w, '(?i)\\b(Preliminary|Prelim|Repechage)\\b', 1)) END AS raw_round,
       CASE WHEN c IN ('F', 'SF', 'QF') THEN NULL WHEN regexp_matches(c, '^(R|QR)\\d+$') THEN c ELSE t END AS history,
-      CASE k % 4 WHEN 0 THEN 'MTEAM' WHEN 1 THEN 'WTEAM' END AS team_class, k % 4 < 2 AS team_event, CASE WHEN k % 3 = 0 THEN 'Continental Games' ELSE 'x' END AS kind
-    FROM i""")
+      CASE WHEN doc LIKE 'TTEMTEAM%' THEN 'MTEAM' WHEN doc LIKE 'TTEWTEAM%' THEN 'WTEAM' END AS team_class, coalesce(regexp_matches(upper(trim(code)), '^XT$|[MW]T$'), false) AS team_event,
+      CASE WHEN lower(games) LIKE '%asian games%' AND lower(games) NOT LIKE '%asian para games%' THEN 'Continental Games' ELSE 'x' END AS kind
+    FROM i, LATERAL (SELECT {_sql(DOCUMENTS, 'k')} AS doc, {_sql(TEAM_CODES, 'k')} AS code, {_sql(GAMES_NAMES, 'k')} AS games)""")
 def round_rules(spark, sf_dir):
     """Round codes of schedules, brackets, categories, feeds and raw rows; disciplines, stage order and event kinds."""
     e, k = read(spark, sf_dir, "events"), F.col("event_id")
     fill = lambda c: F.replace(F.replace(c, F.lit("{g}"), F.lpad((k % 20 + 1).cast("string"), 2, "0")), F.lit("{r}"), (k % 4 + 1).cast("string"))
-    rows = e.select(k, fill(_pick(CODES, k)).alias("c"), fill(_pick(CATEGORIES, k)).alias("cat"), fill(_pick(TEXTS, F.floor(k / 3))).alias("t"), fill(_pick(STAGES, k)).alias("s"), fill(_pick(RAWS, k)).alias("w"))
+    rows = e.select(k, fill(_pick(CODES, k)).alias("c"), fill(_pick(CATEGORIES, k)).alias("cat"), fill(_pick(TEXTS, F.floor(k / 3))).alias("t"), fill(_pick(STAGES, k)).alias("s"), fill(F.concat_ws(" | ", _pick(RAWS, k), _pick(RAWS, F.floor(k / 11)))).alias("w"))
     c, t = F.col("c"), F.col("t")
     schedule, bracket, category = G.schedule_round(c), G.bracket_round(c), G.category_round(F.col("cat"))
-    document, code = _pick(["TTEMTEAM-1", "TTEWTEAM-2", "TTEMSINGLES", None], k), _pick(["MT", "U19WT", "MS", None], k)
+    document, code = _pick(DOCUMENTS, k), _pick(TEAM_CODES, k)
     return rows.select(
         "event_id", schedule["stage_code"].alias("schedule_stage"), schedule["round_code"].alias("schedule_round"), schedule["group_code"].alias("schedule_group"),
         bracket["stage_code"].alias("bracket_stage"), bracket["round_code"].alias("bracket_round"), bracket["round_order"].alias("bracket_order"), category["stage_code"].alias("category_stage"), category["round_code"].alias("category_round"),
         G.live_round(c, t)["round_code"].alias("live_round"), G.described_round(t).alias("feed_code"), G.discipline(F.lit(None).cast("string"), t).alias("discipline"), G.stage_priority(F.lit(""), F.col("s")).alias("stage_order"),
         G.stage_label(F.col("s")).alias("stage_name"), G.raw_round(F.col("w")).alias("raw_round"), G.historical_label(c, t).alias("history"),
-        G.team_class(document).alias("team_class"), F.coalesce(G.is_team_discipline(code), F.lit(False)).alias("team_event"), G.continental_override(_pick(["the Asian Games 2022", "Asian Para Games", "Asian Cup"], k), F.lit("x")).alias("kind"),
+        G.team_class(document).alias("team_class"), F.coalesce(G.is_team_discipline(code), F.lit(False)).alias("team_event"), G.continental_override(_pick(GAMES_NAMES, k), F.lit("x")).alias("kind"),
     )
