@@ -14,37 +14,44 @@ add = registry.add
 ROUNDS = ("Round of 16", "QuarterFinal", "SemiFinal", "Final")
 #: Customers of a block of ids and one segment are a ranking list, so lists grow in number with the table and not in size.
 LIST_IDS = 5000
-#: Order keys of one draw.
-DRAW_IDS = 512
+#: Order keys of a draw with four rounds of equal size, and of one whose rounds halve: 32, 16, 8, 4, 2 matches and one or two finals.
+DRAW_IDS, KNOCKOUT_IDS = 512, 64
+HALVING, STARTS = ("Round of 64", "Round of 32", "Round of 16", "QuarterFinal", "SemiFinal", "Final"), (0, 32, 48, 56, 60, 62)
 
 
 def _matches(spark, sf_dir, ids=DRAW_IDS):
-    """All orders as matches; a draw is a block of order keys, so draws grow in number with the table and not in size. Four rounds, sides from small pools, status F won by side A, O by side B."""
+    """Orders as matches; a draw is a block of order keys, so draws grow in number with the table and not in size. Sides from small pools, status F won by side A, O by side B.
+
+    Every third draw of halving rounds has a single final: it has no match of its last key.
+    """
     key = lambda c: F.concat(F.lit("P"), c.cast("string"))
-    event = F.floor(F.col("o_orderkey") / ids)
-    at = F.pmod(F.floor(F.col("o_orderkey") / (3 if ids == DRAW_IDS else 1)), F.lit(4)) + 1
-    return read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("match_id"), event.alias("event_id"), F.when(event % 2 == 0, "WTT_MAIN").otherwise("ITTF").alias("category_code"), F.lit("MS").alias("sub_event_type_code"),
-        F.lit("Main Draw").alias("stage"), F.element_at(F.array(*map(F.lit, ROUNDS)), at.cast("int")).alias("round"),
-        key(F.col("o_orderkey") % 7).alias("side_a_key"), key(F.col("o_custkey") % 5).alias("side_b_key"), F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "B").alias("winner_side"),
+    k = F.col("o_orderkey")
+    event, place = F.floor(k / ids), k % ids
+    few = F.lit(ids != DRAW_IDS) & (place >= STARTS[4])  # few sides are left in the last two rounds, so losers of semifinals meet again
+    equal = F.element_at(F.array(*map(F.lit, ROUNDS)), (F.pmod(F.floor(k / 3), F.lit(4)) + 1).cast("int"))
+    halving = F.element_at(F.array(*map(F.lit, HALVING)), sum((F.when(place >= s, 1).otherwise(0) for s in STARTS), F.lit(0)))
+    orders = read(spark, sf_dir, "orders")
+    return (orders if ids == DRAW_IDS else orders.where((event % 3 > 0) | (place < KNOCKOUT_IDS - 1))).select(
+        k.alias("match_id"), event.alias("event_id"), F.when(event % 2 == 0, "WTT_MAIN").otherwise("ITTF").alias("category_code"), F.lit("MS").alias("sub_event_type_code"),
+        F.lit("Main Draw").alias("stage"), (equal if ids == DRAW_IDS else halving).alias("round"),
+        key(F.when(few, k % 3).otherwise(k % 7)).alias("side_a_key"), key(F.when(few, F.col("o_custkey") % 4).otherwise(F.col("o_custkey") % 5)).alias("side_b_key"), F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "B").alias("winner_side"),
     )
 
 
-#: Order keys of small draws: two matches of each round, and one.
-PAIR_IDS, SINGLE_IDS = 8, 4
-
-
 def _draws(ids: int = DRAW_IDS) -> str:
     """The matches, draw rounds and their order in SQL."""
+    halving = "CASE " + " ".join(f"WHEN o_orderkey % {ids} >= {s} THEN '{r}'" for s, r in reversed(list(zip(STARTS, ("R64", "R32", "R16", "QuarterFinal", "SemiFinal", "Final"), strict=True)))) + " END"
+    equal = "['R16', 'QuarterFinal', 'SemiFinal', 'Final'][(o_orderkey // 3) % 4 + 1]"
     return f"""
-    m AS (SELECT o_orderkey AS match_id, o_orderkey // {ids} AS event_id, o_orderkey // {ids} % 2 = 1 AS other, ['R16', 'QuarterFinal', 'SemiFinal', 'Final'][(o_orderkey // {3 if ids == DRAW_IDS else 1}) % 4 + 1] AS r,
-      'P' || (o_orderkey % 7) AS a, 'P' || (o_custkey % 5) AS b, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'B' END AS w FROM orders),
+    m AS (SELECT o_orderkey AS match_id, o_orderkey // {ids} AS event_id, o_orderkey // {ids} % 2 = 1 AS other, {equal if ids == DRAW_IDS else halving} AS r,
+      'P' || (CASE WHEN {ids} <> {DRAW_IDS} AND o_orderkey % {ids} >= {STARTS[4]} THEN o_orderkey % 3 ELSE o_orderkey % 7 END) AS a, 'P' || (CASE WHEN {ids} <> {DRAW_IDS} AND o_orderkey % {ids} >= {STARTS[4]} THEN o_custkey % 4 ELSE o_custkey % 5 END) AS b,
+      CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'B' END AS w FROM orders WHERE {ids} = {DRAW_IDS} OR o_orderkey // {ids} % 3 > 0 OR o_orderkey % {ids} < {ids} - 1),
     los AS (SELECT DISTINCT event_id, CASE w WHEN 'A' THEN b ELSE a END AS k FROM m WHERE r = 'SemiFinal' AND w IS NOT NULL),
     duo AS (SELECT x.event_id, x.k AS lo, y.k AS hi FROM los x JOIN los y ON x.event_id = y.event_id AND x.k < y.k),
     fin AS (SELECT event_id, count(*) AS n FROM m WHERE r = 'Final' GROUP BY 1),
     d AS (SELECT m.*, CASE WHEN r = 'Final' AND other AND fin.n = 2 AND duo.lo IS NOT NULL THEN 'Bronze' ELSE r END AS draw_round
       FROM m LEFT JOIN fin ON fin.event_id = m.event_id LEFT JOIN duo ON duo.event_id = m.event_id AND lo = least(a, b) AND hi = greatest(a, b)),
-    l AS (SELECT *, CASE draw_round WHEN 'R16' THEN 40 WHEN 'QuarterFinal' THEN 50 WHEN 'SemiFinal' THEN 60 WHEN 'Bronze' THEN 70 ELSE 80 END AS round_order FROM d)"""
+    l AS (SELECT *, CASE draw_round WHEN 'R64' THEN 20 WHEN 'R32' THEN 30 WHEN 'R16' THEN 40 WHEN 'QuarterFinal' THEN 50 WHEN 'SemiFinal' THEN 60 WHEN 'Bronze' THEN 70 ELSE 80 END AS round_order FROM d)"""
 
 
 _LINKS = """
@@ -64,18 +71,18 @@ def _places(levels: int = 5) -> str:
     return ", ".join(out)
 
 
-@add(f"WITH {_draws(PAIR_IDS)} SELECT match_id, event_id, draw_round, round_order::INTEGER AS round_order, CASE WHEN draw_round = 'Bronze' THEN 'final_reclassified' END AS bronze_source FROM l")
+@add(f"WITH {_draws(KNOCKOUT_IDS)} SELECT match_id, event_id, draw_round, round_order::INTEGER AS round_order, CASE WHEN draw_round = 'Bronze' THEN 'final_reclassified' END AS bronze_source FROM l")
 def draw_rows(spark, sf_dir):
     """Draw rounds of matches with finals that are bronze matches in truth."""
-    return bracket.draw_rows(_matches(spark, sf_dir, PAIR_IDS)).select("match_id", "event_id", "draw_round", "round_order", "bronze_source")
+    return bracket.draw_rows(_matches(spark, sf_dir, KNOCKOUT_IDS)).select("match_id", "event_id", "draw_round", "round_order", "bronze_source")
 
 
 @add(f"""
-    WITH {_draws(PAIR_IDS)}, {_LINKS}
+    WITH {_draws(KNOCKOUT_IDS)}, {_LINKS}
     SELECT v.match_id, max(feeder) FILTER (n = 1) AS side_a_previous, max(feeder) FILTER (n = 2) AS side_b_previous FROM v LEFT JOIN f ON f.match_id = v.match_id GROUP BY 1""")
 def bracket_links(spark, sf_dir):
     """The match of the round before that each side won."""
-    return bracket.feeder_links(stored(bracket.draw_rows(_matches(spark, sf_dir, PAIR_IDS)), "draw")).select("match_id", "side_a_previous", "side_b_previous")
+    return bracket.feeder_links(stored(bracket.draw_rows(_matches(spark, sf_dir, KNOCKOUT_IDS)), "draw")).select("match_id", "side_a_previous", "side_b_previous")
 
 
 @add(f"""
@@ -88,11 +95,11 @@ def bracket_positions(spark, sf_dir):
 
 
 @add(f"""
-    WITH {_draws(SINGLE_IDS)}, x AS (SELECT event_id, min(match_id) AS match_id FROM l WHERE draw_round = 'Final' GROUP BY 1), n AS (SELECT event_id, count(*) AS n FROM l WHERE draw_round = 'Final' GROUP BY 1)
+    WITH {_draws(KNOCKOUT_IDS)}, x AS (SELECT event_id, min(match_id) AS match_id FROM l WHERE draw_round = 'Final' GROUP BY 1), n AS (SELECT event_id, count(*) AS n FROM l WHERE draw_round = 'Final' GROUP BY 1)
     SELECT event_id, CASE l.w WHEN 'A' THEN a WHEN 'B' THEN b END AS champion_name, CASE WHEN l.w IS NOT NULL THEN NULL ELSE 'unresolved_winner_side' END AS issue FROM x JOIN l USING (event_id, match_id) JOIN n USING (event_id) WHERE n.n = 1""")
 def champions_single_final(spark, sf_dir):
     """Champions of draws with exactly one final."""
-    rows = bracket.draw_rows(_matches(spark, sf_dir, SINGLE_IDS))
+    rows = bracket.draw_rows(_matches(spark, sf_dir, KNOCKOUT_IDS))
     one = rows.where("draw_round = 'Final'").groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("event_id")
     return champions.champions(stored(_rosters(rows).join(one, "event_id", "left_semi"), "rosters")).select("event_id", "champion_name", "issue")
 
@@ -103,7 +110,7 @@ def _rosters(rows):
 
 
 @add(f"""
-    WITH {_draws(PAIR_IDS)}, y AS (SELECT *, CASE w WHEN 'A' THEN a WHEN 'B' THEN b END AS k FROM l),
+    WITH {_draws(KNOCKOUT_IDS)}, y AS (SELECT *, CASE w WHEN 'A' THEN a WHEN 'B' THEN b END AS k FROM l),
     q AS (SELECT event_id, list(DISTINCT k) FILTER (k IS NOT NULL) AS through FROM y WHERE draw_round = 'QuarterFinal' GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT k) >= 2),
     s AS (SELECT event_id, list_sort(list(DISTINCT k) FILTER (k IS NOT NULL AND list_contains(through, a) AND list_contains(through, b))) AS last_two FROM y JOIN q USING (event_id) WHERE draw_round = 'SemiFinal' GROUP BY 1 HAVING count(*) >= 2),
     fi AS (SELECT l.*, coalesce(len(last_two) = 2 AND list_sort([a, b]) = last_two, false) AS hit FROM l LEFT JOIN s USING (event_id) WHERE draw_round = 'Final'),
@@ -112,7 +119,7 @@ def _rosters(rows):
       fallback, CASE WHEN w IS NULL THEN 'unresolved_winner_side' END AS issue FROM fi JOIN pick USING (event_id, match_id)""")
 def champions_all(spark, sf_dir):
     """Champions of all draws; of several finals the one between the semifinal winners."""
-    return champions.champions(stored(_rosters(bracket.draw_rows(_matches(spark, sf_dir, PAIR_IDS))), "rosters"))
+    return champions.champions(stored(_rosters(bracket.draw_rows(_matches(spark, sf_dir, KNOCKOUT_IDS))), "rosters"))
 
 
 @add()
