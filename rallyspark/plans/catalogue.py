@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rallyspark.plans import domain, folds, jobs, joins, live, people, replays, review, rounds, running, stages, texts
+from rallyspark.plans import domain, feeds, folds, jobs, joins, live, people, replays, review, rounds, running, stages, texts
 
-_REGISTRIES = [joins.registry, folds.registry, live.registry, domain.registry, texts.registry, jobs.registry, review.registry, replays.registry, running.registry, rounds.registry, people.registry, stages.registry]
+_REGISTRIES = [joins.registry, folds.registry, live.registry, domain.registry, texts.registry, jobs.registry, review.registry, replays.registry, running.registry, rounds.registry, people.registry, stages.registry, feeds.registry]
 QUERIES = {name: f for r in _REGISTRIES for name, f in r.queries.items()}
 ORACLES = {name: sql for r in _REGISTRIES for name, sql in r.oracles.items()}

@@ -23,10 +23,10 @@ CORRUPT = "_corrupt_record"
 
 
 def json_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Sound documents (one a file) with ``file`` and ``file_id`` (the number at the end of its name), and the unreadable ones."""
+    """Sound documents (one a file) with ``file`` and ``file_id`` (the number at the end of its name or its folder's), and the unreadable ones."""
     raw = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
     parsed = raw.withColumn("d", F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}))
-    parsed = parsed.withColumn("file_id", F.regexp_extract("file", r"_(\d+)\.json$", 1).try_cast("long"))
+    parsed = parsed.withColumn("file_id", F.regexp_extract("file", r"_(\d+)\.json(?:/[^/]*)?$", 1).try_cast("long"))
     sound = F.col("d").isNotNull() & F.col(f"d.{CORRUPT}").isNull()
     return parsed.where(sound).select("d.*", "file", "file_id").drop(CORRUPT), parsed.where(~sound).select("file", F.col("value").alias("text"))
 
