@@ -73,6 +73,6 @@ def linked_messages(spark, sf_dir):
     f AS (SELECT *, coalesce(bool_or(fin) OVER (PARTITION BY tie ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stood FROM left_), a AS (SELECT * FROM f WHERE fin OR NOT stood)
     SELECT event_id, sub AS sub_event_type_code, tie, max_by(status, seq) AS status, max_by(score, seq) AS score, max_by(source, seq) AS source_status, max_by(sess, seq) AS session_label, max_by(tbl, seq) AS table_no,
       max_by(t1, seq) AS team1, max_by(t2, seq) AS team2, min_by(stage, seq) AS stage_code, min_by(rnd, seq) AS round_code, min_by(code, seq) AS code, max_by(fin, seq) AS final, max(seq) AS synced FROM a GROUP BY 1, 2, 3""")
-def running_ties(spark, sf_dir):
+def linked_ties(spark, sf_dir):
     """Ties after all live messages, with or without codes; those that stood twice are gone."""
     return running.running_ties(stored(running.linked(_messages(spark, sf_dir)), "links"))
