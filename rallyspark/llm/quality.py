@@ -1,10 +1,10 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A logistic model over whole-text features, fitted on a bounded labelled sample, gives each document its evidence (log-odds of good).
-Documents' expected goodness, or their label where there is one, is summed by path within host and by host. Beta-binomial posteriors
-shrink each host toward the corpus rate and each path toward its host; the strengths of shrinkage come from the spread between sites
-by the method of moments, so sparse sites stay near their prior. A document's score adds its path's log-odds, relative to the corpus,
-to its own evidence.
+Documents' expected goodness is summed by path within host and by host. Beta-binomial posteriors shrink each host toward the corpus
+rate and each path toward its host; the strengths of shrinkage come from the spread between sites by the method of moments, so sparse
+sites stay near their prior. A document's score adds its path's log-odds, relative to the corpus and without the document itself, to
+its own evidence.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyspark.llm.common import discard, store, work_for
@@ -136,42 +136,58 @@ def _strength(groups: DataFrame, prior: str, good: str, n: str) -> float:
     return float(np.clip(1 / min(between, 0.999) - 1, 1.0, 1000.0))
 
 
-def site_posteriors(scored: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """Stored table (host, path, n, host_rate, path_rate) and the corpus rate, from stored evidence rows."""
-    marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
-    goodness = F.coalesce("quality", 1 / (1 + F.exp(-F.col("evidence"))))
-    rows = scored.where(F.col("evidence").isNotNull()).join(marks, "doc_id", "left")
-    paths = store(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(goodness).alias("good")), "paths")
+@dataclass(frozen=True)
+class Shrinkage:
+    """The corpus rate, and the pseudo-counts with which hosts lean on it and paths on their host."""
+
+    rate: float
+    host: float
+    path: float
+
+
+def site_sums(scored: DataFrame) -> tuple[DataFrame, Shrinkage]:
+    """Stored table (host, path, n, good, host_n, host_good) of documents' expected goodness, and how much sites are shrunk."""
+    rows = scored.where(F.col("evidence").isNotNull())
+    paths = store(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(_goodness()).alias("good")), "paths")
     total = paths.agg(F.sum("n"), F.sum("good")).first()
     rate = float(np.clip((total[1] or 0.0) / total[0], 0.001, 0.999)) if total[0] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")).withColumn("prior", F.lit(rate))
     k_host = _strength(hosts, "prior", "host_good", "host_n")
-    hosts = hosts.select("host", ((F.col("host_good") + k_host * rate) / (F.col("host_n") + k_host)).alias("host_rate"))
-    both = store(paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]), "sites")
-    k_path = _strength(both, "host_rate", "good", "n")
-    out = store(both.select("host", "path", "n", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate")), "posteriors")
-    discard(paths, both)
-    return out, rate
+    out = store(paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]), "sites")
+    discard(paths)
+    host_rate = (F.col("host_good") + k_host * rate) / (F.col("host_n") + k_host)
+    return out.drop("prior"), Shrinkage(rate, k_host, _strength(out.withColumn("host_rate", host_rate), "host_rate", "good", "n"))
+
+
+def _goodness() -> Column:
+    return 1 / (1 + F.exp(-F.col("evidence")))
 
 
-def combined(scored: DataFrame, sites: DataFrame, rate: float) -> DataFrame:
+def combined(scored: DataFrame, sites: DataFrame, by: Shrinkage) -> DataFrame:
     """Add host_rate, path_rate, score (0 to 1) and kept to rows with host, path and evidence.
 
-    The sites are joined by (host, path), null being a value: where they are few the planner broadcasts the stored table, else a
-    hot site's rows are split by the skew join.
+    A row's rates are those of its host and path without the row itself, so that its evidence counts once; a site of one document is at
+    its prior. The sites are joined by (host, path), null being a value: where they are few the planner broadcasts the stored table,
+    else a hot site's rows are split by the skew join.
     """
-    s = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "host_rate", "path_rate")
-    out = scored.join(s, scored["host"].eqNullSafe(s["site_host"]) & scored["path"].eqNullSafe(s["site_path"]), "left").drop("site_host", "site_path")
-    odds = lambda c: F.log(c / (1 - c))
-    lean = SITE_WEIGHT * (odds(F.coalesce(F.col("path_rate"), F.lit(rate))) - float(np.log(rate / (1 - rate))))
+    s = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "good", "host_n", "host_good")
+    own = ["site_host", "site_path", "n", "good", "host_n", "host_good"]
+    rows = scored.select(F.struct("*").alias("_row"), "host", "path", "evidence")
+    out = rows.join(s, rows["host"].eqNullSafe(s["site_host"]) & rows["path"].eqNullSafe(s["site_path"]), "left")
+    near = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
+    host = near((F.col("host_good") - _goodness() + by.host * by.rate) / (F.col("host_n") - 1 + by.host))
+    out = out.withColumn("host_rate", F.coalesce(host, F.lit(by.rate)))
+    path = near((F.col("good") - _goodness() + by.path * F.col("host_rate")) / (F.col("n") - 1 + by.path))
+    out = out.withColumn("path_rate", F.coalesce(path, F.col("host_rate"))).drop(*own)
+    lean = SITE_WEIGHT * (F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - float(np.log(by.rate / (1 - by.rate))))
     score = F.coalesce(1 / (1 + F.exp(-(F.col("evidence") + lean))), F.lit(0.0))
-    return out.withColumn("score", score).withColumn("kept", F.col("score") >= KEEP)
+    return out.withColumn("score", score).withColumn("kept", F.col("score") >= KEEP).select("_row.*", "host_rate", "path_rate", "score", "kept")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str) -> tuple[DataFrame, DataFrame, float, Evidence]:
+def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str) -> tuple[DataFrame, DataFrame, Shrinkage, Evidence]:
     model = train(docs, labels)
     scored = store(docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), evidence(model)(F.col("text")).alias("evidence")), "evidence")
-    return scored, *site_posteriors(scored, labels), model
+    return scored, *site_sums(scored), model
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
@@ -180,14 +196,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     Null and empty texts have no evidence, score 0 and are not kept. Null hosts and paths are sites of their own. Without labels, or
     with labels of one kind only, all texts get that kind's evidence. Repeated rows count each.
     """
-    scored, sites, rate, _ = _judged(docs, labels, host, path)
-    return combined(scored, sites, rate)
+    scored, sites, by, _ = _judged(docs, labels, host, path)
+    return combined(scored, sites, by)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns; rows are judged where they lie, so null and repeated ids do not matter."""
-    scored, sites, rate, model = _judged(docs, labels, host, path)
+    scored, sites, by, model = _judged(docs, labels, host, path)
     discard(scored)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), evidence(model)(F.col("text")).alias("evidence"))
-    return combined(rows, sites, rate).where("kept").select("row.*")
+    return combined(rows, sites, by).where("kept").select("row.*")

@@ -14,14 +14,14 @@ def test_labelled_documents(spark):
 
 
 def test_sparse_sites_shrink_to_their_prior(spark):
-    rows = [(f"h{i % 10}", "p", 3.0 if (i % 10) % 2 else -3.0) for i in range(4000)] + [("rare", "q", -3.0)]
+    rows = [(f"h{i % 10}", "p", 3.0 if (i % 10) % 2 else -3.0) for i in range(4000)] + [("rare", "q", -3.0), ("few", "q", -3.0), ("few", "q", -3.0)]
     scored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, evidence double")
-    none = spark.createDataFrame([], "doc_id long, quality int")
-    sites, rate = quality.site_posteriors(scored, none)
-    by = {(r.host, r.path): r for r in sites.collect()}
-    assert abs(rate - 0.5) < 0.02
-    assert by["h1", "p"].path_rate > 0.9 and by["h0", "p"].path_rate < 0.1
-    assert 0.1 < by["rare", "q"].path_rate < 0.5  # one document moves it part of the way
+    sites, by = quality.site_sums(scored)
+    got = {(r.host, r.path): r for r in quality.combined(scored, sites, by).collect()}
+    assert abs(by.rate - 0.5) < 0.02
+    assert got["h1", "p"].path_rate > 0.9 and got["h0", "p"].path_rate < 0.1
+    assert abs(got["rare", "q"].path_rate - by.rate) < 1e-9  # a site's only document says nothing about its site
+    assert 0.1 < got["few", "q"].path_rate < 0.5  # one other document moves it part of the way
 
 
 def test_awkward_rows(spark, docs, wide, labels, empty):
@@ -41,10 +41,6 @@ def test_posteriors_by_hand(spark, docs, wide, labels):
     """Every step after the evidence, in plain Python over all rows."""
     rows = quality.classify(wide, labels).collect() + quality.classify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()
     cut = docs.count()
-    own = {0: {}, 1: {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r.quality is not None}}
-    for r in labels.collect():
-        if r.quality is not None and r.doc_id is not None:
-            own[0][r.doc_id] = max(r.quality, own[0].get(r.doc_id, 0))
 
     def strength(groups):
         some = [(p, good / n, n) for p, good, n in groups if n > 1]
@@ -54,24 +50,24 @@ def test_posteriors_by_hand(spark, docs, wide, labels):
         between = max(1e-6, (sum(n * (m - p) ** 2 for p, m, n in some) - chance) / over)
         return min(1000.0, max(1.0, 1 / min(between, 0.999) - 1))
 
-    for part, marks in ((rows[:cut], own[0]), (rows[cut:], own[1])):
+    good_of = lambda r: 1 / (1 + np.exp(-r.evidence))
+    for part in (rows[:cut], rows[cut:]):
         paths, hosts = {}, {}
         for r in part:
             if r.evidence is not None:
-                good = float(marks.get(r.doc_id, 1 / (1 + np.exp(-r.evidence))))
                 for table, k in ((paths, (r.host, r.path)), (hosts, r.host)):
                     n, g = table.get(k, (0, 0.0))
-                    table[k] = n + 1, g + good
+                    table[k] = n + 1, g + good_of(r)
         total = sum(n for n, _ in hosts.values())
         rate = min(0.999, max(0.001, sum(g for _, g in hosts.values()) / total))
-        k = strength([(rate, g, n) for n, g in hosts.values()])
-        host_rate = {h: (g + k * rate) / (n + k) for h, (n, g) in hosts.items()}
-        k = strength([(host_rate[h], g, n) for (h, _), (n, g) in paths.items()])
-        path_rate = {(h, p): (g + k * host_rate[h]) / (n + k) for (h, p), (n, g) in paths.items()}
+        kh = strength([(rate, g, n) for n, g in hosts.values()])
+        kp = strength([((hosts[h][1] + kh * rate) / (hosts[h][0] + kh), g, n) for (h, _), (n, g) in paths.items()])
         for r in part:
             if r.evidence is None:
                 assert (r.score, r.kept) == (0, False)
                 continue
-            q = path_rate[r.host, r.path]
+            (n, g), (hn, hg) = paths[r.host, r.path], hosts[r.host]
+            h = (hg - good_of(r) + kh * rate) / (hn - 1 + kh)
+            q = (g - good_of(r) + kp * h) / (n - 1 + kp)
             score = 1 / (1 + np.exp(-(r.evidence + np.log(q / (1 - q)) - np.log(rate / (1 - rate)))))
-            assert abs(r.host_rate - host_rate[r.host]) < 1e-9 and abs(r.path_rate - q) < 1e-9 and abs(r.score - score) < 1e-9 and r.kept == (r.score >= quality.KEEP)
+            assert abs(r.host_rate - h) < 1e-9 and abs(r.path_rate - q) < 1e-9 and abs(r.score - score) < 1e-9 and r.kept == (r.score >= quality.KEEP)
