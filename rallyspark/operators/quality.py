@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,7 +79,8 @@ def prefix_sound(df: DataFrame, category: str) -> DataFrame:
     return out.select(category, ((F.col("low") == 1) & (F.col("high") == F.col("n"))).alias("sound"))
 
 
-def null_share(df: DataFrame, *columns: str) -> DataFrame:
+def null_share(df: DataFrame | GroupedData, *columns: str) -> DataFrame:
+    """Rows, and those that lack each column, of a table or of each group."""
     return df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rallyspark.operators.scan import ranged
+from rallyspark.sources.shared import stored
 
 
 def _cols(names: str | list[str]) -> list[str]:
@@ -287,6 +288,23 @@ def preferred_order(code: Column, wanted: list[str]) -> list[Column]:
     return [F.when(at > 0, at).otherwise(F.lit(len(wanted) + 1)).asc(), code.asc_nulls_last()]
 
 
+def placed(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Add ``name``, the place from 1 of every row of a whole table in ``order``, which must tell all rows apart.
+
+    Rows are dealt to ranges of the order; the ranges' sizes, one number each, say where each begins, so no task sees the whole table.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    held = stored(dealt, "placed")
+    starts, before = [], 0
+    for part, n in sorted(tuple(r) for r in held.groupBy("_part").count().collect()):
+        starts.append((part, before))
+        before += n
+    begins = spark.createDataFrame(starts, "_part int, _before long")
+    rank = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return held.join(F.broadcast(begins), "_part").withColumn(name, rank + F.col("_before")).select(*df.columns, name)
+
+
 def tagged(kind: str, number: Column) -> Column:
     """Identity over sources of several kinds: struct<kind, id, text>."""
     return F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("id"), F.concat_ws(":", F.lit(kind), number.cast("string")).alias("text"))
