@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rallyspark.functions.scores import lookup
-from rallyspark.functions.text import nz
+from rallyspark.functions.text import nz, stage_token
 
 #: Order of draw rounds and aliases of their names.
 DRAW_ORDER = {"R256": 5, "R128": 10, "R64": 20, "R32": 30, "R16": 40, "QuarterFinal": 50, "SemiFinal": 60, "Bronze": 70, "Final": 80}
@@ -203,6 +203,35 @@ def team_round(round_: Column, label: Column) -> Column:
     return F.when(order.isNotNull(), known).otherwise(other)
 
 
+def stage_qualifier(c: Column) -> Column:
+    """``Division 2`` in Chinese; other texts trimmed."""
+    number = F.regexp_extract(F.trim(nz(c)), r"(?i)^Division\s+(\d+)$", 1)
+    return F.when(number != "", F.concat(F.lit("第"), number, F.lit("级别"))).otherwise(F.trim(nz(c)))
+
+
+def stage_prefix(stage: Column, stage_zh: Column) -> Column:
+    """struct<code, label, shift> of a knockout stage of teams, null for other stages: main draws, with a part or without, and position matches.
+
+    Position matches come a thousand places before the main draw's rounds.
+    """
+    text = F.trim(nz(stage))
+    part = F.regexp_extract(text, r"(?i)^Main Draw\s*-\s*(.+)$", 1)
+    bare = F.regexp_replace(stage_zh, r"^(主赛|正赛)\s*-\s*", "")
+    said = stage_qualifier(F.coalesce(F.when(bare != stage_zh, bare), F.nullif(part, F.lit(""))))
+    token = stage_token(F.when(part != "", part).otherwise(said))
+    main = F.struct(F.when(said != "", F.concat(F.lit("main-"), token)).otherwise("main").alias("code"), said.alias("label"), F.lit(0).alias("shift"))
+    rest = F.trim(F.regexp_replace(text, "(?i)^Position matches", ""))
+    form = r"(?i)^(.*?)\s*-\s*(Division\s+\d+)$"
+    split = rest.rlike(form)
+    span, division = F.when(split, F.trim(F.regexp_extract(rest, form, 1))).otherwise(rest), F.when(split, F.regexp_extract(rest, form, 2)).otherwise("")
+    some = lambda c: F.nullif(c, F.lit(""))
+    placing = F.struct(
+        F.concat_ws("-", F.lit("position"), some(stage_token(span)), some(stage_token(division))).alias("code"), F.concat_ws(" ", F.lit("排位赛"), some(span), some(stage_qualifier(division))).alias("label"), F.lit(-1000).alias("shift"),
+    )
+    plain = F.struct(F.lit("main").alias("code"), F.lit("").alias("label"), F.lit(0).alias("shift"))
+    return F.when(text == "MAIN", plain).when(text.rlike(r"(?i)^Main Draw(\s*-\s*.+)?$"), main).when(text.rlike(r"(?i)^Position matches\b"), placing)
+
+
 def round_label(round_: Column, label: Column) -> Column:
     """Standard label, else the given one, else the raw name, else the placeholder."""
     raw = F.trim(nz(round_))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rallyspark.functions.rounds import DRAW_ORDER, draw_order, draw_round, non_tour, position_round_two
+from rallyspark.functions.rounds import DRAW_ORDER, draw_order, draw_round, non_tour, position_round_two, stage_prefix, team_round
 from rallyspark.functions.text import nz
 from rallyspark.operators.relational import set_pairs
 from rallyspark.sources.shared import discard, stored
@@ -152,6 +152,24 @@ def modal_round(rubbers: DataFrame, keys: list[str]) -> DataFrame:
     return votes.groupBy(*keys).agg(F.max_by(F.struct("draw_round", "round_order"), F.struct("_n", "round_order")).alias("_r")).select(*keys, "_r.*")
 
 
+def resolved_rounds(ties: DataFrame, rubbers: DataFrame) -> DataFrame:
+    """Add code, label and round_order to team ties (tie_id, stage, stage_zh, round, round_zh): null where neither source tells.
+
+    The draw round of most of a tie's rubbers (tie_id, draw_round, round_order) counts first; else the tie's own round, in a knockout stage
+    and if it is a known one, under the stage's code and label.
+    """
+    modal = modal_round(rubbers, ["tie_id"]).select("tie_id", F.col("draw_round").alias("_draw"), F.col("round_order").alias("_order"))
+    parts = {"_drawn": team_round(F.col("_draw"), F.lit(None).cast("string")), "_own": team_round(F.col("round"), F.col("round_zh")), "_stage": stage_prefix(F.col("stage"), F.col("stage_zh"))}
+    rows = ties.join(modal, "tie_id", "left").withColumns(parts)
+    by_draw, placed = F.col("_draw").isNotNull(), F.col("_stage").isNotNull() & (F.coalesce("_own.order", F.lit(0)) > 0)
+    found = {
+        "code": F.when(by_draw, F.col("_drawn.code")).when(placed, F.concat_ws(":", "_stage.code", "_own.code")),
+        "label": F.when(by_draw, F.col("_drawn.label")).when(placed, F.concat_ws(" ", F.nullif("_stage.label", F.lit("")), "_own.label")),
+        "round_order": F.when(by_draw, F.coalesce(F.nullif("_order", F.lit(0)), "_drawn.order")).when(placed, F.col("_own.order") + F.col("_stage.shift")),
+    }
+    return rows.withColumns(found).drop("_draw", "_order", *parts)
+
+
 def draw_report(rows: DataFrame) -> DataFrame:
     """Counts of bronze rows by how they were found."""
     return rows.where("draw_round = 'Bronze'").groupBy(F.coalesce("bronze_source", F.lit("(none)")).alias("bronze_source")).agg(F.count(F.lit(1)).alias("n"))

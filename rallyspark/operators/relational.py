@@ -133,6 +133,15 @@ def overlay(keys: str | list[str], *layers: DataFrame, order: str | None = None)
     return top_row(rows, keys, rank).drop("_layer")
 
 
+def first_layer(keys: str | list[str], *layers: DataFrame) -> DataFrame:
+    """All rows of the first layer that has any for a key, with ``layer`` from 1; layers have the same columns. Null keys are keys like others."""
+    keys = _cols(keys)
+    rows = reduce(DataFrame.unionByName, [x.withColumn("layer", F.lit(i)) for i, x in enumerate(layers, 1)])
+    best = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("layer").alias("_layer"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(best, [F.col("layer") == F.col("_layer"), *same], "left_semi")
+
+
 def filter_unless_empty(df: DataFrame, keys: str | list[str], keep: Column) -> DataFrame:
     """Rows that meet ``keep``; all rows of a key of which none does."""
     keys = _cols(keys)

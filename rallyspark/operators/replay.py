@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyspark.functions.scores import IMPORT_STATUS, flip_score, forfeit, match_score, status_priority
+from rallyspark.functions.scores import IMPORT_STATUS, didwin, flip_score, forfeit, match_score, status_priority
 from rallyspark.functions.text import nz, rubber_label
 from rallyspark.operators.relational import _cols, top_row
 
@@ -72,6 +72,20 @@ def rubber_messages(messages: DataFrame, code: str, rubbers: str) -> DataFrame:
     return each.select(*rest, (F.col("_at") + 1).alias("rubber_no"), rubber_code(F.col(code), F.col("_at") + 1).alias("rubber_code"), "_rubber.*")
 
 
+def official_matches(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Single matches after all official and live results: the matches, their sides and their players.
+
+    Messages have event_id, external_match_code, seq, status, source_status, match_score, winner_side, session_label, table_no, stage_code,
+    round_code and ``sides``: array<struct<side_no, team_code, players: array<struct<player_id, name, country>>>>. An accepted message
+    replaces all sides and players of its match; one without sides leaves none. A side wins by the match's winner.
+    """
+    keys = ["event_id", "external_match_code"]
+    states = replay(messages, keys, "seq", ["status", "match_score", "winner_side", "sides"], ["source_status", "session_label", "table_no"], ["stage_code", "round_code"])
+    sides = states.select(*keys, "winner_side", F.explode("sides").alias("s")).select(*keys, "s.side_no", "s.team_code", F.coalesce(didwin(F.col("winner_side"), F.col("s.side_no")), F.lit(False)).alias("is_winner"), "s.players")
+    players = sides.select(*keys, "side_no", F.posexplode("players").alias("_at", "p")).select(*keys, "side_no", (F.col("_at") + 1).alias("player_order"), "p.*")
+    return states.drop("sides"), sides.drop("players"), players
+
+
 def cascaded(ties: DataFrame, rubbers: DataFrame, code: str) -> DataFrame:
     """Rubbers after their ties' last message: those without an official final result take over the tie's status and, if it has one, its source.
 
