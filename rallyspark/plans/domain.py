@@ -142,11 +142,15 @@ def best_result_fold(spark, sf_dir):
     return stats.best_results(rows)
 
 
-@add(f"""
+def _merge_sql(various: bool) -> str:
+    """The greedy merge row by row; ``various``: names with years and more words, results without ids, named aliases."""
+    years = "CASE WHEN seq % 9 = 0 THEN [n, n || ' (1999)'] ELSE [n] END" if various else "[n]"
+    more, known = ("CASE WHEN seq % 6 = 0 THEN ' jun' ELSE '' END", "seq % 31 > 0") if various else ("''", "true")
+    return f"""
     WITH RECURSIVE c AS (SELECT c_mktsegment || '/' || c_custkey // {LIST_IDS} AS category, c_custkey AS seq, 'player ' || c_custkey % 400 AS n, 'N' || c_custkey % 3 AS cc, c_custkey % 50 AS points FROM customer),
-    weekly AS (SELECT category, seq, seq AS rank, cc, points, CASE WHEN seq % 9 = 0 THEN [n, n || ' (1999)'] ELSE [n] END AS names FROM c),
-    res AS (SELECT category, seq, seq + seq % 5 AS rank, cc, points + (seq % 4 = 0)::INTEGER AS points, n || CASE WHEN seq % 6 = 0 THEN ' jun' ELSE '' END AS n, CASE WHEN seq % 31 > 0 THEN 'id' || seq END AS id FROM c),
-    alias AS (SELECT DISTINCT 'player ' || c_custkey % 400 AS n, 'N' || c_custkey % 3 AS cc, CASE WHEN c_custkey % 2 = 0 THEN 'id' || (c_custkey + 15) END AS pid, 'player ' || (c_custkey + 3) % 400 AS other FROM customer WHERE c_custkey % 97 = 0),
+    weekly AS (SELECT category, seq, seq AS rank, cc, points, {years} AS names FROM c),
+    res AS (SELECT category, seq, seq + seq % 5 AS rank, cc, points + (seq % 4 = 0)::INTEGER AS points, n || {more} AS n, CASE WHEN {known} THEN 'id' || seq END AS id FROM c),
+    alias AS (SELECT DISTINCT 'player ' || c_custkey % 400 AS n, 'N' || c_custkey % 3 AS cc, CASE WHEN c_custkey % 2 = 0 THEN 'id' || (c_custkey + 15) END AS pid, 'player ' || (c_custkey + 3) % 400 AS other FROM customer WHERE {'c_custkey % 97 = 0' if various else 'false'}),
     words AS (SELECT category, seq, cc, unnest(names) AS n FROM weekly),
     w2 AS (SELECT category, seq, cc, list_distinct(list_concat(string_split(names[1], ' '), CASE WHEN len(names) > 1 THEN ['(1999)'] ELSE [] END)) AS ws FROM weekly),
     pairs AS (
@@ -167,21 +171,34 @@ def best_result_fold(spark, sf_dir):
             FROM (SELECT *, list_filter(l, lambda x: x.points = points) AS e, list_filter(a, lambda x: x.points = points) AS ap, list_filter(p, lambda x: x.points = points) AS pp
               FROM (SELECT *, list_filter(open_, lambda x: x.kind = 0) AS l, list_filter(open_, lambda x: x.kind = 1) AS a, list_filter(open_, lambda x: x.kind = 2) AS p
                 FROM (SELECT k.*, s.used, list_filter(k.cs, lambda x: x.id IS NULL OR NOT list_contains(s.used, x.id)) AS open_ FROM s JOIN k ON k.category = s.category AND k.n = s.n + 1))))))))
-    SELECT category, seq, player_id, results_rank, status FROM s WHERE n > 0""")
+    SELECT category, seq, player_id, results_rank, status FROM s WHERE n > 0"""
+
+
+def _lists(spark, sf_dir):
+    """Customers of a block of ids and one segment as a weekly list and its results list."""
+    name = lambda c: F.concat_ws(" ", F.lit("Player"), (F.col(c) % 400).cast("string"))
+    category = F.concat_ws("/", "c_mktsegment", F.floor(F.col("c_custkey") / LIST_IDS).cast("string"))
+    weekly = read(spark, sf_dir, "customer").select(category.alias("category"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("rank"), name("c_custkey").alias("name"), F.concat(F.lit("N"), (F.col("c_custkey") % 3).cast("string")).alias("country_code"), (F.col("c_custkey") % 50).alias("points"))
+    results = weekly.select("category", "seq", (F.col("rank") + F.col("seq") % 5).alias("rank"), "name", "country_code", (F.col("points") + F.when(F.col("seq") % 4 == 0, 1).otherwise(0)).alias("points"), F.concat(F.lit("id"), F.col("seq").cast("string")).alias("player_id"))
+    return weekly, results
+
+
+@add(_merge_sql(False))
 def ranking_id_merge(spark, sf_dir):
-    """Ids of every ranking list from its results list, each id once in a list: by name, named alias or words."""
+    """Ids of every ranking list from its results list, each id once in a list."""
+    return identity.merge_ranking_ids(*_lists(spark, sf_dir)).select("category", "seq", "player_id", "results_rank", "status")
+
+
+@add(_merge_sql(True))
+def ranking_ids_by_alias(spark, sf_dir):
+    """The same with names that differ: by a year, by more words, or by a named alias; some results have no id."""
+    weekly, results = _lists(spark, sf_dir)
     number = F.col("c_custkey")
-    name = lambda c: F.concat_ws(" ", F.lit("Player"), (c % 400).cast("string"))
-    country = F.concat(F.lit("N"), (number % 3).cast("string"))
-    category = F.concat_ws("/", "c_mktsegment", F.floor(number / LIST_IDS).cast("string"))
-    rows = read(spark, sf_dir, "customer").select(category.alias("category"), number.alias("seq"), number.alias("rank"), name(number).alias("name"), country.alias("country_code"), (number % 50).alias("points"))
-    weekly = rows.withColumn("name", F.when(F.col("seq") % 9 == 0, F.concat(F.lit(" "), F.upper("name"), F.lit("  (1999)"))).otherwise(F.col("name")))
-    results = rows.select(
-        "category", "seq", (F.col("rank") + F.col("seq") % 5).alias("rank"), F.concat("name", F.when(F.col("seq") % 6 == 0, " Jun").otherwise("")).alias("name"), "country_code",
-        (F.col("points") + F.when(F.col("seq") % 4 == 0, 1).otherwise(0)).alias("points"), F.when(F.col("seq") % 31 > 0, F.concat(F.lit("id"), F.col("seq").cast("string"))).alias("player_id"),
-    )
+    named = lambda c: F.concat_ws(" ", F.lit("Player"), (c % 400).cast("string"))
+    weekly = weekly.withColumn("name", F.when(F.col("seq") % 9 == 0, F.concat(F.lit(" "), F.upper("name"), F.lit("  (1999)"))).otherwise(F.col("name")))
+    results = results.withColumns({"name": F.concat("name", F.when(F.col("seq") % 6 == 0, " Jun").otherwise("")), "player_id": F.when(F.col("seq") % 31 > 0, F.col("player_id"))})
     aliases = read(spark, sf_dir, "customer").where(number % 97 == 0).select(
-        country.alias("country_code"), name(number).alias("weekly_name"), name(number + 3).alias("results_name"), F.when(number % 2 == 0, F.concat(F.lit("id"), (number + 15).cast("string"))).alias("player_id"),
+        F.concat(F.lit("N"), (number % 3).cast("string")).alias("country_code"), named(number).alias("weekly_name"), named(number + 3).alias("results_name"), F.when(number % 2 == 0, F.concat(F.lit("id"), (number + 15).cast("string"))).alias("player_id"),
     )
     return identity.merge_ranking_ids(weekly, results, aliases).select("category", "seq", "player_id", "results_rank", "status")
 

@@ -37,5 +37,5 @@ def test_brackets_of_all_orders(spark, tmp_path):
     spark.createDataFrame([(k, k * 31 % 97, "FOP"[k % 11 % 3]) for k in ids], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     placed = catalogue.QUERIES["bracket_positions"](spark, str(tmp_path)).collect()
     assert sorted((r.match_id, r.event_id) for r in placed) == [(k, k // 512) for k in ids]
-    for name, events in (("champions_all", 256), ("team_champions", 4)):
+    for name, events in (("champions_all", 2048 // 64), ("team_champions", 4)):
         assert sorted(r.event_id for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()) == list(range(events)), name
