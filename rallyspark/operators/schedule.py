@@ -138,11 +138,12 @@ def match_passes(asks: DataFrame, rows: DataFrame, passes: list[list[str]], key:
 def groups_by_pair(ties: DataFrame, groups: DataFrame) -> DataFrame:
     """Add stage and group of ties (team_a, team_b) from tables of teams in groups (stage, group_code, team_code).
 
-    A tie belongs to the group that holds both teams; a tie without teams or of two groups has an issue.
+    A tie belongs to the group that holds both teams; a tie without teams or of two groups has an issue. Only pairs of teams that play
+    are looked up, by the groups of the one and then of the other, so the pairs within a group are never built.
     """
     g = groups.select("stage", "group_code", "team_code")
-    a, b = g.withColumnRenamed("team_code", "team_a"), g.withColumnRenamed("team_code", "team_b")
-    found = a.join(b, ["stage", "group_code"]).where("team_a <> team_b")
+    met = ties.select("team_a", "team_b").where("team_a <> team_b").distinct()
+    found = met.join(g.withColumnRenamed("team_code", "team_a"), "team_a").join(g.withColumnRenamed("team_code", "team_b"), ["stage", "group_code", "team_b"])
     out = ties.join(found, ["team_a", "team_b"], "left")
     issue = F.when(F.col("team_a").isNull() | F.col("team_b").isNull(), "side without one country").when(F.col("group_code").isNull(), "no common group")
     return out.withColumn("issue", issue)
