@@ -125,11 +125,12 @@ def match_passes(asks: DataFrame, rows: DataFrame, passes: list[list[str]], key:
     """Add ``row_key`` of the first pass that finds rows, of several the least, and the pass (from 1).
 
     A pass is a list of columns that must be equal and filled on both sides, such as number and table, then table and sides, then
-    number and sides. Each pass is one equi-join.
+    number and sides. Each pass is one equi-join with the least row of each set of values, so a row meets one row a pass.
     """
     found = None
     for n, columns in enumerate(passes, 1):
-        hit = asks.select(key, *columns).join(rows.select(row_key, *columns), columns).select(key, F.struct(F.lit(n).alias("step"), F.col(row_key).alias("row")).alias("hit"))
+        least = rows.groupBy(*columns).agg(F.min(row_key).alias(row_key))
+        hit = asks.select(key, *columns).join(least, columns).select(key, F.struct(F.lit(n).alias("step"), F.col(row_key).alias("row")).alias("hit"))
         found = hit if found is None else found.union(hit)
     best = found.groupBy(key).agg(F.min("hit").alias("hit"))
     return asks.join(best, key, "left").select(*asks.columns, F.col("hit.row").alias(row_key), F.col("hit.step").alias("step"))
