@@ -7,15 +7,14 @@ within a connected part only: messages of one event and discipline that share a
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyspark.functions.text import blank_to_null, match_number, nz
 from rallyspark.operators import replay
-from rallyspark.operators.components import connected
+from rallyspark.operators.components import connected, folded
 
 UNIT = ["event_id", "sub_event_type_code"]
 LATEST, PATCHED, FILLED = ["status", "score"], ["source_status", "session_label", "table_no", "team1", "team2"], ["stage_code", "round_code"]
@@ -71,9 +70,9 @@ class Ties:
         return tie["number"], gone
 
 
-def _fold(messages: Iterable[dict]) -> list[tuple[int, int, int | None]]:
+def _fold(messages: Iterable[dict]) -> Iterator[tuple[int, int | None]]:
     ties = Ties()
-    return [(m["seq"], *ties.take(m)) for m in messages]
+    return (ties.take(m) for m in messages)
 
 
 def linked(messages: DataFrame) -> DataFrame:
@@ -94,16 +93,9 @@ def linked(messages: DataFrame) -> DataFrame:
     wide = teams(shared.join(mixed, [*UNIT, "code"], "left_semi"), "a").join(teams(rows, F.col("_pair").alias("b")), [*UNIT, "team"])
     alone = rows.where((low == "") & (high != "")).select(F.col("_pair").alias("a"), F.concat_ws("\x1f", unit, high, high).alias("b")).distinct()
     edges = shared.select("a", "b").union(wide.select("a", "b")).union(alone).where("a <> b")
-    part = rows.join(connected(edges).select(F.col("node").alias("_pair"), "label"), "_pair", "left").withColumn("_part", F.coalesce("label", "_pair")).drop("label", "_pair")
-    read = ["seq", "code", "own_code", "final", "status", "match_no", *PATCHED, *FILLED]
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("seq")
-        plain = rows.astype(object).where(rows.notna(), None).to_dict("records")
-        return pd.DataFrame([(g, s, *r[1:]) for r in _fold(plain) for g, s in [(group["_part"].iloc[0], r[0])]], columns=["_part", "seq", "tie", "removes"]).astype({"tie": "Int64", "removes": "Int64"})
-
-    found = part.select("_part", *read).groupBy("_part").applyInPandas(fold, "_part string, seq long, tie long, removes long")
-    return part.join(found, ["_part", "seq"]).select(*messages.columns, "code", "tie", "removes")
+    labels = connected(edges).select(F.col("node").alias("_pair"), "label")
+    part = rows.join(labels.hint("merge"), "_pair", "left").withColumn("_part", F.coalesce("label", "_pair")).drop("label", "_pair")
+    return folded(part, "_part", "seq", _fold, {"tie": "long", "removes": "long"}).select(*messages.columns, "code", "tie", "removes")
 
 
 def running_ties(links: DataFrame) -> DataFrame:
