@@ -20,6 +20,20 @@ def _cols(names: str | list[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+#: Rows that one task sorts or groups where a whole table goes through a shuffle.
+DEALT_ROWS = 2_000_000
+
+
+def parts_of(df: DataFrame) -> int:
+    """Partitions of a shuffle, in number with the rows. Counting those of a plain Parquet table reads its footers only."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // DEALT_ROWS))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in hash partitions of ``keys``, so that a task's memory does not grow with the table; joins and groupings on the keys use them."""
+    return df.repartition(parts_of(df), *keys)
+
+
 def top_row(df: DataFrame, keys: str | list[str], order: Column, largest: bool = True) -> DataFrame:
     """The row of each key with the largest (or least) ``order``, a struct that should be unique within a key."""
     keys = _cols(keys)

@@ -9,7 +9,6 @@ from rallyspark.operators import bracket, identity, merge, replay, schedule, vie
 from rallyspark.operators import relational as R
 from rallyspark.plans.common import Registry, read
 from rallyspark.plans.reads import _pick, _sql, _text
-from rallyspark.sources.shared import stored
 
 registry = Registry()
 add = registry.add
@@ -183,4 +182,4 @@ def shown_rubbers(spark, sf_dir):
     ties = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tie_id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "live").otherwise("walkover").alias("status"))
     rubbers = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tie_id"), F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")).alias("rubber_order"), F.when(F.col("l_returnflag") == "N", "live").otherwise("completed").alias("status"))
     shown = F.transform("rubbers", lambda r: F.concat_ws(":", r["rubber_order"]["n"].cast("string"), r["rubber_order"]["p"].cast("string")))
-    return views.tie_view(ties, stored(rubbers, "rubbers")).select("tie_id", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("rubbers"))
+    return views.tie_view(ties, R.dealt(rubbers, "tie_id")).select("tie_id", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("rubbers"))
