@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rallyspark.operators import merge as M
 from rallyspark.operators import quality as Q
+from rallyspark.operators import relational as R
 from rallyspark.operators import schedule, stats
 from rallyspark.plans.common import Registry, read
 from rallyspark.plans.texts import _pick, _sql
@@ -74,7 +75,7 @@ def replaced_scope(spark, sf_dir):
     UNION ALL SELECT 'free', CASE WHEN l_orderkey IN (SELECT o_orderkey FROM p) THEN l_orderkey END, l_linenumber FROM lineitem""")
 def cascade_and_detach(spark, sf_dir):
     """Children of removed parents: one kind goes, the other stays without its key."""
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), "l_linenumber")
+    lines = R.dealt(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), "l_linenumber"), "parent")
     parents = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
     (kept,) = M.cascade(parents, "o_orderkey", (lines, "parent"))
     return kept.select(F.lit("owned").alias("kind"), "*").union(M.detach(lines, parents, "parent", "o_orderkey").select(F.lit("free").alias("kind"), "*"))
