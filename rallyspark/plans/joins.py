@@ -108,8 +108,10 @@ def anti_missing(spark, sf_dir):
 def opponent_pairs(spark, sf_dir):
     """Opponents of each supplier within orders: meetings, wins and latest date."""
     sides = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_shipdate")
-    pairs = R.opponents(sides, "l_orderkey", "l_linenumber", "l_suppkey")
-    return pairs.groupBy(F.col("l_suppkey").alias("supplier"), F.col("opp_l_suppkey").alias("opponent")).agg(F.count(F.lit(1)).alias("meetings"), F.count_if(F.col("l_returnflag") == "A").alias("wins"), F.max("l_shipdate").alias("latest"))
+    parts = R.parts_of(sides)
+    pairs = R.opponents(sides.repartition(parts, "l_orderkey"), "l_orderkey", "l_linenumber", "l_suppkey")
+    # pairs of suppliers grow with the lines, so they are dealt as the lines are, a few for each line
+    return pairs.repartition(4 * parts, "l_suppkey", "opp_l_suppkey").groupBy(F.col("l_suppkey").alias("supplier"), F.col("opp_l_suppkey").alias("opponent")).agg(F.count(F.lit(1)).alias("meetings"), F.count_if(F.col("l_returnflag") == "A").alias("wins"), F.max("l_shipdate").alias("latest"))
 
 
 @add("""
