@@ -107,15 +107,15 @@ def joined_distinct(df: DataFrame, keys: str | list[str], value: str, name: str,
     return df.groupBy(*_cols(keys)).agg(F.array_join(F.array_sort(F.collect_set(value)), sep).alias(name))
 
 
-def majority(df: DataFrame, keys: str | list[str], value: str, name: str = "majority", first_seen: str | None = None) -> DataFrame:
-    """Most frequent value of each key; a tie goes to the least value, or to the one seen first by the column ``first_seen``.
+def majority(df: DataFrame, keys: str | list[str], value: str, name: str = "majority", first_seen: str | list[str] = ()) -> DataFrame:
+    """Most frequent value of each key; a tie goes to the value seen first by the column or columns ``first_seen``, then to the least value.
 
     Null and blank values have no vote. Votes are counted before they are compared, so a hot key costs a row for each value.
     """
     keys = _cols(keys)
-    seen = F.min(first_seen) if first_seen else F.lit(0)
-    votes = df.where(F.trim(F.col(value).cast("string")) != "").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_votes"), seen.alias("_seen"))
-    order = F.struct(-F.col("_votes"), "_seen", value)
+    seen = {f"_seen{i}": F.min(c) for i, c in enumerate(_cols(first_seen))}
+    votes = df.where(F.trim(F.col(value).cast("string")) != "").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_votes"), *[c.alias(n) for n, c in seen.items()])
+    order = F.struct(-F.col("_votes"), *seen, value)
     return votes.groupBy(*keys).agg(F.min_by(value, order).alias(name))
 
 

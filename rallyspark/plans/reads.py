@@ -135,11 +135,15 @@ def group_tables(spark, sf_dir):
     d AS (SELECT l_orderkey AS k, ['R32', 'R16', 'QuarterFinal', 'Final'][l_partkey % 4 + 1] AS r, [30, 40, 50, 80][l_partkey % 4 + 1] AS o, count(*) AS n FROM lineitem GROUP BY ALL)
     SELECT k AS l_orderkey, (SELECT min_by(c, (-n, c)) FROM n WHERE n.k = x.k) AS by_letter, (SELECT min_by(c, (-n, seen)) FROM n WHERE n.k = x.k) AS by_place, (SELECT max_by(r, (n, o)) FROM d WHERE d.k = x.k) AS draw_round FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) x""")
 def votes(spark, sf_dir):
-    """Majorities with ties by letter and by first place, and the draw round of most of a tie's rubbers."""
+    """Majorities with ties by letter and by first place, and the draw round of most of a tie's rubbers.
+
+    Two lines of an order may share number and part, so a place; then the value that stands first in the table counts.
+    """
     lines, part = read(spark, sf_dir, "lineitem"), F.col("l_partkey")
-    rows = lines.select("l_orderkey", F.nullif(_text("C", F.col("l_suppkey") % 4), F.lit("C3")).alias("c"), (F.col("l_linenumber") * 1_000_000 + part).alias("seq"))
+    row = F.struct("_metadata.file_path", "_metadata.row_index")
+    rows = lines.select("l_orderkey", F.nullif(_text("C", F.col("l_suppkey") % 4), F.lit("C3")).alias("c"), (F.col("l_linenumber") * 1_000_000 + part).alias("seq"), row.alias("row"))
     rounds = lines.select("l_orderkey", _pick(["R32", "R16", "QuarterFinal", "Final"], part).alias("draw_round"), _pick([30, 40, 50, 80], part).alias("round_order"))
-    out = lines.select("l_orderkey").distinct().join(R.majority(rows, "l_orderkey", "c", "by_letter"), "l_orderkey", "left").join(R.majority(rows, "l_orderkey", "c", "by_place", "seq"), "l_orderkey", "left")
+    out = lines.select("l_orderkey").distinct().join(R.majority(rows, "l_orderkey", "c", "by_letter"), "l_orderkey", "left").join(R.majority(rows, "l_orderkey", "c", "by_place", ["seq", "row"]), "l_orderkey", "left")
     return out.join(bracket.modal_round(rounds, ["l_orderkey"]), "l_orderkey", "left").select("l_orderkey", "by_letter", "by_place", "draw_round")
 
 
