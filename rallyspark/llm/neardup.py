@@ -9,9 +9,10 @@ bits than two sets at the threshold can differ in shingles, which is certain. Wh
 
 Every band's least document is its hub: all members are held against it first and components are formed. Only members that did not
 reach their hub's component are then held against their band's other members, in bounded blocks: first each block gives a forest of
-its likely pairs, no more pairs than rows, and when those are verified, the likely pairs that still lie between components. So no
-group's pairs are all formed, and every pair that shares a band is either verified, ruled out, or already in one component. With 40
-bands of 4 registers a pair at similarity 0.8 misses all bands with probability below 1e-7.
+its likely pairs, no more pairs than rows, and when those are verified, the likely pairs that still lie between components, for which
+only rows that had a likely pair before are met again. So no group's pairs are all formed, and every pair that shares a band is either
+verified, ruled out, or already in one component. With 40 bands of 4 registers a pair at similarity 0.8 misses all bands with
+probability below 1e-7.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SLACK = 16.0
 SHARE, SIDE = 200, 1024
 #: Least places of a parity sketch.
 MIN_BITS = 512
+#: Mark of a pair among the rows that blocks give, beside the roles of askers (0) and members (1).
+_PAIR = 2
 _FILL = np.log(M) + 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -300,15 +303,17 @@ class _Held:
 
 
 def _rest(batches: Iterator[pd.DataFrame], percent: int, forest: bool) -> Iterator[pd.DataFrame]:
-    """Likely pairs between a block's askers (role 0) and its members (role 1) of other components.
+    """Likely pairs between a block's askers (role 0) and its members (role 1) of other components, as role _PAIR, greater and lesser id.
 
     With ``forest`` a pair counts only if no pairs before it in the block join its components: a block of n rows gives less than n.
+    Every asker and member of a likely pair, counted or not, is then given too: its role, band and id.
     """
     for rows in _groups(batches, ["band", "i", "j"]):
         asks, members = rows[rows["role"] == 0], rows[rows["role"] == 1]
         if asks.empty or members.empty:
             continue
-        held, out, parent = _Held(members), [], {}
+        held, out, parent, met = _Held(members), [], {}, {}
+        band = int(rows["band"].iloc[0])
 
         def root(x: int, parent: dict[int, int] = parent) -> int:
             while x in parent:
@@ -323,6 +328,8 @@ def _rest(batches: Iterator[pd.DataFrame], percent: int, forest: bool) -> Iterat
             counts = _counts(np.frombuffer(registers, np.uint16)[None], held.registers[near])
             likely = plausible(*counts, np.full(len(near), n), held.sizes[near], percent / 100)
             near, equal = near[likely], counts[2][likely]
+            if forest and len(near):
+                met |= {(0, band, int(own)): None} | {(1, band, int(x)): None for x in held.ids[near]}
             for i in near[np.lexsort((held.ids[near], -equal))] if forest else near:
                 if forest:
                     x, y = root(label), root(held.labels[i])
@@ -330,30 +337,45 @@ def _rest(batches: Iterator[pd.DataFrame], percent: int, forest: bool) -> Iterat
                         continue
                     parent[max(x, y)] = min(x, y)
                 other = int(held.ids[i])
-                out.append((own, other) if own > other else (other, own))
+                out.append((_PAIR, max(own, other), min(own, other)))
         if out:
-            yield pd.DataFrame(out, columns=["a", "hub"]).astype("int64").drop_duplicates()
+            yield pd.DataFrame([*out, *met], columns=["role", "a", "b"]).astype({"role": "int32", "a": "int64", "b": "int64"}).drop_duplicates()
 
 
-def _remaining(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Stored likely pairs (a, hub) between components that share a band, other than pairs with the band's hub; see ``_rest``."""
+def _cells(sized: DataFrame) -> DataFrame:
+    """Askers and members of each block (band, i, j)."""
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    return sized.where("asks").select("band", deal("across").alias("i"), span("down").alias("j"), F.lit(0).alias("role"), "id", "label").union(
+        sized.where("member").select("band", span("across").alias("i"), deal("down").alias("j"), F.lit(1).alias("role"), "id", "label")
+    )
+
+
+def _remaining(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Stored likely pairs (a, hub) between components that share a band, other than pairs with the band's hub, and the rows (role, band,
+    id) that have one; see ``_rest``. ``seen`` are those rows of the forest before: components only grow, so no others can have one now.
+    """
+    if seen is not None:
+        members = members.join(seen.select("band").distinct(), "band", "left_semi")
     named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "hub", F.coalesce("label", "id").alias("label"))
     named = store(named, "named")
     mains = named.where("id = hub").select("band", F.col("label").alias("main"))
     counts = named.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("rows > 2 and low < high")
     mixed = store(counts.join(mains, "band").select("band", "rows", "main"), "mixed")
-    open_ = store(named.join(mixed, "band").where("id <> hub").select("band", "id", "label", "rows", (F.col("label") != F.col("main")).alias("asks")), "open")
-    asking = open_.where("asks").groupBy("band").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("across"))
-    sized = store(open_.join(asking, "band").withColumn("down", F.ceil(F.col("rows") / SIDE).cast("int")), "sized")
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = sized.where("asks").select("band", deal("across").alias("i"), span("down").alias("j"), F.lit(0).alias("role"), "id", "label").union(
-        sized.select("band", span("across").alias("i"), deal("down").alias("j"), F.lit(1).alias("role"), "id", "label")
-    )
-    rows = cells.join(reps, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    out = store(rows.mapInPandas(lambda batches: _rest(batches, percent, forest), "a long, hub long").distinct(), "rest")
+    open_ = named.join(mixed, "band").where("id <> hub").select("band", "id", "label", (F.col("label") != F.col("main")).alias("asks"), F.lit(True).alias("member"))
+    if seen is not None:
+        roles = seen.groupBy("band", "id").agg(F.bool_or(F.col("role") == 0).alias("asked"), F.bool_or(F.col("role") == 1).alias("met"))
+        open_ = open_.join(roles, ["band", "id"]).select("band", "id", "label", (F.col("asks") & F.col("asked")).alias("asks"), F.col("met").alias("member"))
+    open_ = store(open_, "open")
+    blocks = lambda c: F.ceil(F.count_if(c) / SIDE).cast("int")
+    asking = open_.groupBy("band").agg(blocks(F.col("asks")).alias("across"), blocks(F.col("member")).alias("down")).where("across > 0 and down > 0")
+    sized = store(open_.join(asking, "band"), "sized")
+    forest = seen is None
+    rows = _cells(sized).join(reps, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    out = store(rows.mapInPandas(lambda batches: _rest(batches, percent, forest), "role int, a long, b long").distinct(), "rest")
     discard(named, mixed, open_, sized)
-    return out
+    pairs = out.where(F.col("role") == _PAIR).select("a", F.col("b").alias("hub"))
+    return pairs, out.where(F.col("role") != _PAIR).select("role", F.col("a").alias("band"), F.col("b").alias("id"))
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -379,8 +401,9 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     texts = store(texts.join(reps.select("id").hint("merge"), "id", "left_semi"), "texts")
     links = verify(texts, pairs, words, percent)
     labels, tried = components(links), pairs
-    for forest in (True, False):
-        rest = _remaining(members, labels, reps, percent, forest)
+    seen = None
+    for _ in ("forest", "all"):
+        rest, seen = _remaining(members, labels, reps, percent, seen)
         new = store(rest.join(tried, ["a", "hub"], "left_anti"), "untried")
         if new.isEmpty():
             if rest.isEmpty():

@@ -104,3 +104,22 @@ def test_parity_sketches_never_rule_out_a_link():
             assert ok or not linked
             if n >= 600 and 100 * both < 70 * (len(a) + len(b) - both):
                 assert not ok
+
+
+def test_second_round_meets_only_rows_with_a_likely_pair(spark, monkeypatch):
+    """A band of 300 unlike sets and two alike pairs: the forest meets all rows, the round after it those four as askers and as members."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(300)]
+    for a, b in ((7, 200), (150, 250)):
+        sets[b] = np.unique(np.concatenate([sets[a][:-1], rng.integers(0, 1 << 63, 1).astype(np.uint64)]))
+    rows = [(i, len(s), bytearray(r.tobytes()), bytearray(neardup.parity(s))) for i, (s, r) in enumerate(zip(sets, neardup.sketches(sets), strict=True))]
+    reps = spark.createDataFrame(rows, "id long, n long, registers binary, parity binary")
+    members, labels = reps.selectExpr("5L AS band", "id", "0L AS hub"), spark.createDataFrame([], "node long, label long")
+    made, cells = [], neardup._cells
+    monkeypatch.setattr(neardup, "_cells", lambda sized: made.append(cells(sized).count()) or cells(sized))
+    pairs, seen = neardup._remaining(members, labels, reps, 80, None)
+    assert {tuple(r) for r in pairs.collect()} == {(200, 7), (250, 150)}
+    again, _ = neardup._remaining(members, labels, reps, 80, seen)
+    assert {tuple(r) for r in again.collect()} == {(200, 7), (250, 150)} and made == [598, 8]
+    joined = spark.createDataFrame([(7, 7), (200, 7)], "node long, label long")
+    assert [tuple(r) for r in neardup._remaining(members, joined, reps, 80, seen)[0].collect()] == [(250, 150)]
