@@ -22,35 +22,45 @@ RANKING_FILE = (
 CORRUPT = "_corrupt_record"
 
 
-def json_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Sound documents (one a file) with ``file`` and ``file_id`` (the number at the end of its name or its folder's), and the unreadable ones."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
+def whole_files(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """(value, file) of documents: of a folder with one a file, or of a table (file, value) that holds very many of them bundled.
+
+    A file of its own costs tens of milliseconds to make, list and open, which is far more than a document of some kilobytes costs as a row.
+    """
+    return source.select("value", "file") if isinstance(source, DataFrame) else spark.read.option("wholetext", True).text(source).select("value", F.input_file_name().alias("file"))
+
+
+def json_files(spark: SparkSession, source: str | DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Sound documents (see ``whole_files``) with ``file`` and ``file_id`` (the number at the end of its name or its folder's), and the unreadable ones."""
+    raw = whole_files(spark, source)
     parsed = raw.withColumn("d", F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}))
     parsed = parsed.withColumn("file_id", F.regexp_extract("file", r"_(\d+)\.json(?:/[^/]*)?$", 1).try_cast("long"))
     sound = F.col("d").isNotNull() & F.col(f"d.{CORRUPT}").isNull()
     return parsed.where(sound).select("d.*", "file", "file_id").drop(CORRUPT), parsed.where(~sound).select("file", F.col("value").alias("text"))
 
 
-def match_files(spark: SparkSession, path: str) -> DataFrame:
+def match_files(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """Matches of event files and of player files in one shape: those with ``matches`` are event files, others hold a map of years."""
-    documents, _ = json_files(spark, path, f"{EVENT_FILE}, {PLAYER_FILE}")
-    base = ["file", "file_id"]
-    events = documents.where(F.col("matches").isNotNull()).select(*base, F.coalesce("event_id", "file_id").alias("event_id"), F.col("event").alias("event_name"), "event_year", F.lit(None).cast("long").alias("owner_id"), F.posexplode("matches").alias("pos", "m"))
-    years = documents.where(F.col("matches").isNull() & F.col("years").isNotNull()).select(*base, F.col("player_id").alias("owner_id"), F.explode(F.map_values("years")).alias("y"))
-    entries = years.select(*base, "owner_id", F.explode("y.events").alias("e"))
-    players = entries.select(*base, F.lit(None).cast("long").alias("event_id"), F.col("e.event_name").alias("event_name"), F.col("e.event_year").try_cast("int").alias("event_year"), "owner_id", F.posexplode("e.matches").alias("pos", "m"))
-    return events.unionByName(players).select(*base, "event_id", "event_name", "event_year", "owner_id", "pos", "m.*")
-
-
-def ranking_files(spark: SparkSession, path: str) -> DataFrame:
+    documents, _ = json_files(spark, source, f"{EVENT_FILE}, {PLAYER_FILE}")
+    none = F.lit(None).cast("long")
+    entry = lambda event_id, name, year, owner, matches: F.struct(event_id.alias("event_id"), name.alias("event_name"), year.alias("event_year"), owner.alias("owner_id"), matches.alias("matches"))
+    own = entry(F.coalesce("event_id", "file_id"), F.col("event"), F.col("event_year"), none, F.col("matches"))
+    # a null among a map's years or their events has no matches
+    listed = F.flatten(F.filter(F.transform(F.map_values("years"), lambda y: y["events"]), lambda x: x.isNotNull()))
+    played = F.transform(listed, lambda e: entry(none, e["event_name"], e["event_year"].try_cast("int"), F.col("player_id"), e["matches"]))
+    entries = documents.select("file", "file_id", F.explode(F.when(F.col("matches").isNotNull(), F.array(own)).otherwise(played)).alias("e"))
+    return entries.select("file", "file_id", "e.event_id", "e.event_name", "e.event_year", "e.owner_id", F.posexplode("e.matches").alias("pos", "m")).select("file", "file_id", "event_id", "event_name", "event_year", "owner_id", "pos", "m.*")
+
+
+def ranking_files(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """One row for each ranking entry, with its place in the file."""
-    documents, _ = json_files(spark, path, RANKING_FILE)
+    documents, _ = json_files(spark, source, RANKING_FILE)
     return documents.select("file", "category", "ranking_week", "ranking_date", F.posexplode("rankings").alias("seq", "r")).select("file", "category", "ranking_week", "ranking_date", F.col("seq").cast("long").alias("seq"), "r.*")
 
 
-def bracket_files(spark: SparkSession, path: str) -> DataFrame:
+def bracket_files(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """Whole bracket documents as text, for ``payload.bracket_rows``."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("payload"), F.input_file_name().alias("file")).where(F.from_json("payload", BRACKET).isNotNull())
+    return whole_files(spark, source).select(F.col("value").alias("payload"), "file").where(F.from_json("payload", BRACKET).isNotNull())
 
 
 def colon_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -90,3 +90,14 @@ def test_partition_commit_replaces_only_its_scope(spark, tmp_path):
     merge.write_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "event_id int, v string"), path, "event_id")
     merge.write_partitions(spark.createDataFrame([(2, "c")], "event_id int, v string"), path, "event_id")
     assert rows(spark.read.parquet(path), "event_id", "v") == {(1, "a"), (2, "c")}
+
+
+def test_documents_of_a_table_are_read_like_files(spark):
+    """Sound, cut and null documents as rows (file, value): ids from names, both shapes in one pass."""
+    docs = [
+        ("event_7.json", '{"schema_version":"1","event":"E","matches":[{"round":"R1"},{"round":"R2"}]}'), ("event_8.json", '{"schema_version":"1","ev'), ("event_9.json", None),
+        ("player_3.json", '{"player_id":4,"years":{"2020":{"events":[{"event_name":"T","event_year":"2020","matches":[{"round":"F"}]}]},"2021":null,"2022":{"events":null}}}'),
+    ]
+    bundle = spark.createDataFrame(docs, "file string, value string")
+    assert rows(readers.match_files(spark, bundle), "file_id", "event_id", "event_name", "event_year", "owner_id", "pos", "round") == {(7, 7, "E", None, None, 0, "R1"), (7, 7, "E", None, None, 1, "R2"), (3, None, "T", 2020, 4, 0, "F")}
+    assert rows(readers.json_files(spark, bundle, readers.EVENT_FILE)[1], "file") >= {("event_8.json",)}
