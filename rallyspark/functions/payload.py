@@ -35,9 +35,12 @@ def schedule_units(c: Column) -> Column:
 
 def bracket_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """One row for each bracket item of the JSON texts, with round, sides, feeders, winner and status."""
-    p = payloads.withColumn("p", F.from_json(column, BRACKET))
-    p = p.select("*", F.explode("p.Competition.Bracket").alias("bracket")).select("*", F.explode("bracket.BracketItems").alias("items"))
-    p = p.select("*", F.posexplode("items.BracketItem").alias("item_pos", "item"))
+    # an item takes only what it needs of its document along, not the document
+    p = payloads.select(F.from_json(column, BRACKET).alias("p"))
+    p = p.select(F.col("p.EventId").try_cast("long").alias("event_id"), F.explode("p.Competition.Bracket").alias("bracket"))
+    p = p.select("event_id", F.col("bracket.Code").alias("draw_code"), F.explode("bracket.BracketItems").alias("items"))
+    p = p.withColumn("round", bracket_round(F.col("items.Code")))
+    p = p.select("event_id", "draw_code", "round", F.posexplode("items.BracketItem").alias("item_pos", "item"))
     place = lambda i: F.get("item.CompetitorPlace", F.lit(i))
     winner = bracket_winner(place(0)["Wlt"], place(1)["Wlt"], F.col("item.Result"))
     dated = (nz(F.col("item.Date")) != "") | (nz(F.col("item.Time")) != "")
@@ -51,8 +54,8 @@ def bracket_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
         return F.struct(team.alias("team"), F.when(team.isNull(), name).alias("placeholder"), blank_to_null(c["PreviousUnit"]["Unit"]).alias("previous_unit"))
 
     return p.select(
-        F.col("p.EventId").try_cast("long").alias("event_id"), F.col("bracket.Code").alias("draw_code"), "item_pos", match_code(F.coalesce("item.Unit", "item.Code")).alias("unit_code"),
-        bracket_round(F.col("items.Code")).alias("round"), F.col("item.Position").alias("position"), F.col("item.Result").alias("result"), side(0).alias("side_a"), side(1).alias("side_b"), winner.alias("winner_side"), status.alias("status"),
+        "event_id", "draw_code", "item_pos", match_code(F.coalesce("item.Unit", "item.Code")).alias("unit_code"),
+        "round", F.col("item.Position").alias("position"), F.col("item.Result").alias("result"), side(0).alias("side_a"), side(1).alias("side_b"), winner.alias("winner_side"), status.alias("status"),
     )
 
 
