@@ -24,9 +24,9 @@ def _cols(names: str | list[str]) -> list[str]:
 DEALT_ROWS = 2_000_000
 
 
-def parts_of(df: DataFrame) -> int:
-    """Partitions of a shuffle, in number with the rows. Counting those of a plain Parquet table reads its footers only."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // DEALT_ROWS))
+def parts_of(df: DataFrame, each: int = 1) -> int:
+    """Partitions of a shuffle, in number with the rows, or with ``each`` rows for one. Counting those of a plain Parquet table reads its footers only."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * each // DEALT_ROWS))
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:

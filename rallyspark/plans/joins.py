@@ -129,13 +129,18 @@ def head_to_head(spark, sf_dir):
     JOIN pairs ON (lo = c.c_nationkey AND hi = n.n_nationkey) OR (lo = n.n_nationkey AND hi = c.c_nationkey) GROUP BY 1, 2""")
 def symmetric_pair_join(spark, sf_dir):
     """Pairs matched in either order, by an equi-join on their least and greatest."""
-    sides = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    met = R.opponents(sides, "l_orderkey", "l_suppkey", "l_suppkey").select(F.least("l_suppkey", "opp_l_suppkey").alias("lo"), F.greatest("l_suppkey", "opp_l_suppkey").alias("hi")).distinct()
     nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("other"))
     own = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("home"))
     homes = own.select("home").distinct().crossJoin(nations).where("home <> other")  # nations by nations
+    # a supplier that is no home and no nation is in no pair that can match
+    named = homes.select(F.explode(F.array("home", "other")).alias("l_suppkey")).distinct()
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    sides = lines.join(named, "l_suppkey", "left_semi").repartition(R.parts_of(lines), "l_orderkey").distinct()
+    met = R.opponents(sides, "l_orderkey", "l_suppkey", "l_suppkey").select(F.least("l_suppkey", "opp_l_suppkey").alias("lo"), F.greatest("l_suppkey", "opp_l_suppkey").alias("hi")).distinct()
     matched = R.symmetric_join(homes, met, ("home", "other"), ("lo", "hi")).select("home", "other")
-    return own.join(matched, "home").groupBy("c_custkey", F.col("other").cast("int").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    # a customer gives a row for each nation at most, and is dealt so; the matched pairs are nations by nations and may be sent to all
+    dealt = own.repartition(R.parts_of(own, nations.count()), "c_custkey")
+    return dealt.join(F.broadcast(matched), "home").groupBy("c_custkey", F.col("other").cast("int").alias("other")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1")

@@ -72,3 +72,13 @@ def test_partitions_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(R, "DEALT_ROWS", 100)
     assert R.parts_of(spark.range(4001)) == 41 and R.dealt(spark.range(4001), "id").rdd.getNumPartitions() == 41
     assert R.parts_of(spark.range(1)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_f15_customers_and_lines_are_dealt_in_number(spark, sf_dir, monkeypatch):
+    from rallyspark.plans import catalogue
+
+    plan = lambda: catalogue.QUERIES["symmetric_pair_join"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    customers, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("customer", "lineitem"))
+    monkeypatch.setattr(R, "DEALT_ROWS", 100)
+    text = plan()
+    assert "RepartitionByExpression [c_custkey" in text and f", {-(-customers * 25 // 100)}" in text and f", {-(-lines // 100)}" in text
