@@ -8,11 +8,12 @@ the best are passed over. So are pairs whose parity sketches (a bit for each pla
 bits than two sets at the threshold can differ in shingles, which is certain. What remains is verified on the full sets.
 
 Every band's least document is its hub: all members are held against it first and components are formed. Only members that did not
-reach their hub's component are then held against their band's other members, in bounded blocks: first each block gives a forest of
-its likely pairs, no more pairs than rows, and when those are verified, the likely pairs that still lie between components, for which
-only rows that had a likely pair before are met again. So no group's pairs are all formed, and every pair that shares a band is either
-verified, ruled out, or already in one component. With 40 bands of 4 registers a pair at similarity 0.8 misses all bands with
-probability below 1e-7.
+reach their hub's component are then held against the other members of the hub's bands, once for all bands of a hub, in bounded blocks:
+first each block gives a forest of its likely pairs, no more pairs than rows, and when those are verified, the likely pairs that still
+lie between components, for which only rows that had a likely pair before are met again. A crowded hub, of more rows than a block,
+keys its rows by two bands: rows of two or more of its bands stay together, those of one meet under each second crowded hub that they
+have. So no group's pairs are all formed, and every pair that shares two bands, or one that is not crowded, is either verified, ruled
+out, or already in one component. With 40 bands of 4 registers a pair at similarity 0.8 shares fewer than two with probability 2e-8.
 """
 
 from __future__ import annotations
@@ -282,22 +283,23 @@ class _Held:
     """Members of a block by the width of their parity sketches, folded to other widths as they are asked for."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.ids, self.labels, self.sizes = (rows[c].to_numpy() for c in ("id", "label", "n"))
+        self.ids, self.labels, self.sizes, self.masks = (rows[c].to_numpy() for c in ("id", "label", "n", "mask"))
         self.registers, sketch = _registers(rows["registers"]), rows["parity"].tolist()
         widths = np.array(list(map(len, sketch))) // 8
         self.at = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
         self.words = {(w, w): _words([sketch[i] for i in at]) for w, at in self.at.items()}
 
-    def near(self, sketch: bytes, n: int, percent: int) -> np.ndarray:
-        """Places of the members whose parity sketches allow the threshold."""
-        own, found = _words([sketch]), []
+    def near(self, sketch: bytes, n: int, label: int, mask: int, percent: int) -> np.ndarray:
+        """Places of the members of other components that share a band and whose parity sketches allow the threshold."""
+        own, found, open_ = _words([sketch]), [], (self.labels != label) & (self.masks & mask != 0)
         for w, at in self.at.items():
             width = min(w, own.shape[1])
             if max(w, own.shape[1]) > 4 * width:  # sizes too unlike
                 continue
             if (w, width) not in self.words:
                 self.words[w, width] = _folded(self.words[w, w], width)
-            apart = np.bitwise_count(self.words[w, width] ^ _folded(own, width)).sum(1)
+            rows = np.flatnonzero(open_[at])
+            at, apart = at[rows], np.bitwise_count(self.words[w, width][rows] ^ _folded(own, width)).sum(1)
             found.append(at[apart <= most_apart(self.sizes[at], n, percent)])
         return np.concatenate(found) if found else np.empty(0, int)
 
@@ -306,30 +308,29 @@ def _rest(batches: Iterator[pd.DataFrame], percent: int, forest: bool) -> Iterat
     """Likely pairs between a block's askers (role 0) and its members (role 1) of other components, as role _PAIR, greater and lesser id.
 
     With ``forest`` a pair counts only if no pairs before it in the block join its components: a block of n rows gives less than n.
-    Every asker and member of a likely pair, counted or not, is then given too: its role, band and id.
+    Every asker and member of a likely pair, counted or not, is then given too: its role, hub, other hub and id.
     """
-    for rows in _groups(batches, ["band", "i", "j"]):
+    for rows in _groups(batches, ["hub", "other", "i", "j"]):
         asks, members = rows[rows["role"] == 0], rows[rows["role"] == 1]
         if asks.empty or members.empty:
             continue
         held, out, parent, met = _Held(members), [], {}, {}
-        band = int(rows["band"].iloc[0])
+        at_hub, at_other = int(rows["hub"].iloc[0]), int(rows["other"].iloc[0])
 
         def root(x: int, parent: dict[int, int] = parent) -> int:
             while x in parent:
                 x = parent[x]
             return x
 
-        for own, label, n, registers, sketch in asks[["id", "label", "n", "registers", "parity"]].itertuples(index=False):
-            near = held.near(sketch, n, percent)
-            near = near[held.labels[near] != label]
+        for own, label, n, mask, registers, sketch in asks[["id", "label", "n", "mask", "registers", "parity"]].itertuples(index=False):
+            near = held.near(sketch, n, label, mask, percent)
             if not len(near):
                 continue
             counts = _counts(np.frombuffer(registers, np.uint16)[None], held.registers[near])
             likely = plausible(*counts, np.full(len(near), n), held.sizes[near], percent / 100)
             near, equal = near[likely], counts[2][likely]
             if forest and len(near):
-                met |= {(0, band, int(own)): None} | {(1, band, int(x)): None for x in held.ids[near]}
+                met |= {(0, at_hub, at_other, int(own)): None} | {(1, at_hub, at_other, int(x)): None for x in held.ids[near]}
             for i in near[np.lexsort((held.ids[near], -equal))] if forest else near:
                 if forest:
                     x, y = root(label), root(held.labels[i])
@@ -337,45 +338,66 @@ def _rest(batches: Iterator[pd.DataFrame], percent: int, forest: bool) -> Iterat
                         continue
                     parent[max(x, y)] = min(x, y)
                 other = int(held.ids[i])
-                out.append((_PAIR, max(own, other), min(own, other)))
+                out.append((_PAIR, max(own, other), min(own, other), 0))
         if out:
-            yield pd.DataFrame([*out, *met], columns=["role", "a", "b"]).astype({"role": "int32", "a": "int64", "b": "int64"}).drop_duplicates()
+            yield pd.DataFrame([*out, *met], columns=["role", "a", "b", "c"]).astype({"role": "int32", "a": "int64", "b": "int64", "c": "int64"}).drop_duplicates()
 
 
 def _cells(sized: DataFrame) -> DataFrame:
-    """Askers and members of each block (band, i, j)."""
+    """Askers and members of each block (hub, other, i, j)."""
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    return sized.where("asks").select("band", deal("across").alias("i"), span("down").alias("j"), F.lit(0).alias("role"), "id", "label").union(
-        sized.where("member").select("band", span("across").alias("i"), deal("down").alias("j"), F.lit(1).alias("role"), "id", "label")
+    own = ["id", "label", "mask"]
+    return sized.where("asks").select("hub", "other", deal("across").alias("i"), span("down").alias("j"), F.lit(0).alias("role"), *own).union(
+        sized.where("member").select("hub", "other", span("across").alias("i"), deal("down").alias("j"), F.lit(1).alias("role"), *own)
     )
 
 
+def _apart(open_: DataFrame) -> DataFrame:
+    """Open rows by (hub, other): all rows of a hub with itself, but of a crowded hub only those of several of its bands; and the rows
+    of two crowded hubs with both. A pair with two bands in common thus meets by one hub of both bands, by one that is not crowded, or
+    by two that are; it asks by the lesser one."""
+    crowded = store(open_.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SIDE).select("hub", F.lit(True).alias("crowded")), "crowded")
+    own = ["id", "label", "mask", "asks"]
+    rows = open_.join(crowded, "hub", "left").where("crowded is null or bands > 1").select("hub", F.col("hub").alias("other"), *own)
+    full = open_.join(crowded, "hub").select("hub", *own)
+    both = full.join(full.select(F.col("hub").alias("other"), "id"), "id").where("hub < other").select("hub", "other", *own)
+    return rows.union(both)
+
+
 def _remaining(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Stored likely pairs (a, hub) between components that share a band, other than pairs with the band's hub, and the rows (role, band,
-    id) that have one; see ``_rest``. ``seen`` are those rows of the forest before: components only grow, so no others can have one now.
+    """Stored likely pairs (a, hub) between components that share a band, other than pairs with the band's hub, and the rows (role, hub,
+    other, id) that have one; see ``_rest``. ``seen`` are those rows of the forest before: components only grow, so no others can have
+    one now, and a hub of several components is as crowded as before.
+
+    A hub's bands hold much the same rows, so a row stands once for all of them, with a mask of its bands: 64 bits, of which pairs that
+    share a band share one.
     """
     if seen is not None:
-        members = members.join(seen.select("band").distinct(), "band", "left_semi")
-    named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "hub", F.coalesce("label", "id").alias("label"))
+        members = members.join(seen.select(F.explode(F.array("hub", "other")).alias("hub")).distinct(), "hub", "left_semi")
+    bit = F.expr("shiftleft(1L, int(pmod(band, 64)))")
+    named = members.groupBy("hub", "id").agg(F.bit_or(bit).alias("mask"), F.count(F.lit(1)).alias("bands"))
+    named = named.join(labels.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", "mask", "bands", F.coalesce("label", "id").alias("label"))
     named = store(named, "named")
-    mains = named.where("id = hub").select("band", F.col("label").alias("main"))
-    counts = named.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("rows > 2 and low < high")
-    mixed = store(counts.join(mains, "band").select("band", "rows", "main"), "mixed")
-    open_ = named.join(mixed, "band").where("id <> hub").select("band", "id", "label", (F.col("label") != F.col("main")).alias("asks"), F.lit(True).alias("member"))
+    mains = named.where("id = hub").select("hub", F.col("label").alias("main"))
+    counts = named.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("rows > 2 and low < high")
+    mixed = store(counts.join(mains, "hub").select("hub", "main"), "mixed")
+    open_ = store(named.join(mixed, "hub").where("id <> hub").select("hub", "id", "label", "mask", "bands", (F.col("label") != F.col("main")).alias("asks")), "open")
+    rows = _apart(open_).withColumn("member", F.lit(True))
     if seen is not None:
-        roles = seen.groupBy("band", "id").agg(F.bool_or(F.col("role") == 0).alias("asked"), F.bool_or(F.col("role") == 1).alias("met"))
-        open_ = open_.join(roles, ["band", "id"]).select("band", "id", "label", (F.col("asks") & F.col("asked")).alias("asks"), F.col("met").alias("member"))
-    open_ = store(open_, "open")
+        keys = ["hub", "other", "id"]
+        roles = seen.groupBy(keys).agg(F.bool_or(F.col("role") == 0).alias("asked"), F.bool_or(F.col("role") == 1).alias("met"))
+        rows = rows.join(roles, keys).select(*keys, "label", "mask", (F.col("asks") & F.col("asked")).alias("asks"), F.col("met").alias("member"))
+    rows = store(rows, "rows")
     blocks = lambda c: F.ceil(F.count_if(c) / SIDE).cast("int")
-    asking = open_.groupBy("band").agg(blocks(F.col("asks")).alias("across"), blocks(F.col("member")).alias("down")).where("across > 0 and down > 0")
-    sized = store(open_.join(asking, "band"), "sized")
-    forest = seen is None
-    rows = _cells(sized).join(reps, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    out = store(rows.mapInPandas(lambda batches: _rest(batches, percent, forest), "role int, a long, b long").distinct(), "rest")
-    discard(named, mixed, open_, sized)
+    asking = rows.groupBy("hub", "other").agg(blocks(F.col("asks")).alias("across"), blocks(F.col("member")).alias("down")).where("across > 0 and down > 0")
+    sized = store(rows.join(asking, ["hub", "other"]), "sized")
+    forest, keys = seen is None, ["hub", "other", "i", "j"]
+    cells = _cells(sized).join(reps, "id").repartition(*keys).sortWithinPartitions(*keys)
+    out = store(cells.mapInPandas(lambda batches: _rest(batches, percent, forest), "role int, a long, b long, c long").distinct(), "rest")
+    discard(named, mixed, open_, rows, sized)
     pairs = out.where(F.col("role") == _PAIR).select("a", F.col("b").alias("hub"))
-    return pairs, out.where(F.col("role") != _PAIR).select("role", F.col("a").alias("band"), F.col("b").alias("id"))
+    return pairs, out.where(F.col("role") != _PAIR).select("role", F.col("a").alias("hub"), F.col("b").alias("other"), F.col("c").alias("id"))
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -123,3 +123,33 @@ def test_second_round_meets_only_rows_with_a_likely_pair(spark, monkeypatch):
     assert {tuple(r) for r in again.collect()} == {(200, 7), (250, 150)} and made == [598, 8]
     joined = spark.createDataFrame([(7, 7), (200, 7)], "node long, label long")
     assert [tuple(r) for r in neardup._remaining(members, joined, reps, 80, seen)[0].collect()] == [(250, 150)]
+
+
+def _alike(rng, pairs, n=160):
+    sets = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(n)]
+    for a, b in pairs:
+        sets[b] = np.unique(np.concatenate([sets[a][:-1], rng.integers(0, 1 << 63, 1).astype(np.uint64)]))
+    return [(i, len(s), bytearray(r.tobytes()), bytearray(neardup.parity(s))) for i, (s, r) in enumerate(zip(sets, neardup.sketches(sets), strict=True))]
+
+
+def test_rows_meet_once_for_a_hub_and_crowded_hubs_ask_for_two_bands(spark, monkeypatch):
+    """A row stands once for all bands of a hub; rows with one band of a crowded hub meet only where they share a second crowded hub."""
+    pairs = [(7, 90), (20, 110), (30, 130), (40, 150)]
+    reps = spark.createDataFrame(_alike(np.random.default_rng(5), pairs), "id long, n long, registers binary, parity binary")
+    labels = spark.createDataFrame([], "node long, label long")
+    made, cells = [], neardup._cells
+    monkeypatch.setattr(neardup, "_cells", lambda sized: made.append(cells(sized).count()) or cells(sized))
+    meet = lambda members, seen=None: neardup._remaining(spark.createDataFrame(members, "band long, id long, hub long"), labels, reps, 80, seen)
+    found = lambda out: {tuple(r) for r in out.collect()}
+    every = [(band, i, 0) for band in range(40) for i in range(160)]
+    assert found(meet(every)[0]) == {(b, a) for a, b in pairs} and made == [318]
+
+    made.clear()
+    monkeypatch.setattr(neardup, "SIDE", 50)
+    # band 1 of hub 0 holds all; 7 and 90 share a second band of it, 20 and 110 a band that is not crowded, 30 and 130 one of a crowded hub
+    more = [(2, i, 0) for i in (0, 7, 90)] + [(3, i, 2) for i in (2, 20, 110)] + [(4, i, 3) for i in [3, 30, *range(100, 160)] if i != 150]
+    out, seen = meet([(1, i, 0) for i in range(160)] + more)
+    assert {(90, 7), (110, 20), (130, 30)} == found(out)
+    assert sum(made) < 300  # by blocks of all pairs of bands: 2 * 159 * 4 and 2 * 60 * 2
+    made.clear()
+    assert found(meet([(1, i, 0) for i in range(160)] + more, seen)[0]) == {(90, 7), (110, 20), (130, 30)} and sum(made) <= 12
