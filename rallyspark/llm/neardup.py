@@ -357,11 +357,11 @@ def _apart(open_: DataFrame) -> DataFrame:
     """Open rows by (hub, other): all rows of a hub with itself, but of a crowded hub only those of several of its bands; and the rows
     of two crowded hubs with both. A pair with two bands in common thus meets by one hub of both bands, by one that is not crowded, or
     by two that are; it asks by the lesser one."""
-    crowded = store(open_.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SIDE).select("hub", F.lit(True).alias("crowded")), "crowded")
     own = ["id", "label", "mask", "asks"]
-    rows = open_.join(crowded, "hub", "left").where("crowded is null or bands > 1").select("hub", F.col("hub").alias("other"), *own)
-    full = open_.join(crowded, "hub").select("hub", *own)
-    both = full.join(full.select(F.col("hub").alias("other"), "id"), "id").where("hub < other").select("hub", "other", *own)
+    rows = open_.where("not crowded or bands > 1").select("hub", F.col("hub").alias("other"), *own)
+    hubs = open_.where("crowded").groupBy("id", "label").agg(F.collect_list(F.struct("hub", "mask", "asks")).alias("hubs"))  # at most one a band
+    pairs = hubs.where(F.size("hubs") > 1).select("id", "label", "hubs", F.explode("hubs").alias("h")).select("id", "label", "h", F.explode("hubs.hub").alias("other"))
+    both = pairs.where("h.hub < other").select("h.hub", "other", "id", "label", "h.mask", "h.asks")
     return rows.union(both)
 
 
@@ -376,13 +376,12 @@ def _remaining(members: DataFrame, labels: DataFrame, reps: DataFrame, percent:
     if seen is not None:
         members = members.join(seen.select(F.explode(F.array("hub", "other")).alias("hub")).distinct(), "hub", "left_semi")
     bit = F.expr("shiftleft(1L, int(pmod(band, 64)))")
-    named = members.groupBy("hub", "id").agg(F.bit_or(bit).alias("mask"), F.count(F.lit(1)).alias("bands"))
-    named = named.join(labels.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", "mask", "bands", F.coalesce("label", "id").alias("label"))
-    named = store(named, "named")
+    named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").groupBy("hub", "id")
+    named = store(named.agg(F.bit_or(bit).alias("mask"), F.count(F.lit(1)).alias("bands"), F.min(F.coalesce("label", "id")).alias("label")), "named")
     mains = named.where("id = hub").select("hub", F.col("label").alias("main"))
     counts = named.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("rows > 2 and low < high")
-    mixed = store(counts.join(mains, "hub").select("hub", "main"), "mixed")
-    open_ = store(named.join(mixed, "hub").where("id <> hub").select("hub", "id", "label", "mask", "bands", (F.col("label") != F.col("main")).alias("asks")), "open")
+    mixed = store(counts.join(mains, "hub").select("hub", "main", (F.col("rows") - 1 > SIDE).alias("crowded")), "mixed")
+    open_ = store(named.join(mixed, "hub").where("id <> hub").select("hub", "id", "label", "mask", "bands", "crowded", (F.col("label") != F.col("main")).alias("asks")), "open")
     rows = _apart(open_).withColumn("member", F.lit(True))
     if seen is not None:
         keys = ["hub", "other", "id"]
